@@ -21,7 +21,7 @@ MIN_WORDS = 50
 #: Words a document needs before its common words are judged.
 MIN_COMMON = 300
 #: Largest Jensen-Shannon distances (square root, base 2) to the language's reference that still pass.
-MAX_CLASS, MAX_COMMON = 0.35, 0.75
+MAX_CLASS, MAX_COMMON = 0.30, 0.30
 MAX_LANGS = 1024
 
 #: Common words of languages: fixed values.
