@@ -2,6 +2,229 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = ""
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import metrics, text
+from .operators import relational as R
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+FLAGSHIP = "per_type_accuracy"
+
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark)
+        ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def scored(t) -> DataFrame:
+    """Labels against a rule's answer: the scored table of the accuracy queries."""
+    docs = t("documents").select("doc_id", "lang", (F.col("n_chars") > 1500).cast("int").alias("said"))
+    return t("labels").join(docs, "doc_id").withColumnRenamed("quality", "truth")
+
+
+SCORED = "(SELECT l.doc_id, l.quality AS truth, l.toxic, d.lang, CAST(d.n_chars > 1500 AS INT) AS said FROM labels l JOIN documents d USING (doc_id))"
+
+
+@query(f"SELECT coalesce(lang, 'unknown') AS solution_type, count(*) AS n, count(*) FILTER (truth = said) AS n_correct, round(count(*) FILTER (truth = said) / count(*), 9) AS accuracy FROM {SCORED} GROUP BY 1")
+def per_type_accuracy(t, spark):
+    return (
+        scored(t)
+        .groupBy(F.coalesce("lang", F.lit("unknown")).alias("solution_type"))
+        .agg(F.count("*").alias("n"), F.count_if(F.col("truth") == F.col("said")).alias("n_correct"), F.round(metrics.accuracy(F.col("truth"), F.col("said")), 9).alias("accuracy"))
+    )
+
+
+@query(f"SELECT concat(truth, '_predicted_as_', said) AS cell, count(*) AS n FROM {SCORED} WHERE truth <> said GROUP BY 1")
+def confusion_matrix(t, spark):
+    return scored(t).where("truth != said").groupBy(F.concat_ws("_predicted_as_", "truth", "said").alias("cell")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH c AS (SELECT count(*) FILTER (truth = 0 AND said = 0) AS tp, count(*) FILTER (truth = 0 AND said <> 0) AS fn, count(*) FILTER (truth <> 0 AND said = 0) AS fp FROM {SCORED}) SELECT tp, fn, fp, CASE WHEN tp + fp = 0 THEN 0.0 ELSE round(tp / (tp + fp), 9) END AS precision, CASE WHEN tp + fn = 0 THEN 0.0 ELSE round(tp / (tp + fn), 9) END AS recall FROM c")
+def none_detection(t, spark):
+    c = scored(t).agg(F.count_if((F.col("truth") == 0) & (F.col("said") == 0)).alias("tp"), F.count_if((F.col("truth") == 0) & (F.col("said") != 0)).alias("fn"), F.count_if((F.col("truth") != 0) & (F.col("said") == 0)).alias("fp"))
+    tp, fn, fp = F.col("tp"), F.col("fn"), F.col("fp")
+    return c.select("tp", "fn", "fp", F.round(metrics.ratio(tp, tp + fp), 9).alias("precision"), F.round(metrics.ratio(tp, tp + fn), 9).alias("recall"))
+
+
+@query("SELECT lang, source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY ROLLUP (lang, source)")
+def composition_rollup(t, spark):
+    return t("documents").rollup("lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("SELECT o_orderstatus, n, round(100.0 * n / sum(n) OVER (), 6) AS pct FROM (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1)")
+def value_counts_pct(t, spark):
+    return R.shares(t("orders"), "o_orderstatus")
+
+
+@query("SELECT lang, count(*) FILTER (source = 'src0') AS src0, count(*) FILTER (source = 'src1') AS src1, count(*) FILTER (source = 'src2') AS src2 FROM documents WHERE source IN ('src0', 'src1', 'src2') GROUP BY lang")
+def pivot_counts(t, spark):
+    return t("documents").where(F.col("source").isin("src0", "src1", "src2")).groupBy("lang").pivot("source", ["src0", "src1", "src2"]).count().na.fill(0)
+
+
+@query("SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY 1")
+def count_distinct_by(t, spark):
+    return t("lineitem").groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("parts"), F.count_distinct("l_suppkey").alias("suppliers"))
+
+
+@query("SELECT lang, min(n_chars) AS min_chars, max(n_chars) AS max_chars, round(avg(n_chars), 6) AS mean_chars, round(quantile_cont(n_chars, 0.5), 6) AS median_chars, round(stddev_samp(n_chars), 6) AS std_chars FROM documents GROUP BY lang")
+def describe_stats(t, spark):
+    c = F.col("n_chars")
+    return t("documents").groupBy("lang").agg(F.min(c).alias("min_chars"), F.max(c).alias("max_chars"), F.round(F.avg(c), 6).alias("mean_chars"), F.round(F.percentile(c, 0.5), 6).alias("median_chars"), F.round(F.stddev_samp(c), 6).alias("std_chars"))
+
+
+@query("SELECT CAST(least(floor((l_quantity - 1) / 49 * 40), 39) AS BIGINT) AS bin, count(*) AS n FROM lineitem GROUP BY 1")
+def histogram_bins(t, spark):
+    return t("lineitem").groupBy(F.least(F.floor((F.col("l_quantity") - 1) / 49 * 40), F.lit(39)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(doc_id) AS doc_id, count(text) AS text, count(lang) AS lang, count(source) AS source FROM documents")
+def column_counts(t, spark):
+    return t("documents").agg(*(F.count(c).alias(c) for c in ("doc_id", "text", "lang", "source")))
+
+
+@query("SELECT event_type, round(avg(value) FILTER (value IS NOT NULL AND NOT isnan(value) AND NOT isinf(value)), 6) AS mean_value FROM events GROUP BY 1")
+def finite_mean(t, spark):
+    return t("events").groupBy("event_type").agg(F.round(metrics.finite_mean(F.col("value")), 6).alias("mean_value"))
+
+
+@query(f"SELECT round(sum(CAST(truth = said AS INT)) / (SELECT count(*) FROM documents), 9) AS strict_accuracy FROM {SCORED}")
+def strict_accuracy(t, spark):
+    right = scored(t).agg(F.count_if(F.col("truth") == F.col("said")).alias("r"))
+    return right.crossJoin(t("documents").agg(F.count("*").alias("n"))).select(F.round(F.col("r") / F.col("n"), 9).alias("strict_accuracy"))
+
+
+@query("SELECT event_type AS model, count(*) AS calls, sum(CAST(value AS DECIMAL(18,4))) AS cost FROM events GROUP BY 1")
+def cost_breakdown(t, spark):
+    return t("events").groupBy(F.col("event_type").alias("model")).agg(F.count("*").alias("calls"), F.sum(F.col("value").cast("decimal(18,4)")).alias("cost"))
+
+
+MD5 = "md5(concat('42|', {0}))"
+
+
+@query(f"SELECT o_orderkey, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {MD5.format('o_orderkey')}, o_orderkey) AS rn FROM orders) WHERE rn <= 5")
+def stratified_sample_k(t, spark):
+    return R.stratified_sample(t("orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey", 5)
+
+
+@query(f"SELECT o_orderkey, CASE WHEN p <= 0.8 THEN 'train' WHEN p <= 0.8 + 0.1 THEN 'val' ELSE 'test' END AS split FROM (SELECT o_orderkey, (row_number() OVER (PARTITION BY o_orderstatus ORDER BY {MD5.format('o_orderkey')}, o_orderkey) - 0.5)::DOUBLE / count(*) OVER (PARTITION BY o_orderstatus) AS p FROM orders)")
+def stratified_split(t, spark):
+    return R.split(t("orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", "o_orderkey").select("o_orderkey", "split")
+
+
+@query(f"SELECT doc_id FROM documents ORDER BY {MD5.format('doc_id')}, doc_id LIMIT 50")
+def fixed_sample_n(t, spark):
+    return t("documents").select("doc_id").orderBy(R.hash_order("doc_id"), "doc_id").limit(50)
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def resume_anti_join(t, spark):
+    return R.unseen(t("customer").select("c_custkey"), t("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def semi_join(t, spark):
+    o = t("orders").select(F.col("o_custkey").alias("c_custkey"))
+    return t("customer").select("c_custkey").join(o, "c_custkey", "left_semi")
+
+
+@query("SELECT s_suppkey, coalesce(n, 0) AS n_lines FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_quantity > 49 GROUP BY 1) ON s_suppkey = l_suppkey")
+def left_outer_coalesce(t, spark):
+    n = t("lineitem").where("l_quantity > 49").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("n"))
+    return t("supplier").select("s_suppkey").join(n, "s_suppkey", "left").select("s_suppkey", F.coalesce("n", F.lit(0)).alias("n_lines"))
+
+
+@query("SELECT event_id, prev_id FROM (SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_id FROM events)")
+def asof_previous_event(t, spark):
+    from pyspark.sql import Window
+
+    return t("events").select("event_id", F.lag("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("prev_id"))
+
+
+@query("SELECT p.k, p.x, (SELECT v.y FROM (VALUES (1, 0.0, 10.0), (1, 0.5, 20.0), (1, 1.0, 30.0)) v(k, x, y) WHERE v.k = p.k AND abs(v.x - p.x) < 0.1 ORDER BY abs(v.x - p.x), v.x LIMIT 1)::DOUBLE AS nearest_y FROM (VALUES (1, 0.04::DOUBLE), (1, 0.52::DOUBLE), (1, 0.95::DOUBLE)) p(k, x)")
+def nearest_point_match(t, spark):
+    p = spark.sql("SELECT * FROM VALUES (1, 0.04D), (1, 0.52D), (1, 0.95D) AS p(k, x)")
+    v = spark.sql("SELECT * FROM VALUES (1, 0.0D, 10.0D), (1, 0.5D, 20.0D), (1, 1.0D, 30.0D) AS v(k, x, y)")
+    return R.nearest(p, v, "k", "x", "y", 0.1)
+
+
+@query("SELECT item_id, style FROM benchmark CROSS JOIN (VALUES ('basic'), ('chain-of-thought'), ('few-shot'), ('tool-assisted')) s(style)")
+def cross_join_styles(t, spark):
+    styles = F.array(*map(F.lit, ("basic", "chain-of-thought", "few-shot", "tool-assisted")))
+    return t("benchmark").select("item_id", F.explode(styles).alias("style"))
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn = 1")
+def best_per_group(t, spark):
+    return R.best(t("orders").select("o_custkey", "o_orderkey", "o_totalprice"), "o_custkey", F.desc("o_totalprice"), F.col("o_orderkey")).select("o_custkey", "o_orderkey")
+
+
+@query("SELECT user_id, event_type, votes FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY votes DESC, event_type) AS rn FROM (SELECT user_id, event_type, count(*) AS votes FROM events GROUP BY 1, 2 HAVING count(*) > 1)) WHERE rn = 1")
+def majority_vote(t, spark):
+    return R.majority(t("events"), "user_id", "event_type")
+
+
+@query("SELECT p_brand, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_brand LIMIT 10")
+def topk_values(t, spark):
+    return t("part").groupBy("p_brand").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "p_brand").limit(10)
+
+
+@query("SELECT c_custkey AS id, c_acctbal AS bal, c_mktsegment AS segment FROM customer UNION ALL SELECT s_suppkey, s_acctbal, NULL FROM supplier")
+def union_missing_columns(t, spark):
+    return R.union_all(t("customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("bal"), F.col("c_mktsegment").alias("segment")), t("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("bal")))
+
+
+@query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+def intersect_ids(t, spark):
+    return t("customer").select(F.col("c_nationkey").alias("k")).intersect(t("supplier").select(F.col("s_nationkey").alias("k")))
+
+
+@query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
+def except_ids(t, spark):
+    return t("documents").select("doc_id").exceptAll(t("labels").select("doc_id")).distinct()
+
+
+@query("SELECT count(DISTINCT concat_ws('_', lang, source)) AS strata FROM documents")
+def distinct_strata(t, spark):
+    return t("documents").agg(F.count_distinct(F.concat_ws("_", "lang", "source")).alias("strata"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 80 THEN concat(substring(text, 1, 80), '...') ELSE text END AS short FROM documents WHERE lang = 'en'")
+def truncate_text(t, spark):
+    return t("documents").where("lang = 'en'").select("doc_id", text.shortened(F.col("text")).alias("short"))
+
+
+@query("SELECT p_partkey FROM part WHERE greatest(coalesce(p_size, 0), 0) <= 10")
+def filter_max_degree(t, spark):
+    return t("part").where(F.greatest(F.coalesce("p_size", F.lit(0)), F.lit(0)) <= 10).select("p_partkey")
+
+
+@query("SELECT conv_id, turn, length(text) AS chars, length(text) - length(replace(text, chr(10), '')) + 1 AS lines FROM conversations")
+def prompt_lengths(t, spark):
+    return t("conversations").select("conv_id", "turn", F.length("text").cast("long").alias("chars"), (F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1).cast("long").alias("lines"))
+
+
+@query("SELECT l_returnflag, round(avg(abs(p)), 6) AS mae, round(max(abs(p)), 6) AS max_error, round(sqrt(avg(p * p)), 6) AS rmse, round(sqrt(sum(p * p)) / sqrt(sum(l_extendedprice * l_extendedprice)), 9) AS rel_l2 FROM (SELECT *, l_extendedprice * (1 - l_discount) - l_extendedprice AS p FROM lineitem) GROUP BY 1")
+def error_norms(t, spark):
+    norms = metrics.error_norms(F.col("l_extendedprice") * (1 - F.col("l_discount")), F.col("l_extendedprice"))
+    return t("lineitem").groupBy("l_returnflag").agg(*(F.round(v, 9 if k == "rel_l2" else 6).alias(k) for k, v in norms.items()))
+
+
+EXPRESSIONS = ("2x + 3.5t", "exp(x)*t", "sinh(2x)", "cos(x - t)", "x 2 ^ x sin +", "\\frac{x}{2}", "7", "x**2 + 2*x*t")
+VALUES = ", ".join(f"('{e}')" for e in EXPRESSIONS)
+
+
+@query(
+    rf"SELECT e AS expr, regexp_replace(e, '(\d+\.?\d*(?:[eE][+-]?\d+)?)([a-zA-Z])', '\1*\2', 'g') AS fixed, CASE WHEN regexp_matches(lower(e), 'exp|e\*\*|e\^') THEN 'exponential' WHEN regexp_matches(lower(e), 'sinh|cosh|tanh') THEN 'hyperbolic' WHEN regexp_matches(lower(e), 'sin|cos|tan') THEN 'trigonometric' WHEN regexp_matches(lower(e), '[xt]') THEN 'polynomial' ELSE 'real_value' END AS kind, CASE WHEN regexp_matches(trim(e), '^[^()\\]*\s([-+*/^]|sin|cos|tan|exp|log|sqrt|neg)$') THEN 'rpn' WHEN regexp_matches(trim(e), '\\[a-zA-Z]+|[\^_]\{{') THEN 'latex' ELSE 'infix' END AS notation FROM (VALUES {VALUES}) v(e)"
+)
+def expression_functions(t, spark):
+    e = spark.range(1).select(F.explode(F.array(*map(F.lit, EXPRESSIONS))).alias("expr"))
+    c = F.col("expr")
+    return e.select("expr", text.explicit_product(c).alias("fixed"), text.expression_type(c).alias("kind"), text.notation(c).alias("notation"))
