@@ -243,6 +243,14 @@ def of_class(batches):
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
+def placed_in(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """``key, node, root, main`` of buckets (key, node) with several components: each node's and the bucket's largest."""
+    placed = buckets.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    sizes = placed.groupBy("key", "root").agg(F.count("*").alias("size"))
+    several = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("size", "root")).alias("most")).where("parts > 1")
+    return placed.join(several.select("key", F.col("most.root").alias("main")), "key")
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row.
 
@@ -275,26 +283,33 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     links = written(verified(first, nodes, texts), "verified")
     roots = components(links)
 
-    # then classes of one bucket that are in different components
-    placed = buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    parts = placed.groupBy("key", "root").agg(F.count("*").alias("size"), F.min("node").alias("one"))
-    mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("size", "root", "one")).alias("most")).where("parts > 1").select("key", F.col("most.root").alias("main"), F.col("most.one").alias("one"))
-    minor = written(placed.join(mixed, "key"), "mixed")
-    # against one class of the bucket's largest component, which links most of what can be linked
-    second = minor.where("root != main").select(F.col("node").alias("a"), F.col("one").alias("b")).distinct()
-    links = written(links.unionByName(verified(second, nodes, texts)), "verified")
-    roots = components(links)
-    # and, where components still differ, every class of a smaller one against all others of the bucket
-    again = minor.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    sizes = again.groupBy("key", "root").agg(F.count("*").alias("size"))
-    still = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("size", "root")).alias("most")).where("parts > 1").select("key", F.col("most.root").alias("main"))
-    again = written(again.join(still, "key"), "mixed")
-    other = again.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    pairs = again.where("root != main").join(other, "key").where("root != root_b")
-    pairs = pairs.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
-    pairs = pairs.join(first.unionByName(second).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-    last = verified(pairs, nodes, texts)
-    roots = components(links.unionByName(last))
+    # then classes of a bucket that aren't in its largest component, against a few spread members of that, twice;
+    # this links most of what can be linked, so that few are left for the comparison with every other class
+    mixed = written(placed_in(buckets, roots), "mixed")
+    for turn in range(2):
+        slot = F.pmod(F.xxhash64("node", "key", F.lit(turn)), F.lit(3))
+        some = mixed.where("root = main").groupBy("key", slot.alias("slot")).agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("b"))
+        pairs = mixed.where("root != main").select("key", F.col("node").alias("a")).join(some, "key").select("a", "b").distinct()
+        links = written(links.unionByName(verified(pairs, nodes, texts)), "verified")
+        roots = components(links)
+        mixed = written(placed_in(mixed.select("key", "node"), roots), "mixed")
+
+    # where components still differ, every class of a smaller one against all others of the bucket, each pair in the first bucket that both are in
+    sides = mixed.join(nodes.select("node", "n", "bands"), "node")
+    one = sides.where("root != main").select("key", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("na"), F.col("bands").alias("bands_a"))
+    other = sides.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("main").alias("main_b"), F.col("n").alias("nb"), F.col("bands").alias("bands_b"))
+    alike = F.zip_with("bands_a", "bands_b", lambda x, y: F.when(x == y, x))
+    earliest = F.get(F.filter(alike, lambda x: x.isNotNull()), F.lit(0))
+    fits = (
+        (one["key"] == other["key"])
+        & (F.col("root_a") != F.col("root_b"))
+        # two smaller ones meet once
+        & ((F.col("root_b") == F.col("main_b")) | (F.col("a") < F.col("b")))
+        & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * THRESHOLD)
+        & (earliest == one["key"])
+    )
+    pairs = one.join(other, fits).select("a", "b")
+    roots = components(links.unionByName(verified(pairs.distinct(), nodes, texts)))
 
     named = least.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     ids = named.groupBy("root").agg(F.min("low").alias("component"))
