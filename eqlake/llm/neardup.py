@@ -9,10 +9,12 @@ larger, smaller and equal registers give the most likely similarity; those
 that can reach the threshold are verified on their full sets.
 
 Equal sets form a class and are compared once. In a bucket each class is
-compared with one leader first; only classes that are then still in different
-components of one bucket are compared with each other. So a large group of
-copies costs about one comparison a member, and no link between components is
-lost that a common bucket shows.
+compared with one leader first, then with a few spread members of the bucket's
+largest component. Only classes that are then still in different components of
+one bucket are compared with each other, if they share one of their rarest
+shingles, which all that reach the threshold do. So a large group of copies
+costs a few comparisons a member, and no link between components is lost that
+a common bucket shows.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65535
 #: Pairs whose most likely similarity is lower than the threshold by more than this (5 deviations) aren't verified.
 MARGIN = 0.13
+#: Cells by which shingles are ordered, rare ones first; a power of two, so that counts have a fixed size (2 MB).
+CELLS = 1 << 18
 
 _rng = np.random.default_rng(20240607)
 _MULTIPLIERS = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -251,6 +255,73 @@ def placed_in(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     return placed.join(several.select("key", F.col("most.root").alias("main")), "key")
 
 
+def rarities(texts: DataFrame) -> np.ndarray:
+    """How often shingles fall into each of CELLS cells, over all of ``texts``: an array of fixed size."""
+    ship(texts.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for text in text_bytes(batch.column(0)):
+                np.add.at(total, cell_of(shingles(text)), 1)
+        cells = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(total[cells])], names=["cell", "n"])
+
+    counts = texts.select("text").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(CELLS, np.int64)
+    out[counts["cell"].to_numpy()] = counts["n"].to_numpy()
+    return out
+
+
+def cell_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+
+
+def rarest(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a set, in order; two sets that reach the threshold have one of them in common."""
+    order = np.lexsort((hashes, counts[cell_of(hashes)]))
+    return hashes[order[: len(hashes) + (-THRESHOLD * len(hashes)) // 100 + 1]]
+
+
+def sharing_rare(sides: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``sides`` (node, root, apart) of different roots that can still be similar, one of them ``apart`` at least.
+
+    All sets are put in one order, by how frequent the cells of their shingles
+    are. Sets that reach the threshold share a shingle among the first few of
+    each (prefix filter), and what stands from the first common one on must
+    suffice for the overlap (positional filter). Both are exact: nothing
+    that can reach the threshold is left out, and passages that many documents
+    have aren't among the first, so they make no pairs.
+    """
+    full = texts.join(sides, "node")
+    counts = rarities(full)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = [shingles(t) for t in text_bytes(batch.column("text"))]
+            heads = [rarest(h, counts).view(np.int64) for h in sets]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("node", "root", "apart")), pa.array([len(h) for h in sets], pa.int64()), pa.array(heads, pa.list_(pa.int64()))],
+                names=["node", "root", "apart", "n", "head"],
+            )
+
+    heads = full.select("node", "root", "apart", "text").mapInArrow(run, "node binary, root binary, apart boolean, n bigint, head array<bigint>")
+    heads = written(heads, "heads").select("node", "root", "apart", "n", F.posexplode("head").alias("place", "shingle"))
+    one, other = (heads.select("shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "root", "apart", "n", "place"))) for k in "ab")
+    fits = (
+        (F.col("root_a") != F.col("root_b"))
+        # two that are apart meet once
+        & (~F.col("apart_b") | (F.col("node_a") < F.col("node_b")))
+        & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * THRESHOLD)
+        & (F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) * (100 + THRESHOLD) >= (F.col("n_a") + F.col("n_b")) * THRESHOLD)
+    )
+    return one.where("apart_a").join(other, (one["shingle"] == other["shingle"]) & fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row.
 
@@ -283,33 +354,18 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     links = written(verified(first, nodes, texts), "verified")
     roots = components(links)
 
-    # then classes of a bucket that aren't in its largest component, against a few spread members of that, twice;
+    # then classes of a bucket that aren't in its largest component, against a few spread members of that;
     # this links most of what can be linked, so that few are left for the comparison with every other class
     mixed = written(placed_in(buckets, roots), "mixed")
-    for turn in range(2):
-        slot = F.pmod(F.xxhash64("node", "key", F.lit(turn)), F.lit(3))
-        some = mixed.where("root = main").groupBy("key", slot.alias("slot")).agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("b"))
-        pairs = mixed.where("root != main").select("key", F.col("node").alias("a")).join(some, "key").select("a", "b").distinct()
-        links = written(links.unionByName(verified(pairs, nodes, texts)), "verified")
-        roots = components(links)
-        mixed = written(placed_in(mixed.select("key", "node"), roots), "mixed")
-
-    # where components still differ, every class of a smaller one against all others of the bucket, each pair in the first bucket that both are in
-    sides = mixed.join(nodes.select("node", "n", "bands"), "node")
-    one = sides.where("root != main").select("key", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("na"), F.col("bands").alias("bands_a"))
-    other = sides.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("main").alias("main_b"), F.col("n").alias("nb"), F.col("bands").alias("bands_b"))
-    alike = F.zip_with("bands_a", "bands_b", lambda x, y: F.when(x == y, x))
-    earliest = F.get(F.filter(alike, lambda x: x.isNotNull()), F.lit(0))
-    fits = (
-        (one["key"] == other["key"])
-        & (F.col("root_a") != F.col("root_b"))
-        # two smaller ones meet once
-        & ((F.col("root_b") == F.col("main_b")) | (F.col("a") < F.col("b")))
-        & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * THRESHOLD)
-        & (earliest == one["key"])
-    )
-    pairs = one.join(other, fits).select("a", "b")
-    roots = components(links.unionByName(verified(pairs.distinct(), nodes, texts)))
+    some = mixed.where("root = main").groupBy("key", F.pmod(F.xxhash64("node", "key"), F.lit(3)).alias("slot")).agg(F.min_by("node", F.xxhash64("node")).alias("b"))
+    pairs = mixed.where("root != main").select("key", F.col("node").alias("a")).join(some, "key").select("a", "b").distinct()
+    links = written(links.unionByName(verified(pairs, nodes, texts)), "verified")
+    roots = components(links)
+
+    # where components still differ, classes that share one of their rarest shingles
+    mixed = placed_in(mixed.select("key", "node"), roots)
+    sides = written(mixed.groupBy("node").agg(F.first("root").alias("root"), F.bool_or(F.col("root") != F.col("main")).alias("apart")), "sides")
+    roots = components(links.unionByName(verified(sharing_rare(sides, texts), nodes, texts)))
 
     named = least.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     ids = named.groupBy("root").agg(F.min("low").alias("component"))
