@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import expressions as X
 from .functions import metrics, text
 from .operators import relational as R
 
@@ -228,3 +229,43 @@ def expression_functions(t, spark):
     e = spark.range(1).select(F.explode(F.array(*map(F.lit, EXPRESSIONS))).alias("expr"))
     c = F.col("expr")
     return e.select("expr", text.explicit_product(c).alias("fixed"), text.expression_type(c).alias("kind"), text.notation(c).alias("notation"))
+
+
+@query(
+    r"SELECT * FROM (VALUES ('2x + 3.5t', '2 x * 3.5 t * +', '2 \cdot x + 3.5 \cdot t', '2*x + 3.5*t'), ('sin(x)**2/3', 'x sin 2 ^ 3 /', '\frac{\sin(x)^{2}}{3}', 'math.sin(x)**2/3'), ('-x**2*(t - 1)', 'x 2 ^ neg t 1 - *', '-x^{2} \cdot (t - 1)', '-x**2*(t - 1)'), ('2 + (', NULL, NULL, NULL)) v(expr, rpn, latex, python)"
+)
+def notation_convert(t, spark):
+    e = spark.range(1).select(F.explode(F.array(*map(F.lit, ("2x + 3.5t", "sin(x)**2/3", "-x**2*(t - 1)", "2 + (")))).alias("expr"))
+    return e.select("expr", *(X.convert("expr", F.lit("infix"), F.lit(k)).alias(k) for k in ("rpn", "latex", "python")))
+
+
+def equations(t) -> DataFrame:
+    """An equation a part: kernel x t on [0, 1], f = size x, lambda = size / 100; so u = 3 f / (3 - lambda)."""
+    f = F.concat(F.col("p_size").cast("string"), F.lit("*x"))
+    return t("part").select("p_partkey", "p_brand", F.lit("x*t").alias("kernel"), f.alias("f"), (F.col("p_size") / 100).alias("lam"), F.lit(0.0).alias("a"), F.lit(1.0).alias("b"))
+
+
+@query("SELECT p_partkey, round(p_size * 3 / (3 - p_size / 100), 6) AS at_one FROM part")
+def separable_solutions(t, spark):
+    u = X.separable_solution("kernel", "f", "lam", "a", "b")
+    return equations(t).select("p_partkey", F.round(X.value_at(u, F.lit(1.0)), 6).alias("at_one"))
+
+
+@query("SELECT p_brand, count(*) AS n, count(*) AS n_verified, 0::BIGINT AS n_wrong_verified FROM part GROUP BY 1")
+def residual_check(t, spark):
+    rest = ("kernel", "f", "lam", "a", "b")
+    e = equations(t).select("p_brand", X.max_residual(X.separable_solution(*rest), *rest).alias("own"), X.max_residual("f", *rest).alias("wrong"))
+    return e.groupBy("p_brand").agg(F.count("*").alias("n"), F.count_if(F.col("own") < 1e-6).alias("n_verified"), F.count_if(F.col("wrong") < 1e-6).alias("n_wrong_verified"))
+
+
+@query("SELECT p_partkey, round(abs(p_size - p_retailprice), 6) AS max_error FROM part")
+def grid_max_error(t, spark):
+    pred, truth = (F.concat(F.col(c).cast("string"), F.lit("*x")) for c in ("p_size", "p_retailprice"))
+    return t("part").select("p_partkey", F.round(X.max_error(pred, truth, F.lit(0.0), F.lit(1.0)), 6).alias("max_error"))
+
+
+@query("SELECT * FROM (VALUES ('x**2 + sin(x)', 'sin(x)', 0.333333, 1.0, 0.5), ('x', 't', 1.0, 1.0, 1.0), ('cos(x)', 'exp(x)', 0.0, 0.0, 0.0)) v(pred, truth, op_precision, op_recall, op_f1)")
+def operator_scores(t, spark):
+    e = spark.sql("SELECT * FROM VALUES ('x**2 + sin(x)', 'sin(x)'), ('x', 't'), ('cos(x)', 'exp(x)') AS v(pred, truth)")
+    e = e.select("pred", "truth", X.operator_set("pred").alias("p"), X.operator_set("truth").alias("q"))
+    return e.select("pred", "truth", *(F.round(v, 6).alias(k.replace("set_", "op_")) for k, v in metrics.set_scores(F.col("p"), F.col("q")).items()))
