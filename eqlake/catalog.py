@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import expressions as X
 from .functions import metrics, text
+from .operators import generators
 from .operators import relational as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -269,3 +270,13 @@ def operator_scores(t, spark):
     e = spark.sql("SELECT * FROM VALUES ('x**2 + sin(x)', 'sin(x)'), ('x', 't'), ('cos(x)', 'exp(x)') AS v(pred, truth)")
     e = e.select("pred", "truth", X.operator_set("pred").alias("p"), X.operator_set("truth").alias("q"))
     return e.select("pred", "truth", *(F.round(v, 6).alias(k.replace("set_", "op_")) for k, v in metrics.set_scores(F.col("p"), F.col("q")).items()))
+
+
+@query(
+    "WITH e AS (SELECT p_partkey, -(p_partkey % 2)::DOUBLE AS a, p_size::DOUBLE AS b FROM part) SELECT p_partkey, v AS variant, kernel, f, k AS solution_type, round(CASE n WHEN 1 THEN 1 / (b - a) WHEN 2 THEN 3 / (b * b * b - a * a * a) ELSE c END, 9) AS lambda_val FROM e, "
+    "(VALUES (1, 'constant_kernel_eigenvalue', '1', 'x', 'none', 0::DOUBLE), (2, 'separable_kernel_eigenvalue', 'x*t', 'x**2', 'none', 0), (3, 'symmetric_kernel_eigenvalue', 'cos(x - t)', 'sin(x)', 'none', 1), (4, 'simple_first_kind', 'x*t', 'x**2', 'regularized', 0), (5, 'exponential_first_kind', 'exp(x*t)', 'exp(x)', 'regularized', 0), (6, 'oscillatory_first_kind', 'sin(x - t)', 'sin(2*x)', 'regularized', 0)) t(n, v, kernel, f, k, c) WHERE n <> 2 OR a >= 0"
+)
+def augment_templates(t, spark):
+    e = t("part").select("p_partkey", (-(F.col("p_partkey") % 2)).cast("double").alias("a"), F.col("p_size").cast("double").alias("b"), F.lit(0.1).alias("lambda_val"))
+    out = generators.augmented(e, "eigenvalue_cases", "ill_posed")
+    return out.select("p_partkey", F.col("augmentation_variant").alias("variant"), "kernel", "f", "solution_type", F.round("lambda_val", 9).alias("lambda_val"))
