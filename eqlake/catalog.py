@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import expressions as X
-from .functions import metrics, text
-from .operators import generators
+from .functions import metrics, prompts, text
+from .functions import responses as A
+from .operators import calls, generators
 from .operators import relational as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -280,3 +281,57 @@ def augment_templates(t, spark):
     e = t("part").select("p_partkey", (-(F.col("p_partkey") % 2)).cast("double").alias("a"), F.col("p_size").cast("double").alias("b"), F.lit(0.1).alias("lambda_val"))
     out = generators.augmented(e, "eigenvalue_cases", "ill_posed")
     return out.select("p_partkey", F.col("augmentation_variant").alias("variant"), "kernel", "f", "solution_type", F.round("lambda_val", 9).alias("lambda_val"))
+
+
+def responses(t) -> DataFrame:
+    """A response an order: a labelled answer, prose, points, or a denial, by its key."""
+    k = F.col("o_orderkey")
+    s = k.cast("string")
+    return t("orders").select(
+        "o_orderkey",
+        F.when(k % 4 == 0, F.concat(F.lit("Step 1: integrate\nStep 2: solve\nHAS_SOLUTION: Yes\nSOLUTION: u(x) = "), s, F.lit("*x\nSOLUTION_TYPE: exact_symbolic")))
+        .when(k % 4 == 1, F.concat(F.lit("Therefore, u(x) = $"), s, F.lit("*x + 1$.\nThat is all.")))
+        .when(k % 4 == 2, F.concat(F.lit("Solution type: discrete-points\n: [(0, 1), (1e-1, "), s, F.lit("), (1, -2.5)]")))
+        .otherwise("The kernel makes this inconsistent; it does not admit one.")
+        .alias("response"),
+    )
+
+
+@query(
+    "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_orderkey || '*x' WHEN 1 THEN o_orderkey || '*x + 1' END AS solution, CASE o_orderkey % 4 WHEN 0 THEN true WHEN 3 THEN false END AS has_solution, CASE o_orderkey % 4 WHEN 0 THEN 'exact_symbolic' WHEN 2 THEN 'discrete_points' END AS solution_type, "
+    "CASE WHEN o_orderkey % 4 = 2 THEN 3 END AS n_points, CASE WHEN o_orderkey % 4 = 2 THEN o_orderkey::DOUBLE END AS second_y, CASE WHEN o_orderkey % 4 = 0 THEN 'integrate' END AS first_step, CASE o_orderkey % 4 WHEN 0 THEN 0.7 WHEN 1 THEN 0.7 WHEN 2 THEN 0.8 ELSE 0.0 END AS confidence FROM orders"
+)
+def parse_responses(t, spark):
+    a = responses(t).select("o_orderkey", A.answer(F.col("response")).alias("a"))
+    readable = X.convert("a.solution", F.lit("infix"), F.lit("rpn")).isNotNull()
+    return a.select(
+        "o_orderkey", "a.solution", "a.has_solution", "a.solution_type", F.size("a.points").alias("n_points"), F.element_at("a.points", 2)["y"].alias("second_y"),
+        F.substring_index("a.reasoning", "\n", 1).alias("first_step"), A.confidence(F.col("a"), readable).alias("confidence"),
+    )
+
+
+@query(
+    "SELECT p_partkey, style, length(head || E'\\n\\nSolve the following Fredholm integral equation:\\n\\nu(x) - 0.5 * ∫[0, 1] (x*t) u(t) dt = ' || p_size || E'*x\\n\\nDomain: [0, 1]\\n\\nProvide the solution u(x).') AS n_chars, hint FROM "
+    "(SELECT *, '[Has solution: ' || CASE WHEN p_size % 2 = 0 THEN 'Yes' ELSE 'No' END || ', Type: ' || p_type || ']' AS hint FROM part) p, (VALUES "
+    + ", ".join(f"('{k}', '{(v.format(notation='infix') + chr(10) + prompts.REMARKS).replace(chr(39), chr(39) * 2)}')" for k, v in prompts.SYSTEM.items() if k != "few-shot")
+    + ") s(style, head)"
+)
+def render_prompts(t, spark):
+    e = t("part").select(
+        F.col("p_partkey").alias("equation_id"), F.lit("x*t").alias("kernel"), F.concat(F.col("p_size").cast("string"), F.lit("*x")).alias("f"), F.lit(0.5).alias("lambda_val"), F.lit(0).alias("a"), F.lit(1).alias("b"),
+        (F.col("p_size") % 2 == 0).alias("has_solution"), F.col("p_type").alias("solution_type"),
+    )
+    p = prompts.prompts(e, "basic,chain-of-thought,tool-assisted", mode="hints")
+    hint = F.substring_index("prompt", "\n", -1)
+    return p.select(F.col("equation_id").alias("p_partkey"), "style", (F.length("prompt") - F.length(hint) - 1).cast("long").alias("n_chars"), hint.alias("hint"))
+
+
+@query(
+    "WITH c AS (SELECT event_type AS model, user_id % 2 AS provider, (event_id % 5000)::BIGINT AS tp, (event_id % 700)::BIGINT AS tc FROM events) SELECT provider, model, count(*) AS calls, sum(tp)::BIGINT AS prompt_tokens, sum(tc)::BIGINT AS completion_tokens, "
+    "sum(CASE WHEN model = 'click' THEN tp * 25 + tc * 100 ELSE 0 END) / 1e7 AS cost FROM c GROUP BY ROLLUP (provider, model)"
+)
+def call_costs(t, spark):
+    c = t("events").select(F.col("event_type").alias("model"), (F.col("user_id") % 2).alias("provider"), (F.col("event_id") % 5000).alias("prompt_tokens"), F.lit(0).alias("cached_tokens"), (F.col("event_id") % 700).alias("completion_tokens"))
+    prices = spark.sql("SELECT 'click' AS model, 2.5 AS input, 1.25 AS cached, 10.0 AS output")
+    out = calls.cost_summary(calls.priced(c, prices))
+    return out.select("provider", "model", "calls", "prompt_tokens", "completion_tokens", F.col("total_cost_usd").cast("double").alias("cost"))
