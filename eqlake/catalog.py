@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import expressions as X
-from .functions import metrics, prompts, text
+from .functions import metrics, prompts, terms, text
 from .functions import responses as A
 from .operators import calls, generators
 from .operators import relational as R
@@ -335,3 +335,38 @@ def call_costs(t, spark):
     prices = spark.sql("SELECT 'click' AS model, 2.5 AS input, 1.25 AS cached, 10.0 AS output")
     out = calls.cost_summary(calls.priced(c, prices))
     return out.select("provider", "model", "calls", "prompt_tokens", "completion_tokens", F.col("total_cost_usd").cast("double").alias("cost"))
+
+
+@query(
+    "SELECT p_partkey, 2 AS terms_compared, CASE WHEN d / s <= 0.1 THEN 1.0 ELSE 0.5 END AS match_rate, d AS max_abs_error, round(d / s, 9) AS max_rel_error, d / s <= 0.1 AS match FROM (SELECT p_partkey, p_size::DOUBLE AS s, (p_partkey % 9)::DOUBLE AS d FROM part)"
+)
+def coefficient_match(t, spark):
+    s, d = F.col("p_size"), F.col("p_partkey") % 9
+    pred = F.concat((s + d).cast("string"), F.lit("*x*x - 2*sin(x) + exp(x)"))
+    truth = F.concat(F.lit("-sin(x)*2 + "), s.cast("string"), F.lit("*x**2"))
+    e = t("part").select("p_partkey", terms.coefficients(pred).alias("p"), terms.coefficients(truth).alias("q"))
+    e = e.select("p_partkey", terms.coefficient_scores(F.col("p"), F.col("q")).alias("c"))
+    return e.select("p_partkey", "c.terms_compared", "c.match_rate", "c.max_abs_error", F.round("c.max_rel_error", 9).alias("max_rel_error"), "c.match")
+
+
+@query(
+    "SELECT o_orderkey, 5 - k AS matched_points, (5 - k) / 5 AS accuracy, k <= 1 AS match, CASE WHEN k > 0 THEN 0.5 ELSE 0.0 END AS max_error, round(k * 0.5 / 5, 9) AS mae FROM (SELECT o_orderkey, (o_orderkey % 5)::INT AS k FROM orders)"
+)
+def point_list_scores(t, spark):
+    k = (F.col("o_orderkey") % 5).cast("int")
+    truth = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.struct((i / 4).alias("x"), i.cast("double").alias("y")))
+    pred = F.transform(truth, lambda p: F.struct((p["x"] + 0.0005).alias("x"), F.when(p["y"] < k, p["y"] + 0.5).otherwise(p["y"]).alias("y")))
+    e = t("orders").select("o_orderkey", terms.point_scores(pred, truth).alias("s"))
+    return e.select("o_orderkey", "s.matched_points", "s.accuracy", "s.match", "s.max_error", F.round("s.mae", 9).alias("mae"))
+
+
+@query(
+    "SELECT p_brand, count(*) AS n, count(*) FILTER (p_size % 3 <> 0 AND p_partkey % 4 <> 0) AS n_valid, count(*) FILTER (p_size % 3 = 0) AS n_bad_kernel, count(*) FILTER (p_partkey % 4 = 0) AS n_bad_domain FROM part GROUP BY 1"
+)
+def validate_equations(t, spark):
+    e = t("part").select(
+        "p_brand", F.when(F.col("p_size") % 3 == 0, "x*(t").otherwise("x*t").alias("kernel"), F.lit("x**2").alias("f"), F.col("p_size").cast("string").alias("lambda_val"),
+        F.when(F.col("p_partkey") % 4 == 0, 2.0).otherwise(0.0).alias("a"), F.lit(1.0).alias("b"), F.lit("x").alias("solution"),
+    )
+    has = lambda text: F.count_if(F.exists("errors", lambda m: m.startswith(text)))
+    return terms.checked(e).groupBy("p_brand").agg(F.count("*").alias("n"), F.count_if("valid").alias("n_valid"), has("Invalid kernel").alias("n_bad_kernel"), has("Invalid domain").alias("n_bad_domain"))
