@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed values: (strategy, variant, kernel, f, u, lambda in SQL over a, b and lambda, has_solution, solution_type, which rows).
+#: Fixed values: (strategy, variant, kernel, f, u, lambda in SQL over a, b and lambda, has_solution, solution_type, which rows); f or u None: the equation's own.
 TEMPLATES = (
     ("eigenvalue_cases", "constant_kernel_eigenvalue", "1", "x", "", "if(b = a, 1.0D, 1 / (b - a))", False, "none", "true"),
     ("eigenvalue_cases", "separable_kernel_eigenvalue", "x*t", "x**2", "", "if(b = a, 1.0D, 3 / (b * b * b - a * a * a))", False, "none", "a >= 0"),
@@ -13,6 +13,15 @@ TEMPLATES = (
     ("range_violation", "even_odd_mismatch", "cos(x) * cos(t)", "x", "", "lambda_val", False, "none", "true"),
     ("range_violation", "separable_orthogonal", "sin(pi*x) * sin(pi*t)", "cos(pi*x)", "", "lambda_val * 0.5D", False, "none", "true"),
     ("range_violation", "finite_rank_incompatible", "sin(x)*sin(t) + cos(x)*cos(t)", "x**2", "", "lambda_val * 0.3D", False, "none", "true"),
+    ("divergent_kernel", "cauchy_singularity", "1 / (abs(x - t) + 1e-10)", None, "", "lambda_val * 0.1D", False, "none", "true"),
+    ("divergent_kernel", "second_order_pole", "1 / (abs(x - t) + 1e-10)**2", None, "", "lambda_val * 0.05D", False, "none", "true"),
+    ("divergent_kernel", "mixed_smooth_divergent", "(1 + x*t) / (abs(x - t) + 1e-10)", None, "", "lambda_val * 0.1D", False, "none", "true"),
+    ("weakly_singular", "logarithmic_kernel", "log(abs(x - t) + 1e-10)", None, None, "lambda_val * 0.1D", True, "approx_coef", "true"),
+    ("weakly_singular", "power_law_kernel", "1/sqrt(abs(x - t) + 1e-8)", None, None, "lambda_val * 0.1D * 0.5D", True, "approx_coef", "true"),
+    ("weakly_singular", "algebraic_mixed_kernel", "(x + t + 1) / sqrt(abs(x - t) + 1e-8)", None, None, "lambda_val * 0.1D * 0.3D", True, "approx_coef", "true"),
+    ("near_resonance", "separable_near_eigenvalue", "sin(pi*x) * sin(pi*t)", "sin(pi*x)", "", "2.1D", True, "discrete_points", "true"),
+    ("near_resonance", "constant_near_eigenvalue", "1", "1", "", "1.05D", True, "discrete_points", "true"),
+    ("near_resonance", "very_near_eigenvalue", "sin(pi*x) * sin(pi*t)", "sin(pi*x) + 0.1*sin(2*pi*x)", "", "2.01D", True, "discrete_points", "true"),
     ("ill_posed", "simple_first_kind", "x*t", "x**2", "", "0.0D", True, "regularized", "true"),
     ("ill_posed", "exponential_first_kind", "exp(x*t)", "exp(x)", "", "0.0D", True, "regularized", "true"),
     ("ill_posed", "oscillatory_first_kind", "sin(x - t)", "sin(2*x)", "", "0.0D", True, "regularized", "true"),
@@ -25,16 +34,19 @@ def augmented(equations: DataFrame, *strategies: str) -> DataFrame:
     """Template rows of each equation (a, b, lambda_val doubles); the other columns come along.
 
     A row whose a, b or lambda_val is null gives rows with a null lambda where
-    that depends on it, and none where a condition on it can't be decided. An
+    that depends on it, and none where a condition on it can't be decided. Templates
+    that keep the equation's f or u have null where there is no such column. An
     unknown strategy is an error.
     """
     if unknown := set(strategies) - {t[0] for t in TEMPLATES}:
         raise ValueError(f"unknown strategies: {sorted(unknown)}")
+    own = {c: F.col(c).cast("string") if c in equations.columns else F.lit(None).cast("string") for c in ("f", "u")}
     rows = [
         F.when(
             F.expr(where),
             F.struct(
-                *(F.lit(v).alias(k) for k, v in (("augmentation_type", strategy), ("augmentation_variant", variant), ("kernel", kernel), ("f", f), ("u", u))),
+                *(F.lit(v).alias(k) for k, v in (("augmentation_type", strategy), ("augmentation_variant", variant), ("kernel", kernel))),
+                *((own[k] if v is None else F.lit(v)).alias(k) for k, v in (("f", f), ("u", u))),
                 F.expr(lam).cast("double").alias("lambda_val"),
                 F.lit(solved).alias("has_solution"),
                 F.lit(kind).alias("solution_type"),

@@ -24,3 +24,12 @@ def test_singular(spark):
     for r in rows(spark, "eigenvalue_cases"):
         if r.id < 3 and r.augmentation_variant != "symmetric_kernel_eigenvalue":
             assert X.solve(r.kernel, r.f, r.lambda_val, r.a, r.b) is None
+
+
+def test_own_sides_are_kept(spark):
+    e = spark.createDataFrame([(1, "x**2", "x", 0.0, 1.0, 0.5)], "i int, f string, u string, a double, b double, lambda_val double")
+    got = {r.augmentation_variant: r for r in generators.augmented(e, "divergent_kernel", "weakly_singular", "near_resonance").collect()}
+    assert len(got) == 9 and got["cauchy_singularity"].f == got["power_law_kernel"].f == "x**2"
+    assert got["power_law_kernel"].u == "x" and got["cauchy_singularity"].u == "" and got["very_near_eigenvalue"].f.startswith("sin(pi*x)")
+    assert round(got["power_law_kernel"].lambda_val, 12) == 0.025 and got["constant_near_eigenvalue"].lambda_val == 1.05
+    assert [r.f for r in generators.augmented(e.drop("f", "u"), "weakly_singular").collect()] == [None] * 3
