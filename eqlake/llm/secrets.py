@@ -35,9 +35,21 @@ BASE = (
     Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", 1, r"[0-9a-f]{24,}", 0, 24),
 )
+#: A line break, also one written as \\n, with what stands before it and a quote's or indent's start after it.
+_BREAK = r"""[ \t]*+["']?(?:\r\n?|\n|(?:\\r)?\\n)[ \t>"']*+"""
+#: A line of base64 and nothing else.
+_BASE64 = r"""[A-Za-z0-9+/]++={0,2}(?=[ \t]*+(?:["'`,;\r\n\\]|\z))"""
+#: A private key from its header to the footer of the same name with no other header or footer between; without such a footer
+#: its header lines and the base64 lines that follow, or base64 in one line. Possessive, so that long bodies don't fill the stack.
+_PEM = (
+    r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----"
+    r"(?:[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END \1PRIVATE KEY-----"
+    rf"|(?:{_BREAK}[A-Z][A-Za-z0-9-]*+: [^\r\n\\]*+)*+(?:{_BREAK}){{1,2}}{_BASE64}(?:{_BREAK}{_BASE64})*+"
+    r"|(?:[ \t]*+[A-Za-z0-9+/]{40,}+={0,2})++(?:[ \t]++(?:[A-Za-z0-9+/]{16,}+={0,2}|[A-Za-z0-9+/]++={1,2}))?+)?+"
+)
 #: Further kinds of public key and token formats.
 RULES = BASE + (
-    Rule("pem", 1, r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 1),
+    Rule("pem", 2, _PEM, 0, 1),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
     Rule("hub", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
     Rule("chat", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),

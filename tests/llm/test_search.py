@@ -142,3 +142,27 @@ def test_redaction(spark):
     assert secrets.redacted(docs).columns == docs.columns
     assert out[7].text == "[secret], [secret] token: short [secret]" and out[7].n_chars == len(out[7].text)
     assert out[1].text is None and out[9].text == fixtures.LONG
+
+
+def test_redaction_of_whole_keys(spark):
+    line = "MIIEvQIBADANBgkqhkiG9w0BAQEFAASCBKcwggSjAgEAAoIBAQC7VJTUt9Us8cKj"
+    body = "\n".join([line] * 2000 + ["Zm9v+/=="])  # 130 KB
+    begin, end = "-----BEGIN {}PRIVATE KEY-----", "-----END {}PRIVATE KEY-----"
+    own, rsa = (begin.format(""), end.format("")), (begin.format("RSA "), end.format("RSA "))
+    armor = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n"
+    cases = {
+        1: (f"a {own[0]}\n{body}\n{own[1]} b", "a [secret] b"),
+        2: (f"a {rsa[0]}\n{armor}{body}\n{rsa[1]}\nb", "a [secret]\nb"),
+        # no footer, another footer, and another key in between
+        3: (f"a {rsa[0]}\n{armor}{body}\nand so on", "a [secret]\nand so on"),
+        4: (f"{rsa[0]}\n{line}\n{own[1]} b", f"[secret]\n{own[1]} b"),
+        5: (f"{own[0]}\n{line}\nplain words\n{rsa[0]}\r\n{line}\r\n{rsa[1]}\n{own[1]}", f"[secret]\nplain words\n[secret]\n{own[1]}"),
+        6: (f'"key": "{own[0]}\\n{line}\\n{line}"}}', '"key": "[secret]"}'),
+        7: (f"{own[0]} {line} {line} Zm9vYmFyYmF6Zm9v= and so on", "[secret] and so on"),
+        8: (f"the marker {own[0]} begins a key", "the marker [secret] begins a key"),
+        9: (f"{own[0]}\n{line}\n{own[1]}{own[0]}\n{line}\n{own[1]}", "[secret][secret]"),
+    }
+    docs = spark.createDataFrame([(k, text) for k, (text, _) in cases.items()], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in secrets.redacted(docs).collect()} == {k: out for k, (_, out) in cases.items()}
+    spans = {r.doc_id: r.spans for r in secrets.secrets(docs).collect()}
+    assert f"pem:2:{len(cases[1][0]) - 2}" in spans[1].split(",")
