@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from eqlake.llm import decontaminate, neardup, packing, secrets, toxicity
 from eqlake.llm.common import table, written
 
+#: Words in a shingle of the near-duplicate stage: two, as in op7, would link texts with changes scattered over them.
+STAGE_SHINGLE = 5
+
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go; the model learns from the labels that aren't held out."""
@@ -21,7 +24,7 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = neardup.near_duplicates(docs, STAGE_SHINGLE).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
 
 

@@ -130,7 +130,7 @@ def likeliest(a: np.ndarray, b: np.ndarray, size_a: int, size_b: int) -> float:
     return float(j[int(np.argmax(value))])
 
 
-def signatures(documents: DataFrame) -> DataFrame:
+def signatures(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
     """``doc_id, n, node, sketch, bands``: size, class and sketch of each row's set (null class if it is empty)."""
     ship(documents.sparkSession)
 
@@ -140,7 +140,7 @@ def signatures(documents: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for named, text in zip(batch.column(0).is_valid().to_pylist(), text_bytes(batch.column(1)), strict=True):
-                h = shingles(text)
+                h = shingles(text, size)
                 if len(h) and not named:
                     rows.append((len(h), None, None, None))
                 elif len(h):
@@ -194,7 +194,7 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets are similar: first by sketch and size, then on the full sets of words."""
     ship(pairs.sparkSession)
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
@@ -225,7 +225,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
             if node not in known:
                 if len(known) >= 64:
                     known.clear()
-                known[node] = shingle_set(text)
+                known[node] = shingle_set(text, size)
             return known[node]
 
         for batch in batches:
@@ -239,12 +239,17 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return full.select("a", "b", "ta", "tb").mapInArrow(exact, "a binary, b binary")
 
 
-def of_class(batches):
-    import pyarrow as pa
+def of_class(rows: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """Those of ``rows`` (node, text) whose text has the node's set."""
 
-    for batch in batches:
-        keep = [class_of(shingles(t)) == n for n, t in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True)]
-        yield batch.filter(pa.array(keep, pa.bool_()))
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = [class_of(shingles(t, size)) == n for n, t in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(run, "node binary, text string")
 
 
 def placed_in(buckets: DataFrame, roots: DataFrame) -> DataFrame:
@@ -255,7 +260,7 @@ def placed_in(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     return placed.join(several.select("key", F.col("most.root").alias("main")), "key")
 
 
-def rarities(texts: DataFrame) -> np.ndarray:
+def rarities(texts: DataFrame, size: int = SHINGLE) -> np.ndarray:
     """How often shingles fall into each of CELLS cells, over all of ``texts``: an array of fixed size."""
     ship(texts.sparkSession)
 
@@ -265,7 +270,7 @@ def rarities(texts: DataFrame) -> np.ndarray:
         total = np.zeros(CELLS, np.int64)
         for batch in batches:
             for text in text_bytes(batch.column(0)):
-                np.add.at(total, cell_of(shingles(text)), 1)
+                np.add.at(total, cell_of(shingles(text, size)), 1)
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(total[cells])], names=["cell", "n"])
 
@@ -285,7 +290,7 @@ def rarest(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return hashes[order[: len(hashes) + (-THRESHOLD * len(hashes)) // 100 + 1]]
 
 
-def sharing_rare(sides: DataFrame, texts: DataFrame) -> DataFrame:
+def sharing_rare(sides: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFrame:
     """Pairs (a, b) of ``sides`` (node, root, apart) of different roots that can still be similar, one of them ``apart`` at least.
 
     All sets are put in one order, by how frequent the cells of their shingles
@@ -296,13 +301,13 @@ def sharing_rare(sides: DataFrame, texts: DataFrame) -> DataFrame:
     have aren't among the first, so they make no pairs.
     """
     full = texts.join(sides, "node")
-    counts = rarities(full)
+    counts = rarities(full, size)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            sets = [shingles(t) for t in text_bytes(batch.column("text"))]
+            sets = [shingles(t, size) for t in text_bytes(batch.column("text"))]
             heads = [rarest(h, counts).view(np.int64) for h in sets]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("node", "root", "apart")), pa.array([len(h) for h in sets], pa.int64()), pa.array(heads, pa.list_(pa.int64()))],
@@ -322,10 +327,10 @@ def sharing_rare(sides: DataFrame, texts: DataFrame) -> DataFrame:
     return one.where("apart_a").join(other, (one["shingle"] == other["shingle"]) & fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
+def near_duplicates(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row.
 
-    Sets are of distinct SHINGLE-word shingles; two are linked at a Jaccard
+    Sets are of distinct shingles of ``size`` words; two are linked at a Jaccard
     similarity of THRESHOLD hundredths. ``component_id`` is the least doc_id
     of the component and ``kept`` says whether it is the row's own. Null and empty
     texts have no shingles and are linked with nothing, and neither is a row
@@ -333,7 +338,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     the same component and are all kept if one is. An empty table gives an
     empty one.
     """
-    own = written(signatures(documents), "signatures")
+    own = written(signatures(documents, size), "signatures")
     known = own.where("node is not null")
     least = known.groupBy("node").agg(F.min("doc_id").alias("low"))
     # one row a class; size, sketch and bands follow from the set, so they are the same in all its rows
@@ -346,12 +351,12 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     ids = wanted.join(nodes, "node").select("low", "node")
     texts = documents.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("low")).select("node", "text")
     # one text a class, even if an id repeats with the same or another text
-    texts = written(texts.mapInArrow(of_class, "node binary, text string").dropDuplicates(["node"]), "texts")
+    texts = written(of_class(texts, size).dropDuplicates(["node"]), "texts")
 
     # first each class against the leader that most of its buckets share
     votes = buckets.where("node != leader").groupBy("node", "leader").agg(F.count("*").alias("n"))
     first = votes.groupBy("node").agg(F.max_by("leader", F.struct("n", "leader")).alias("b")).select(F.col("node").alias("a"), "b")
-    links = written(verified(first, nodes, texts), "verified")
+    links = written(verified(first, nodes, texts, size), "verified")
     roots = components(links)
 
     # then classes of a bucket that aren't in its largest component, against a few spread members of that;
@@ -359,13 +364,13 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     mixed = written(placed_in(buckets, roots), "mixed")
     some = mixed.where("root = main").groupBy("key", F.pmod(F.xxhash64("node", "key"), F.lit(3)).alias("slot")).agg(F.min_by("node", F.xxhash64("node")).alias("b"))
     pairs = mixed.where("root != main").select("key", F.col("node").alias("a")).join(some, "key").select("a", "b").distinct()
-    links = written(links.unionByName(verified(pairs, nodes, texts)), "verified")
+    links = written(links.unionByName(verified(pairs, nodes, texts, size)), "verified")
     roots = components(links)
 
     # where components still differ, classes that share one of their rarest shingles
     mixed = placed_in(mixed.select("key", "node"), roots)
     sides = written(mixed.groupBy("node").agg(F.first("root").alias("root"), F.bool_or(F.col("root") != F.col("main")).alias("apart")), "sides")
-    roots = components(links.unionByName(verified(sharing_rare(sides, texts), nodes, texts)))
+    roots = components(links.unionByName(verified(sharing_rare(sides, texts, size), nodes, texts, size)))
 
     named = least.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     ids = named.groupBy("root").agg(F.min("low").alias("component"))

@@ -99,3 +99,40 @@ def test_pipeline(spark, sf_dir):
         assert stage(spark, docs, sf_dir).columns == docs.columns
     ids = {r.doc_id for r in corpus_pipeline.run(spark, sf_dir).select("doc_id").distinct().collect()}
     assert 0 < len(ids) < docs.count()
+
+
+def links(rows, size):
+    """Exact components, every pair compared."""
+    sets = [(i, s) for i, t in rows if (s := neardup.shingle_set((t or "").encode(), size))]
+    low = {i: i for i, _ in rows}
+    for k, (i, s) in enumerate(sets):
+        for j, other in sets[:k]:
+            if 100 * (both := len(s & other)) >= 80 * (len(s) + len(other) - both) and low[i] != low[j]:
+                a, b = sorted((low[i], low[j]))
+                low = {n: a if x == b else x for n, x in low.items()}
+    return low
+
+
+def test_near_duplicate_stage(spark):
+    """The stage takes five words: one changed word in 20 is not near, one in 100 is."""
+    import random
+
+    import corpus_pipeline
+
+    rng, rows = random.Random(3), []
+    for base in range(12):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        for version, every in enumerate((0, 20, 20, 100, 60)):
+            own = list(words)
+            for at in range(every - 1 - version if every else 200, 200, every or 200):
+                own[at] = f"new{base}x{version}x{at}"
+            rows.append((10 * base + version, " ".join(own)))
+    rows += [(900, None), (901, ""), (902, "few words"), (903, "few words"), (904, "Few  WORDS only")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    five, two = links(rows, 5), links(rows, 2)
+    assert five != two
+    out = corpus_pipeline.remove_near_duplicates(spark, docs, "")
+    assert sorted(r.doc_id for r in out.collect()) == [i for i, low in five.items() if i == low]
+    for size, want in ((5, five), (2, two)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, size).collect()}
+        assert got == {i: (len(neardup.shingle_set((t or "").encode(), size)), want[i]) for i, t in rows}
