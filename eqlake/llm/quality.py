@@ -3,8 +3,8 @@
 Each document's character classes and its language's common words give two
 histograms. Summed over all documents of a language they are its reference;
 a document whose Jensen-Shannon distance from it is large is unlike the
-language: symbols, tables, word salad. Short documents are not judged by
-histograms that they are too short to fill.
+language: symbols, tables, word salad. The fewer words a document has, the
+larger is the distance that chance alone makes, so the limits fall with length.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ from .common import UPPER, fold, small_frame, written
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
-#: Words a document needs before its common words are judged.
-MIN_COMMON = 300
-#: Largest Jensen-Shannon distances (square root, base 2) to the language's reference that still pass.
+#: Largest Jensen-Shannon distances (square root, base 2) to the language's reference that still pass, in documents of any length.
 MAX_CLASS, MAX_COMMON = 0.30, 0.30
+#: Shares of these limits that hold for endless documents, and what a document of one word has besides (in squares, falling with words).
+CLASS_LIMIT, COMMON_LIMIT = (0.16 / 0.30, 1.8 / 0.30), (0.08 / 0.30, 3.5 / 0.30)
 MAX_LANGS = 1024
 
 #: Common words of languages: fixed values.
@@ -114,6 +114,12 @@ def distance(p: Column, q: Column) -> Column:
     return F.when((tp > 0) & (tq > 0), F.sqrt(F.greatest(value, F.lit(0.0)))).otherwise(0.0)
 
 
+def limit(most: float, shape: tuple[float, float]) -> Column:
+    """The largest distance that passes in a document of ``n_words``: ``most``, or less where chance explains less."""
+    floor, spread = shape
+    return most * F.least(F.lit(1.0), F.sqrt(floor**2 + spread**2 / F.greatest("n_words", F.lit(1))))
+
+
 def references(measured: DataFrame) -> DataFrame:
     """``lang, ref_classes, ref_common``: counts over all documents of each language; null stands for all documents.
 
@@ -136,16 +142,16 @@ def quality(documents: DataFrame, max_class: float = MAX_CLASS, max_common: floa
     A row without a language is compared with all documents' classes and not by
     common words, and so is one whose language has no list. Null and empty texts
     have no words and so fail. Repeated rows repeat and count in the references;
-    an empty table gives an empty one.
+    an empty table gives an empty one. ``max_class`` and ``max_common`` are the
+    limits of short documents; those of longer ones are in proportion.
     """
     measured = written(measures(documents), "quality")
     ref = references(measured)
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     rows = measured.join(F.broadcast(ref.withColumnRenamed("lang", "_lang")), F.col("lang").eqNullSafe(F.col("_lang")), "left")
     rows = rows.withColumn("class_distance", distance(F.col("classes"), F.col("ref_classes")))
-    guarded = F.when(F.col("common").isNotNull() & (F.col("n_words") >= MIN_COMMON), distance(F.col("common"), F.col("ref_common"))).otherwise(0.0)
-    rows = rows.withColumn("common_distance", guarded)
-    fine = (F.col("class_distance") <= max_class) & (F.col("common_distance") <= max_common)
+    rows = rows.withColumn("common_distance", F.when(F.col("common").isNotNull(), distance(F.col("common"), F.col("ref_common"))).otherwise(0.0))
+    fine = (F.col("class_distance") <= limit(max_class, CLASS_LIMIT)) & (F.col("common_distance") <= limit(max_common, COMMON_LIMIT))
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "class_distance", "common_distance", (~failed & fine).alias("kept")
     )

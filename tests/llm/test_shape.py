@@ -147,6 +147,25 @@ def test_distances(spark, sf_dir):
     assert list(one.classes) == [2, 2, 2, 1, 1, 3]
 
 
+def test_common_words_of_short_and_long_documents(spark):
+    """Text without its language's common words goes at any length that the base rules allow, and prose stays."""
+    import random
+
+    rng = random.Random(4)
+    common, rare = quality.COMMON["en"], [f"{a}{b}" for a in ("ra", "lo", "mi", "te", "su", "po") for b in ("nder", "stic", "lum", "ven", "gost", "prak")]
+
+    def text(n, share):
+        return " ".join(rng.choice(common) if rng.random() < share else rng.choice(rare) for _ in range(n))
+
+    rows = [(k, text(60 + 20 * k, 0.4), "en") for k in range(60)]
+    rows += [(100 + n, text(n, 0.0), "en") for n in (60, 120, 200, 290, 400)]
+    # a distance of about 0.2, which only chance in a short text explains
+    rows += [(5000, text(4000, 0.12), "en")]
+    kept = {r.doc_id: r.kept for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(kept[k] for k in range(60))
+    assert not any(kept[k] for k in kept if k >= 100)
+
+
 CONVERSATIONS = [
     (1, 0, "system", "be & brief <|end|>"),
     (1, 1, "user", "hi [x] |y| &lt;"),
