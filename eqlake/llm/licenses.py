@@ -36,6 +36,9 @@ NOTICES = BASE + (
     ("this is free and unencumbered software released into the public domain", "unlicense"),
 )
 
+#: Names of other licenses that are within the edits of a notice; they aren't misspellings of it.
+OTHERS = frozenset({"cc by nd", "apache license version 1"})
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -75,7 +78,7 @@ class NoticeFinder:
                             if m := fuzzy.search(line, max(0, low - 1), min(len(line), high + 1)):
                                 a, b = m.span()
                                 edge = (a == 0 or line[a - 1] == " ") and line[b : b + 1] in ("", " ")
-                                if edge:
+                                if edge and line[a:b] not in OTHERS:
                                     found.add((a, b, sum(m.fuzzy_counts), phrase, label))
                     at = line.find(piece, at + 1)
         return sorted(found)

@@ -67,6 +67,15 @@ def test_every_bounded_edit_is_found():
                 assert label in {m[4] for m in finder.matches(line)}, variant
 
 
+def test_another_license_is_no_misspelling():
+    finder = licenses.NoticeFinder()
+    for text in ("this is cc by nd here", "cc by nd", "the Apache License, Version 1.1 applies"):
+        found = finder.scan(text.encode())
+        assert (found["labels"], found["score"], found["spans"]) == ("", 0.0, [])
+    assert finder.scan(b"cc by nd and cc by nc")["labels"] == finder.scan(b"cc by nq")["labels"] == "cc-by-nc"
+    assert finder.scan(b"apache licence version 2")["labels"] == "apache-2"
+
+
 def contaminated(docs, items):
     out = []
     patterns = {}
