@@ -1,9 +1,10 @@
 """Chat formatting in budgeted windows.
 
 Prefix sums of turn tokens cut a conversation into turn-aligned spans. A window
-is the system turn, a limited history repeated from the window before, and its
-own span. Only the window's own assistant turns are under its loss mask, so each is
-a target once. Control strings in texts are escaped, reversibly.
+is the system turn, a limited history repeated from before, and its own span; it
+closes before it would pass the budget. Only the window's own assistant turns are
+under its loss mask, so each is a target once. Control strings in texts are
+escaped, reversibly.
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-#: Tokens (estimated) of a window, of which so many may be repeated history, in so many turns at most.
-BUDGET, HISTORY, HISTORY_TURNS = 1024, 256, 2
+#: Size of a window, and of its repeated history of so many turns at most. Sizes are UTF-8 bytes of formatted turns: a byte-level
+#: vocabulary makes at most one token of a byte, so a window never has more tokens than this.
+BUDGET, HISTORY, HISTORY_TURNS = 4096, 1024, 2
 #: The template: fixed values. Escaped texts hold none of "<", "[" and "|".
 OPEN, MID, CLOSE = "<|turn|>", "<|text|>", "<|end|>"
 #: Escapes, the first one being undone last.
@@ -32,46 +34,78 @@ def unescape(col: Column) -> Column:
     return col
 
 
-def tokens(col: Column) -> Column:
-    """An estimate that needs no vocabulary: a token for every four bytes, and eight for the marks of a turn."""
-    return (F.octet_length(col) / 4 + 8).cast("bigint")
+def formatted_size(role: Column, text: Column) -> Column:
+    """UTF-8 bytes of a formatted turn."""
+    marks = len(OPEN + MID + CLOSE)
+    return (F.octet_length(escape(role)) + F.octet_length(escape(text)) + marks).cast("bigint")
+
+
+def spans(sizes: Column, room: Column, history: int, history_turns: int) -> Column:
+    """``array<struct<first, again>>``: each window's first turn (from 0) and how many turns before it are repeated.
+
+    ``sizes`` are those of a conversation's turns in order; the running sum of
+    the open window starts again where the next turn would pass ``room``.
+    """
+    begin = F.struct(F.lit(0).alias("i"), F.lit(0).cast("bigint").alias("used"), F.array().cast("array<struct<first:int,again:int>>").alias("out"))
+
+    def step(acc: Column, size: Column) -> Column:
+        i = acc["i"]
+        again, used, fits, total = F.lit(0), size, F.lit(True), F.lit(0).cast("bigint")
+        for k in range(1, history_turns + 1):
+            total = total + F.coalesce(F.get(sizes, i - k), F.lit(0))
+            # the newest turn is repeated wherever there is room for it, older ones only within the history's size
+            fits = fits & (i >= k) & (total + size <= room)
+            if k > 1:
+                fits = fits & (total <= history)
+            again, used = F.when(fits, F.lit(k)).otherwise(again), F.when(fits, total + size).otherwise(used)
+        opens = (i == 0) | (acc["used"] + size > room)
+        return F.struct(
+            (i + 1).alias("i"),
+            F.when(opens, used).otherwise(acc["used"] + size).cast("bigint").alias("used"),
+            F.when(opens, F.concat(acc["out"], F.array(F.struct(i.alias("first"), again.cast("int").alias("again"))))).otherwise(acc["out"]).alias("out"),
+        )
+
+    return F.aggregate(sizes, begin, step, lambda acc: acc["out"])
 
 
 def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, history_turns: int = HISTORY_TURNS) -> DataFrame:
-    """``conv_id, window, text, loss``: each window's text, and what of it is under the loss mask as code point spans.
+    """``conv_id, window, text, loss, turns, over``: each window's text, and what of it is under the loss mask as code point spans.
 
     ``turns`` gives each turn of the window: order in the conversation, whether it
     is repeated. Turns stand by ``turn``, ties by role and text; nulls first, and a
     null role or text counts as empty. A system turn is a conversation's first
-    turn if its role is system. A turn belongs to the window in which it begins,
-    so a window exceeds the budget by less than a turn. Repeated rows are turns.
+    turn if its role is system; it opens every window. A window holds the turns
+    that fit into ``budget``; its history is the newest turns before its own, the
+    newest wherever it fits beside the window's first own turn, up to
+    ``history_turns`` within ``history``. A turn that doesn't fit beside the system turn
+    stands with that alone, and only then is a window ``over`` its budget.
+    Repeated rows are turns. Only sizes of a conversation are held together
+    in one row; its texts are dealt by conversation and window.
     """
     rows = conversations.select(
         "conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = rows.withColumn("ord", F.row_number().over(order))
-    rows = rows.withColumn("size", tokens(F.col("text")))
+    rows = rows.withColumn("ord", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")))
+    rows = rows.withColumn("size", formatted_size(F.col("role"), F.col("text")))
     rows = rows.withColumn("system", (F.col("ord") == 1) & (F.col("role") == "system"))
-    own = F.when(F.col("system"), 0).otherwise(F.col("size"))
-    before = Window.partitionBy("conv_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("conv_id")
-    head = F.coalesce(F.max(F.when(F.col("system"), F.col("size"))).over(whole), F.lit(0))
-    # what the system turn and history leave is a window's stride, half of the budget at least
-    stride = F.greatest(F.lit(budget - history) - head, F.lit(budget // 2))
-    place = F.floor(F.coalesce(F.sum(own).over(before), F.lit(0)) / stride)
-    # a long turn may pass over a number; windows follow without gaps
-    rows = rows.withColumn("place", place).withColumn("window", F.dense_rank().over(Window.partitionBy("conv_id").orderBy("place")) - 1)
-    rows = rows.withColumn("last", F.max("window").over(whole))
-    # a turn near its window's end is history of the next window
-    ahead = Window.partitionBy("conv_id", "window").orderBy(F.col("ord").desc())
-    rows = rows.withColumn("back", F.row_number().over(ahead)).withColumn("tail", F.sum("size").over(ahead))
-    again = (F.col("back") <= history_turns) & (F.col("tail") <= history) & (F.col("window") < F.col("last")) & ~F.col("system")
-    into = F.when(F.col("system"), F.sequence(F.lit(0), F.col("last"))).when(again, F.array(F.col("window"), F.col("window") + 1)).otherwise(F.array("window"))
-    placed = rows.withColumn("home", F.col("window")).withColumn("window", F.explode(into))
-    placed = placed.withColumn("repeated", F.col("window") != F.col("home"))
+    sized = rows.groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.when(~F.col("system"), F.struct("ord", "size")))).alias("own"),
+        F.coalesce(F.max(F.when(F.col("system"), F.col("size"))), F.lit(0)).alias("head"),
+    )
+    sized = sized.select("conv_id", F.transform("own", lambda t: t["size"]).alias("sizes"), "head", (F.col("head") > 0).cast("int").alias("lead"))
+    cut = sized.select("conv_id", "lead", F.size("sizes").alias("n"), spans(F.col("sizes"), F.lit(budget) - F.col("head"), history, history_turns).alias("cuts"))
+    # a system turn alone makes a window too
+    cut = cut.withColumn("cuts", F.when(F.size("cuts") == 0, F.array(F.struct(F.lit(0).alias("first"), F.lit(0).alias("again")))).otherwise(F.col("cuts")))
+    each = cut.select("conv_id", "lead", "n", "cuts", F.posexplode("cuts").alias("window", "cut"))
+    stop = F.coalesce(F.get("cuts", F.col("window") + 1)["first"], F.col("n"))
+    low = F.col("cut.first") - F.col("cut.again")
+    listed = F.when(stop > low, F.sequence(low, stop - 1)).otherwise(F.array().cast("array<int>"))
+    listed = F.transform(listed, lambda i: F.struct((i + 1 + F.col("lead")).alias("ord"), (i < F.col("cut.first")).alias("repeated")))
+    lead = F.when(F.col("lead") == 1, F.array(F.struct(F.lit(1).alias("ord"), (F.col("window") > 0).alias("repeated")))).otherwise(F.array().cast("array<struct<ord:int,repeated:boolean>>"))
+    places = each.select(F.col("conv_id").alias("_conv"), "window", F.inline(F.concat(lead, listed)).alias("_ord", "repeated"))
+    placed = rows.join(places, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("ord") == F.col("_ord")))
     part = F.struct("ord", "repeated", F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(MID)).alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == "assistant").alias("target"))
-    grouped = placed.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    grouped = placed.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(part)).alias("parts"), F.sum("size").alias("size"))
     text = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(CLOSE))), "")
     begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out"))
 
@@ -87,6 +121,7 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
         text.alias("text"),
         F.aggregate("parts", begin, step, lambda acc: acc["out"]).alias("loss"),
         F.transform("parts", lambda p: F.struct(p["ord"].alias("ord"), p["repeated"].alias("repeated"))).alias("turns"),
+        (F.col("size") > budget).alias("over"),
     )
 
 

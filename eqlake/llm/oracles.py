@@ -1,5 +1,104 @@
-"""SQL for the queries that SQL can express."""
+"""The registered queries' results in DuckDB's SQL, where SQL can express them.
+
+None for op3 and op8 (trained models), op4 (token ids of a vocabulary file), op6
+(its rule for private keys needs a reference back to a group, which DuckDB's
+patterns don't have) and pipeline (stages of these): tests hold them against
+brute force, round trips or held-out labels.
+"""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from . import chat, decontaminate, neardup
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def fold(col: str) -> str:
+    return f"translate(coalesce({col}, ''), '{UPPER}', '{LOWER}')"
+
+
+def words(col: str) -> str:
+    return rf"regexp_extract_all({fold(col)}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+OP2 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words('text')} AS w FROM documents),
+b AS (SELECT item_id, {words('text')} AS w FROM benchmark WHERE text IS NOT NULL),
+sized AS (SELECT item_id, w, least({decontaminate.WINDOW}, len(w)) AS n FROM b WHERE len(w) > 0),
+p AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS pattern
+      FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM sized)),
+sizes AS (SELECT DISTINCT n FROM p),
+spot AS (SELECT r, n, k, array_to_string(w[k:k + n - 1], ' ') AS pattern
+         FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes WHERE len(w) >= n)),
+hit AS (SELECT r, spot.n, k, item_id FROM spot JOIN p ON p.n = spot.n AND p.pattern = spot.pattern),
+covered AS (SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS pos FROM hit) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+          FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS i FROM hit WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r)
+"""
+
+# every pair of documents that share a shingle is compared; then the closure of the links
+OP7 = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({fold('text')}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {neardup.SHINGLE} THEN [array_to_string(w, ' ')]
+        ELSE list_distinct([array_to_string(w[k:k + {neardup.SHINGLE} - 1], ' ') FOR k IN range(1, len(w) - {neardup.SHINGLE} + 2)]) END AS s FROM d),
+e AS (SELECT r, len(s) AS n, unnest(s) AS x FROM s WHERE doc_id IS NOT NULL),
+shared AS (SELECT a.r AS a, b.r AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS n
+         FROM e a JOIN e b ON a.x = b.x AND a.r <> b.r AND 100 * least(a.n, b.n) >= {neardup.THRESHOLD} * greatest(a.n, b.n) GROUP BY 1, 2),
+link AS MATERIALIZED (SELECT a, b FROM shared WHERE 100 * n >= {neardup.THRESHOLD} * (na + nb - n)),
+reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+low AS (SELECT a AS r, min(doc_id) AS low FROM reach JOIN d ON d.r = reach.b GROUP BY a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id, doc_id <= coalesce(low, doc_id) AS kept
+FROM s LEFT JOIN low USING (r)
+"""
+
+
+def escaped(col: str) -> str:
+    for plain, code in chat.ESCAPES:
+        col = f"replace({col}, '{plain}', '{code}')"
+    return col
+
+
+_MARKS = len(chat.OPEN + chat.MID + chat.CLOSE)
+_BACK = range(1, chat.HISTORY_TURNS + 1)
+
+
+def _again(k: int) -> str:
+    """Whether the k turns before turn i can be repeated in a window that begins with it."""
+    total = " + ".join(f"b{j}" for j in range(1, k + 1))
+    return f"WHEN i > {k} AND {total} + size <= room" + (f" AND {total} <= {chat.HISTORY}" if k > 1 else "") + f" THEN {k}"
+
+
+# windows are opened turn by turn: used is what the open one holds, again how many turns before its first it repeats
+OP10 = f"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS ord,
+        {escaped('role')} AS r, {escaped('text')} AS x FROM c),
+z AS (SELECT *, strlen(r) + strlen(x) + {_MARKS} AS size, length(r) + length(x) + {_MARKS} AS chars, ord = 1 AND role = 'system' AS system FROM o),
+h AS (SELECT conv_id, coalesce(max(CASE WHEN system THEN size END), 0) AS head, coalesce(max(CASE WHEN system THEN chars END), 0) AS head_chars,
+        {chat.BUDGET} - coalesce(max(CASE WHEN system THEN size END), 0) AS room FROM z GROUP BY conv_id),
+t AS (SELECT z.conv_id, size, chars, room, row_number() OVER w AS i,
+        {', '.join(f'coalesce(lag(size, {k}) OVER w, 0) AS b{k}, coalesce(lag(chars, {k}) OVER w, 0) AS c{k}' for k in _BACK)}
+      FROM z JOIN h ON z.conv_id = h.conv_id WHERE NOT system WINDOW w AS (PARTITION BY z.conv_id ORDER BY ord)),
+g AS (SELECT *, CASE {' '.join(_again(k) for k in reversed(_BACK))} ELSE 0 END AS fit FROM t),
+gg AS (SELECT *, size{''.join(f' + CASE WHEN fit >= {k} THEN b{k} ELSE 0 END' for k in _BACK)} AS fresh,
+        chars{''.join(f' + CASE WHEN fit >= {k} THEN c{k} ELSE 0 END' for k in _BACK)} AS fresh_chars FROM g),
+walk AS (
+  SELECT conv_id, i, fresh AS used, true AS opens FROM gg WHERE i = 1
+  UNION ALL
+  SELECT gg.conv_id, gg.i, CASE WHEN walk.used + gg.size > gg.room THEN gg.fresh ELSE walk.used + gg.size END, walk.used + gg.size > gg.room
+  FROM walk JOIN gg ON gg.conv_id = walk.conv_id AND gg.i = walk.i + 1),
+total AS (SELECT h.conv_id, greatest(count(*) FILTER (opens), 1) * any_value(head_chars) + coalesce(sum(CASE WHEN opens THEN fresh_chars ELSE chars END), 0) AS formatted_chars
+          FROM h LEFT JOIN walk ON walk.conv_id = h.conv_id LEFT JOIN gg ON gg.conv_id = walk.conv_id AND gg.i = walk.i GROUP BY h.conv_id),
+digest AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY ord) AS turns,
+             coalesce(string_agg(text, '' ORDER BY ord) FILTER (role = 'assistant'), '') AS loss FROM o GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
+FROM digest JOIN total USING (conv_id)
+"""
+
+ORACLES: dict[str, str] = {"op2_decontaminate": OP2, "op7_near_duplicates": OP7, "op10_chat_format": OP10}

@@ -208,8 +208,20 @@ def test_chat(spark, sf_dir):
     w = chat.windows(own.where("conv_id = 6")).orderBy("window").collect()
     assert len(w) > 3 and [r.window for r in w] == list(range(len(w)))
     assert all(any(t.repeated for t in r.turns) for r in w[1:])
-    # within budget, but for less than a turn
     assert all(len(r.text) / 4 < chat.BUDGET + 500 for r in w)
+    every = chat.windows(own).collect()
+    for r in every:
+        fresh = [t for t in r.turns if not t.repeated]
+        assert r.over == (len(r.text.encode()) > chat.BUDGET)
+        # only a turn that stands alone, or with the system turn, may pass the budget
+        assert not r.over or len(r.turns) <= 2 and len(fresh) == 1
+    assert {r.conv_id for r in every if r.over} == {7}
+    # no window could have taken the next one's first turn, and histories are the turns just before
+    for a, b in zip(w, w[1:], strict=False):
+        first = next(t.ord for t in b.turns if not t.repeated)
+        size = len(f"{chat.OPEN}user{chat.MID}turn {first - 1} {chat.CLOSE}") + 400 * ((first - 1) % 5) + (5 if first % 2 == 0 else 0)
+        assert len(a.text.encode()) + size > chat.BUDGET
+        assert [t.ord for t in b.turns if t.repeated] == list(range(first - sum(t.repeated for t in b.turns), first))
     assert chat.chats(own.where("false")).count() == 0
     for plain in ("&lt;", "<|end|>", "&amp;lt;", "&&lsqb;[|"):
         one = spark.range(1).select(chat.unescape(chat.escape(__import__("pyspark").sql.functions.lit(plain))).alias("x")).first().x
