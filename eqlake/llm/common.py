@@ -32,21 +32,76 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share.
 
     The folder is the session's ``spark.checkpoint.dir``. Only where that is
-    unset (tests, a single machine) a temporary folder takes its place.
+    unset and there is but one machine (a local master) a temporary folder takes its place.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='eqlake-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root}/eqlake/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables that ``written`` made and that still stand, by application.
+_standing: dict[str, list[str]] = {}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: its lineage ends there, so a lost executor costs a reread."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _standing.setdefault(spark.sparkContext.applicationId, []).append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._eqlake_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table behind a frame that ``written`` returned and nothing reads any more."""
+    _delete(df.sparkSession, df._eqlake_path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables that this application has written; results that read them can't be computed afterwards."""
+    for path in list(_standing.get(spark.sparkContext.applicationId, ())):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _standing[spark.sparkContext.applicationId].remove(path)
+
+
+def unused(columns: list[str], *wanted: str) -> list[str]:
+    """``wanted`` names, with underscores put before those that a table's columns already have."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Rows of a counted side up to which it is broadcast, and the copies of it that a larger one is dealt in.
+BROADCAST_ROWS, SALTS = 100_000, 16
+
+
+def attach(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """``rows`` left-joined with the written table ``side``, in which ``key`` is unique.
+
+    A side of few rows is broadcast, after they were counted. A larger one is
+    joined by key and salt, so that a key that holds many rows is dealt to SALTS tasks.
+    """
+    if side.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(side), key, "left")
+    salt = unused(rows.columns + side.columns, "_salt")[0]
+    copies = side.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return dealt.join(copies, [key, salt], "left").drop(salt)
 
 
 def ship(spark: SparkSession) -> None:

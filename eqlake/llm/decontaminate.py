@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_BYTES, ship, text_bytes, written
+from .common import WORD_BYTES, attach, discard, ship, text_bytes, unused, written
 
 WINDOW = 13
-#: Bytes of benchmark text that one pass holds in memory; larger benchmarks take several passes.
+#: Bytes of benchmark words that one pass holds in memory; larger benchmarks take several passes.
 BLOCK_BYTES = 2 << 20
 
 
@@ -114,85 +114,163 @@ def merged(spans: list[int]) -> list[int]:
     return out
 
 
-def blocks_of(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
-    """The benchmark in blocks of about ``block_bytes``, one on the driver at a time."""
+def cut(text: bytes, window: int, most: int) -> Iterator[bytes]:
+    """The words of an item in pieces of about ``most`` bytes that overlap by all but one word of a window."""
+    words = words_of(text)
+    at = 0
+    while at < len(words):
+        end, size = at, 0
+        while end < len(words) and (size < most or end < at + window):
+            size += len(words[end]) + 1
+            end += 1
+        yield b" ".join(words[at:end])
+        if end == len(words):
+            return
+        at = end - window + 1
+
+
+def pieces(benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    """``i, t``: distinct pieces of all items, none of which is much longer than a block."""
+    ship(benchmark.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
+                out = list(cut(text, window, block_bytes))
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(out), pa.string()), pa.array(out, pa.binary()).cast(pa.string())], names=["i", "t"])
+
     items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("t is not null")
+    return items.mapInArrow(run, "i string, t string").distinct()
+
+
+def blocks_of(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
+    """The benchmark in blocks of about ``block_bytes``, one on the driver at a time; none if it has no words."""
+    items = written(pieces(benchmark, window, block_bytes), "benchmark")
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     count = -(-total // block_bytes)
     for k in range(count):
-        part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(count)) == k) if count > 1 else items
+        part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(count)) == k)
         yield [(r.i, r.t.encode()) for r in part.collect()]
+    discard(items)
 
 
-def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``documents`` (any columns, ``text`` among them) with ``_n_words``, ``_spans`` and ``_items`` added.
+def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, list[str]]:
+    """``documents`` (any columns, ``text`` among them) with three columns added, and their names.
 
-    ``_spans``: flat starts and ends of hit word spans; ``_items``: ids of the
-    items that occur, sorted as text. A null or empty text has no words. Rows
-    are independent: repeated rows give repeated results, an empty table an
-    empty one, and a null item id marks words but isn't listed. A benchmark
-    over ``block_bytes`` is searched block by block, with a written table
-    between passes, so that workers hold one block at a time.
+    These are the number of words; flat starts and ends of hit word spans; ids
+    of the items that occur, sorted as text. Names that the table has already get
+    underscores before them. A null or empty text has no words. Rows are
+    independent: repeated rows give repeated results, an empty table an empty
+    one, and a null item id marks words but isn't listed. A benchmark over
+    ``block_bytes`` is searched block by block, so that workers hold one block at a
+    time: each pass reads the texts alone and writes only hits, addressed by
+    content, which are then merged and joined back.
     """
     spark = documents.sparkSession
     ship(spark)
-    names = documents.columns
-    extra = [
-        T.StructField("_n_words", T.LongType()),
-        T.StructField("_spans", T.ArrayType(T.LongType())),
-        T.StructField("_items", T.ArrayType(T.StringType())),
-    ]
-    schema = T.StructType(documents.schema.fields + extra)
-
-    def search(items, last):
-        sent = spark.sparkContext.broadcast((window, items))
-        further = last is not None
-
-        def run(batches):
-            import pyarrow as pa
-
-            matcher = _matcher(sent)
-            for batch in batches:
-                found = [hits(matcher, t) for t in text_bytes(batch.column(names.index("text")))]
-                if further:
-                    old = list(zip(batch.column("_spans").to_pylist(), batch.column("_items").to_pylist(), strict=True))
-                    found = [(n, merged(s + o[0]), i | set(o[1])) for (n, s, i), o in zip(found, old, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(k) for k in range(len(names))]
-                    + [
-                        pa.array([x[0] for x in found], pa.int64()),
-                        pa.array([x[1] for x in found], pa.list_(pa.int64())),
-                        pa.array([sorted(x[2]) for x in found], pa.list_(pa.string())),
-                    ],
-                    names=names + [f.name for f in extra],
-                )
-
-        return (documents if last is None else last).mapInArrow(run, schema)
-
-    out = None
-    for items in blocks_of(benchmark, block_bytes):
-        out = search(items, None if out is None else written(out, "decontaminate"))
-    return search([], None) if out is None else out
+    names = unused(documents.columns, "_n_words", "_spans", "_items")
+    blocks = blocks_of(benchmark, window, block_bytes)
+    first = next(blocks, [])
+    second = next(blocks, None)
+    if second is None:
+        return _search(documents, names, window, first), names
+    found = [_hits(documents, window, first), _hits(documents, window, second)]
+    found += [_hits(documents, window, items) for items in blocks]
+    union = found[0]
+    for part in found[1:]:
+        union = union.unionByName(part)
+    blob, spans, items = unused(documents.columns + names, "_blob", "_found_spans", "_found_items")
+    grouped = union.groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias(spans), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias(items))
+    side = written(grouped.withColumnRenamed("blob", blob), "hits")
+    rows = attach(documents.withColumn(blob, F.sha2(F.coalesce("text", F.lit("")), 256)), side, blob).drop(blob)
+    return _merge(rows, names, spans, items), names
+
+
+def _schema(fields, names: list[str]) -> T.StructType:
+    kinds = (T.LongType(), T.ArrayType(T.LongType()), T.ArrayType(T.StringType()))
+    return T.StructType(list(fields) + [T.StructField(n, k) for n, k in zip(names, kinds, strict=True)])
+
+
+def _search(documents: DataFrame, names: list[str], window: int, items: list) -> DataFrame:
+    """All rows against one block."""
+    sent = documents.sparkSession.sparkContext.broadcast((window, items))
+    columns = documents.columns
+
+    def run(batches):
+        import pyarrow as pa
+
+        matcher = _matcher(sent)
+        for batch in batches:
+            found = [hits(matcher, t) for t in text_bytes(batch.column(columns.index("text")))]
+            added = [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int64())), pa.array([sorted(x[2]) for x in found], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=columns + names)
+
+    return documents.mapInArrow(run, _schema(documents.schema.fields, names))
+
+
+def _hits(documents: DataFrame, window: int, items: list) -> DataFrame:
+    """``blob, spans, items`` of each different text that has a hit in one block, written."""
+    sent = documents.sparkSession.sparkContext.broadcast((window, items))
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        matcher = _matcher(sent)
+        for batch in batches:
+            out = [(hashlib.sha256(t).hexdigest(), s, sorted(i)) for t in text_bytes(batch.column(0)) for _, s, i in [hits(matcher, t)] if s]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.string()))],
+                names=["blob", "spans", "items"],
+            )
+
+    rows = documents.select("text").mapInArrow(run, "blob string, spans array<bigint>, items array<string>")
+    return written(rows.groupBy("blob").agg(F.first("spans").alias("spans"), F.first("items").alias("items")), "hits")
+
+
+def _merge(rows: DataFrame, names: list[str], spans: str, items: str) -> DataFrame:
+    """``rows`` with words counted and the blocks' spans merged."""
+    columns = [c for c in rows.columns if c not in (spans, items)]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            n = [len(words_of(t)) for t in text_bytes(batch.column("text"))]
+            flat = [merged(s or []) for s in batch.column(spans).to_pylist()]
+            ids = [i or [] for i in batch.column(items).to_pylist()]
+            added = [pa.array(n, pa.int64()), pa.array(flat, pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *added], names=columns + names)
+
+    fields = [f for f in rows.schema.fields if f.name in columns]
+    return rows.mapInArrow(run, _schema(fields, names))
+
+
+def _hit_words(spans: str):
+    """Over s1, e1, s2, e2, ... the alternating difference is the sum of the lengths."""
+    return F.aggregate(spans, F.lit(0).cast("bigint"), lambda a, x: x - a)
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: words, hit words, items that occur, and whether a twentieth of its words are hit."""
-    found = scan(documents.select("doc_id", "text"), benchmark, window, block_bytes)
-    # over s1, e1, s2, e2, ... the alternating difference is the sum of the lengths
-    hit = F.expr("aggregate(_spans, 0L, (a, x) -> x - a)")
+    found, (n_words, spans, items) = scan(documents.select("doc_id", "text"), benchmark, window, block_bytes)
+    hit = _hit_words(spans)
     return found.select(
         "doc_id",
-        F.col("_n_words").alias("n_words"),
+        F.col(n_words).alias("n_words"),
         hit.alias("n_hit"),
-        F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"),
-        ((hit > 0) & (hit * 20 >= F.col("_n_words"))).alias("contaminated"),
-        F.col("_spans").alias("hit_spans"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        ((hit > 0) & (hit * 20 >= F.col(n_words))).alias("contaminated"),
+        F.col(spans).alias("hit_spans"),
     )
 
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``documents``, with all their columns, that aren't contaminated."""
-    hit = F.expr("aggregate(_spans, 0L, (a, x) -> x - a)")
-    found = scan(documents, benchmark, window, block_bytes)
-    return found.where(~((hit > 0) & (hit * 20 >= F.col("_n_words")))).select(*documents.columns)
+    found, (n_words, spans, _) = scan(documents, benchmark, window, block_bytes)
+    hit = _hit_words(spans)
+    return found.where(~((hit > 0) & (hit * 20 >= F.col(n_words)))).select(*documents.columns)

@@ -7,8 +7,9 @@ windows a source has had the whole part of w times its share (shares are split
 along a binary tree of sources, rounding down at each node, so that the parts
 of a window always add up to it). So a cell's window follows from its place in
 its source's queue alone, deficits carry over windows and partitions without a
-pass from one to the next, and no shuffle of tokens is needed: partitions only
-have to know how many tokens each queue has before them.
+pass from one to the next, and tokens needn't be shuffled: partitions only
+have to know how many tokens each queue has before them. These offsets are
+broadcast if they are few, else joined.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from .common import ship, written
 
 WINDOW, CELL = 1024, 64
 END = 0
-#: Sources beyond this many share queues by hash.
-MAX_QUEUES = 4096
+#: Counted offsets up to which they are broadcast; more are joined.
+OFFSET_ROWS = 1_000_000
 #: Chunks of text whose ids a worker keeps.
 CACHE = 400_000
 
@@ -119,12 +120,13 @@ def ids_of(path: str) -> Ids:
     return _ids[path]
 
 
-def tokenized(documents: DataFrame, path: str, queues: int = MAX_QUEUES) -> DataFrame:
-    """``part, queue, doc_id, before, n, ids``: ``before`` are the queue's tokens ahead of the row within its partition."""
+def tokenized(documents: DataFrame, path: str) -> DataFrame:
+    """``part, queue, doc_id, before, n, ids``: ``before`` are the queue's tokens ahead of the row within its partition.
+
+    A queue is named by its source with a mark before it, so that no source shares the queue of null ("").
+    """
     ship(documents.sparkSession)
-    queue = F.coalesce(F.col("source").cast("string"), F.lit("<null>"))
-    if documents.select(queue).distinct().limit(queues + 1).count() > queues:
-        queue = F.pmod(F.xxhash64(queue), F.lit(queues)).cast("string")
+    queue = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
 
     def run(batches):
         import pyarrow as pa
@@ -263,19 +265,25 @@ def pack(documents: DataFrame, path: str | None = None, targets: dict[str, float
 
     Each row of ``documents`` is its text's ids and END; null and empty texts are
     END alone. Rows stand in their source's queue as they are read; a null
-    source is a queue too. A sequence has ``window`` ids but where queues end:
+    source is a queue too, and so is a missing column. Every source is a queue
+    of its own; the plan that is broadcast grows with their number, by some 100
+    bytes each. A sequence has ``window`` ids but where queues end:
     there up to ``cell`` - 1 fewer for each queue, and fewer in the last one of a
     run. Repeated rows are packed again; an empty table gives no pieces.
     """
+    if "source" not in documents.columns:
+        documents = documents.withColumn("source", F.lit(None).cast("string"))
     spark = documents.sparkSession
     path = path or tokenizer_path()
     rows = written(tokenized(documents, path), "tokens")
-    sums = rows.groupBy("part", "queue").agg(F.sum("n").alias("n"))
+    sums = written(rows.groupBy("part", "queue").agg(F.sum("n").alias("n")), "sums")
     totals = {r.queue: r.n for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
     order = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ahead = sums.select("part", "queue", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("ahead"))
+    if sums.count() <= OFFSET_ROWS:
+        ahead = F.broadcast(ahead)
     placed = rows.join(ahead, ["part", "queue"]).select("queue", "doc_id", (F.col("before") + F.col("ahead")).alias("begin"), "n", "ids")
-    sent = spark.sparkContext.broadcast(Plan(totals, targets, window, cell))
+    sent = spark.sparkContext.broadcast(Plan(totals, None if targets is None else {f"={q}" if q is not None else "": t for q, t in targets.items()}, window, cell))
 
     def run(batches):
         import pyarrow as pa
@@ -299,7 +307,7 @@ def pack(documents: DataFrame, path: str | None = None, targets: dict[str, float
                         crc.append(zlib.crc32(data[4 * a : 4 * (a + size)]))
                     at_row = own[row]
                     yield pa.RecordBatch.from_arrays(
-                        [piece.column(1).take(pa.array(at_row)), *(pa.array(x, pa.int64()) for x in (start, length, crc, n[at_row], w, offset)), pa.array([q] * len(row), pa.string())], names=names
+                        [piece.column(1).take(pa.array(at_row)), *(pa.array(x, pa.int64()) for x in (start, length, crc, n[at_row], w, offset)), pa.array([q[1:] if q else None] * len(row), pa.string())], names=names
                     )
 
     fields = [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]

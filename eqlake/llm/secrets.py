@@ -11,11 +11,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from .common import written
+from .common import attach, unused, written
 
 
 @dataclass(frozen=True)
@@ -86,20 +86,29 @@ def matches(text: Column, rule: Rule) -> Column:
 FOUND = "array<struct<start:bigint,end:bigint>>"
 
 
-def blobs(versions: DataFrame) -> DataFrame:
+def blobs(versions: DataFrame, name: str = "_blob") -> DataFrame:
     """``versions`` with the address of each text's content; a null text is the empty one."""
-    return versions.withColumn("_blob", F.sha2(F.coalesce("text", F.lit("")), 256))
+    return versions.withColumn(name, F.sha2(F.coalesce("text", F.lit("")), 256))
 
 
 class Ledger:
     """Scanned pairs and findings: ``blob, rule, version, spans``, a row with no spans for a clean pair.
 
-    ``table`` is None at first, or what an earlier ``scan`` returned or saved.
+    ``table`` is None at first, or what an earlier ``scan`` made; ``save`` and
+    ``load`` keep it between jobs.
     """
 
     def __init__(self, table: DataFrame | None = None):
         self.table = table
 
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Ledger:
+        return cls(spark.read.parquet(path))
+
+    def save(self, path: str) -> None:
+        """Into an empty path; a later job loads it, scans and saves to the next one."""
+        self.table.write.parquet(path)
+
     def scan(self, versions: DataFrame, rules: tuple[Rule, ...] = RULES) -> Ledger:
         """The ledger with every (blob, rule, version) of ``versions`` (``path``, ``text``) added that it doesn't have.
 
@@ -148,10 +157,19 @@ class Ledger:
         return listed.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
-def with_findings(documents: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``documents`` with ``_spans``: what was found in the blob of each row, an empty array where nothing was."""
-    found = ledger.findings(rules).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    return blobs(documents).join(found, "_blob", "left").drop("_blob").withColumn("_spans", F.coalesce("_spans", F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>")))
+SPANS = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
+
+
+def with_findings(documents: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, str]:
+    """``documents`` with what was found in the blob of each row, an empty array where nothing was, and that column's name.
+
+    Blobs with findings are counted; few are broadcast, so that no text moves,
+    and many are joined by salted addresses, so that a mass of copies isn't one task.
+    """
+    blob, spans = unused(documents.columns, "_blob", "_spans")
+    found = written(ledger.findings(rules).select(F.col("blob").alias(blob), F.col("spans").alias(spans)), "findings")
+    rows = attach(blobs(documents, blob), found, blob).drop(blob)
+    return rows.withColumn(spans, F.coalesce(spans, F.array().cast(SPANS))), spans
 
 
 def listing(spans: Column) -> Column:
@@ -166,17 +184,16 @@ def secrets(documents: DataFrame, ledger: Ledger | None = None, rules: tuple[Rul
     others. Repeated rows repeat, and an empty table gives an empty one.
     """
     ledger = (ledger or Ledger()).scan(documents.select(F.col("doc_id").alias("path"), "text"), rules)
-    # addresses alone travel to the join, not texts
-    rows = with_findings(documents.select("doc_id", "text"), ledger, rules)
-    base = F.filter("_spans", lambda s: s["kind"].isin([r.name for r in BASE]))
-    count = lambda kind: F.size(F.filter("_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return rows.select("doc_id", *(count(r.name) for r in BASE), F.sha2(listing(base), 256).alias("base_sha256"), listing(F.col("_spans")).alias("spans"))
+    rows, spans = with_findings(documents.select("doc_id", "text"), ledger, rules)
+    base = F.filter(spans, lambda s: s["kind"].isin([r.name for r in BASE]))
+    count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return rows.select("doc_id", *(count(r.name) for r in BASE), F.sha2(listing(base), 256).alias("base_sha256"), listing(F.col(spans)).alias("spans"))
 
 
 def redacted(documents: DataFrame, mask: str = "[secret]") -> DataFrame:
     """``documents`` with every span of a secret replaced by ``mask``; overlapping spans count as one, and ``n_chars`` follows."""
     ledger = Ledger().scan(documents.select(F.col("doc_id").alias("path"), "text"))
-    rows = with_findings(documents, ledger)
+    rows, spans = with_findings(documents, ledger)
     begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -184,10 +201,10 @@ def redacted(documents: DataFrame, mask: str = "[secret]") -> DataFrame:
         plain = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], plain, F.lit(mask))).otherwise(acc["out"]).alias("out"))
 
-    done = F.aggregate("_spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.lit(2147483647))))
-    text = F.when(F.size("_spans") > 0, done).otherwise(F.col("text"))
+    done = F.aggregate(spans, begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.lit(2147483647))))
+    text = F.when(F.size(spans) > 0, done).otherwise(F.col("text"))
     out = rows.withColumn("text", text)
     if "n_chars" in documents.columns:
         kind = documents.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
     return out.select(*documents.columns)
