@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eqlake.llm import decontaminate, neardup, packing, secrets, toxicity
-from eqlake.llm.common import table, written
+from eqlake.llm.common import table, unused, written
 
 #: Words in a shingle of the near-duplicate stage: two, as in op7, would link texts with changes scattered over them.
 STAGE_SHINGLE = 5
@@ -24,8 +24,9 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    kept = neardup.near_duplicates(docs, STAGE_SHINGLE).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    (name,) = unused(docs.columns, "_kept")
+    kept = neardup.near_duplicates(docs, STAGE_SHINGLE).where("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
