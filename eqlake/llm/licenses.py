@@ -9,6 +9,7 @@ errors and reports where it begins and ends.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import regex
 from pyspark.sql import DataFrame
@@ -26,7 +27,7 @@ BASE = (
 #: Further short notices of public licenses; longer ones allow more edits.
 NOTICES = BASE + (
     ("permission is hereby granted free of charge to any person obtaining a copy", "mit"),
-    ("licensed under the apache license", "apache-2"),
+    ("licensed under the apache license", "apache"),
     ("gnu general public license", "gpl"),
     ("gnu lesser general public license", "lgpl"),
     ("mozilla public license", "mpl"),
@@ -37,7 +38,7 @@ NOTICES = BASE + (
 )
 
 #: Names of other licenses that are within the edits of a notice; they aren't misspellings of it.
-OTHERS = frozenset({"cc by nd", "apache license version 1"})
+OTHERS = frozenset({"cc by nd"})
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -47,6 +48,11 @@ def edits_allowed(phrase: str) -> int:
     return min(4, max(1, len(phrase) // 12))
 
 
+def numbers(phrase: str) -> list[str]:
+    """The words with a digit: another number is another version, so an edit may not touch them."""
+    return [w for w in phrase.split(" ") if any("0" <= c <= "9" for c in w)]
+
+
 class NoticeFinder:
     def __init__(self, notices=NOTICES, edits=edits_allowed):
         self.notices = []
@@ -78,7 +84,7 @@ class NoticeFinder:
                             if m := fuzzy.search(line, max(0, low - 1), min(len(line), high + 1)):
                                 a, b = m.span()
                                 edge = (a == 0 or line[a - 1] == " ") and line[b : b + 1] in ("", " ")
-                                if edge and line[a:b] not in OTHERS:
+                                if edge and line[a:b] not in OTHERS and numbers(line[a:b]) == numbers(phrase):
                                     found.add((a, b, sum(m.fuzzy_counts), phrase, label))
                     at = line.find(piece, at + 1)
         return sorted(found)
@@ -90,7 +96,8 @@ class NoticeFinder:
         base = {p for p, _ in BASE}
         found = self.matches(line)
         exact = [m for m in found if m[2] == 0 and m[3] in base]
-        first = [line.count(" ", 0, m[0]) for m in exact]
+        spaces = [k for k, c in enumerate(line) if c == " "] if found else []
+        first = [bisect_left(spaces, m[0]) for m in exact]
         out = {
             "n_words": len(words),
             "n_base": len(exact),
@@ -104,7 +111,7 @@ class NoticeFinder:
         if found:
             places = [m.span() for m in WORD.finditer(text.translate(LOWER_BYTES).decode("utf-8", "replace"))]
             for a, b, e, phrase, label in found:
-                i, j = line.count(" ", 0, a), line.count(" ", 0, b)
+                i, j = bisect_left(spaces, a), bisect_left(spaces, b)
                 out["spans"].append({"start": places[i][0], "end": places[j][1], "edits": e, "label": label})
         return out
 

@@ -8,7 +8,7 @@ brute force, round trips or held-out labels.
 
 from __future__ import annotations
 
-from . import chat, decontaminate, neardup
+from . import chat, decontaminate, licenses, neardup, quality, sharding
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -21,6 +21,34 @@ def words(col: str) -> str:
     return rf"regexp_extract_all({fold(col)}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x) for x in row) + ")" for row in rows)
+
+
+_NOTICES = [(phrase, label, licenses.edits_allowed(phrase), phrase.count(" ") + 1, int((phrase, label) in licenses.BASE)) for phrase, label in licenses.NOTICES]
+_PIECES = [(phrase, piece) for phrase, _, _, pieces, _ in licenses.NoticeFinder().notices for piece, _ in pieces]
+_OTHERS = ", ".join(f"'{x}'" for x in sorted(licenses.OTHERS))
+
+# all spans of whole words near a notice's length are compared, in texts that hold a piece of it
+OP1 = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {words('text')} AS w, array_to_string({words('text')}, ' ') AS line FROM documents),
+n(phrase, label, edits, size, base) AS (VALUES {_values(_NOTICES)}),
+p(phrase, piece) AS (VALUES {_values(_PIECES)}),
+c AS MATERIALIZED (SELECT DISTINCT r, phrase FROM d JOIN p ON contains(line, piece)),
+k AS (SELECT r, w, n.*, unnest(range(1, len(w) + 1)) AS a FROM c JOIN d USING (r) JOIN n USING (phrase)),
+z AS (SELECT *, unnest(range(greatest(size - edits, 1), size + edits + 1)) AS m FROM k),
+s AS (SELECT r, phrase, label, edits, size, base, a, m, array_to_string(w[a:a + m - 1], ' ') AS span FROM z WHERE a + m - 1 <= len(w)),
+e AS (SELECT *, levenshtein(span, phrase) AS d FROM s WHERE abs(length(span) - length(phrase)) <= edits),
+f AS (SELECT * FROM e WHERE d = 0 OR d <= edits AND span NOT IN ({_OTHERS})
+        AND list_filter(string_split(span, ' '), lambda x: regexp_matches(x, '[0-9]')) = list_filter(string_split(phrase, ' '), lambda x: regexp_matches(x, '[0-9]'))),
+g AS (SELECT r, count(*) FILTER (d = 0 AND base = 1) AS n_base, min(a - 1) FILTER (d = 0 AND base = 1) AS first_word, max(a - 1) FILTER (d = 0 AND base = 1) AS last_word,
+        list_aggregate(list_sort(list_distinct(list(label) FILTER (d = 0 AND base = 1))), 'string_agg', ',') AS base_labels,
+        list_aggregate(list_sort(list_distinct(list(label))), 'string_agg', ',') AS labels, max(1 - d / length(phrase)) AS score FROM f GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM d LEFT JOIN g USING (r)
+"""
+
 OP2 = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words('text')} AS w FROM documents),
 b AS (SELECT item_id, {words('text')} AS w FROM benchmark WHERE text IS NOT NULL),
@@ -101,4 +129,84 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
 FROM digest JOIN total USING (conv_id)
 """
 
-ORACLES: dict[str, str] = {"op2_decontaminate": OP2, "op7_near_duplicates": OP7, "op10_chat_format": OP10}
+# shards are filled point by point: each step puts what fits of a point's rows into the next shard clockwise
+OP5 = f"""
+WITH RECURSIVE poly(k, c) AS (SELECT 0, list(i ORDER BY i) FROM range(256) t(i)
+  UNION ALL SELECT k + 1, [CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END FOR x IN c] FROM poly WHERE k < 8),
+crc AS (SELECT c FROM poly WHERE k = 8),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+    CAST('0x' || substr(md5(coalesce(text, '')), 1, 8) AS BIGINT) % {sharding.POINTS} AS point,
+    CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % {sharding.PARTS} AS part FROM documents),
+e AS MATERIALIZED (SELECT r, doc_id, point, part, strlen(text) + 16 AS size,
+    xor(list_reduce([CAST('0x' || x AS BIGINT) FOR x IN regexp_extract_all(hex(encode(text)), '..')], lambda acc, b: xor(acc >> 8, c[(xor(acc, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS text_crc32 FROM d, crc),
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY point ORDER BY part, doc_id, text_crc32, size) - 1 AS rank FROM e),
+spots AS (SELECT s, v, CAST(CAST('0x' || substr(md5(s || '/' || v), 1, 16) AS UBIGINT) % {sharding.POINTS} AS BIGINT) AS spot FROM range({{count}}) a(s), range({sharding.VIRTUAL_NODES}) b(v)),
+wheel AS MATERIALIZED (SELECT spot, s, row_number() OVER (ORDER BY spot, s) - 1 AS i FROM spots),
+nodes AS (SELECT count(*) AS nodes FROM wheel),
+points AS MATERIALIZED (SELECT point, count(*) AS n, row_number() OVER (ORDER BY point) AS j, (SELECT count(*) FROM wheel WHERE spot < point) AS first FROM d GROUP BY point),
+total AS (SELECT count(*) AS total FROM d),
+walk AS (
+  SELECT 0::BIGINT AS j, 0::BIGINT AS point, 0::BIGINT AS low, 0::BIGINT AS n, 0::BIGINT AS i, 0::BIGINT AS shard, 0::BIGINT AS slot, 0::BIGINT AS take,
+    [0::BIGINT FOR x IN range({{count}})] AS used
+  UNION ALL
+  SELECT j, point, low, n, i, shard, used[shard + 1], take, list_concat(used[1:shard], [used[shard + 1] + take], used[shard + 2:])
+  FROM (SELECT j, point, low, n, y.i AS i, used, s AS shard, least(total // {{count}} + CAST(s < total % {{count}} AS BIGINT) - used[s + 1], n - low) AS take
+        FROM (SELECT CASE WHEN w.low + w.take < w.n THEN w.j ELSE w.j + 1 END AS j, w.used, w.low + w.take < w.n AS same, w.low + w.take AS went, w.i + 1 AS next FROM walk w) x
+        JOIN (SELECT j AS pj, point, n, first FROM points) p ON p.pj = x.j
+        , LATERAL (SELECT CASE WHEN same THEN went ELSE 0 END AS low, CASE WHEN same THEN next ELSE first END AS i) y
+        , nodes, total JOIN wheel ON wheel.i = y.i % nodes) z),
+runs AS (SELECT point, low, shard, slot, take FROM walk WHERE take > 0)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard, slot + rank - low AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM ranked JOIN runs ON ranked.point = runs.point AND rank >= low AND rank < low + take
+""".replace("{count}", "40")
+
+_K = quality.COMMON_WORDS
+_JS = """CASE WHEN list_sum({p}) > 0 AND list_sum({q}) > 0 THEN sqrt(greatest(list_sum([
+  (CASE WHEN {p}[i] > 0 THEN {p}[i] / list_sum({p}) * log2({p}[i] / list_sum({p}) / (({p}[i] / list_sum({p}) + {q}[i] / list_sum({q})) / 2)) ELSE 0 END
+ + CASE WHEN {q}[i] > 0 THEN {q}[i] / list_sum({q}) * log2({q}[i] / list_sum({q}) / (({p}[i] / list_sum({p}) + {q}[i] / list_sum({q})) / 2)) ELSE 0 END) / 2
+  FOR i IN range(1, len({p}) + 1)]), 0)) ELSE 0 END"""
+
+
+def _limit(most: float, shape: tuple[float, float]) -> str:
+    return f"{most} * least(1.0, sqrt({shape[0] ** 2} + {shape[1] ** 2} / greatest(n_words, 1)))"
+
+
+OP9 = rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    regexp_extract_all({fold('text')}, '[a-z\x{{80}}-\x{{10FFFF}}]+') AS plain FROM documents),
+counted AS (SELECT lang, x, count(*) AS n FROM (SELECT lang, unnest(plain) AS x FROM d WHERE lang IS NOT NULL) GROUP BY ALL),
+ranked AS (SELECT lang, x, row_number() OVER (PARTITION BY lang ORDER BY n DESC, x) AS k FROM counted),
+top AS MATERIALIZED (SELECT * FROM ranked WHERE k <= {_K}),
+hist AS (SELECT r, map_from_entries(list((k, n))) AS h FROM (SELECT r, k, count(*) AS n FROM (SELECT r, lang, unnest(plain) AS x FROM d) JOIN top USING (lang, x) GROUP BY r, k) GROUP BY r),
+spelled AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS k FROM d),
+grams AS (SELECT r, k, x || ' ' || lead(x) OVER o || ' ' || lead(x, 2) OVER o AS g FROM spelled WINDOW o AS (PARTITION BY r ORDER BY k)),
+twice AS (SELECT r, k FROM grams WHERE g IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+again AS (SELECT r, count(DISTINCT k + j) AS n FROM twice, range(3) t(j) GROUP BY r),
+lines AS (SELECT r, count(*) - count(DISTINCT x) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY r),
+m AS MATERIALIZED (SELECT d.r, doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(lines.n, 0) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words,
+    length(regexp_replace(text, '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(text, '[^0-9]', '', 'g')) AS digits, length(regexp_replace(text, '[^.,;:!?''"()-]', '', 'g')) AS marks, length(text) AS chars,
+    CASE WHEN lang IS NOT NULL THEN [coalesce(h[k], 0) FOR k IN range(1, {_K + 1})] END AS found, len(plain) AS total
+  FROM d LEFT JOIN hist USING (r) LEFT JOIN again USING (r) LEFT JOIN lines USING (r)),
+f AS MATERIALIZED (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    [word_chars - n_symbols - upper - digits - marks, upper, digits, marks, n_symbols, chars - word_chars] AS classes, list_append(found, total - list_sum(found)) AS common FROM m),
+summed AS (SELECT lang, i, sum(classes[i]) AS c FROM f, range(1, 7) t(i) WHERE NOT base_failed GROUP BY ALL),
+refs AS (SELECT lang, list(c ORDER BY i) AS ref_classes FROM summed WHERE lang IS NOT NULL GROUP BY lang
+  UNION ALL SELECT NULL, list(c ORDER BY i) FROM (SELECT i, sum(c) AS c FROM summed GROUP BY i)),
+spoken AS (SELECT lang, list(c ORDER BY i) AS ref_common FROM (SELECT lang, i, sum(common[i]) AS c FROM f, range(1, {_K + 2}) t(i) WHERE NOT base_failed AND lang IS NOT NULL GROUP BY ALL) GROUP BY lang),
+far AS (SELECT f.*, CASE WHEN ref_classes IS NULL THEN 0 ELSE {_JS.format(p='classes', q='ref_classes')} END AS class_distance,
+    CASE WHEN common IS NULL OR ref_common IS NULL THEN 0 ELSE {_JS.format(p='common', q='ref_common')} END AS common_distance
+  FROM f LEFT JOIN refs ON f.lang IS NOT DISTINCT FROM refs.lang LEFT JOIN spoken ON f.lang = spoken.lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND class_distance <= {_limit(quality.MAX_CLASS, quality.CLASS_LIMIT)} AND common_distance <= {_limit(quality.MAX_COMMON, quality.COMMON_LIMIT)} AS kept
+FROM far
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_license_scan": OP1,
+    "op2_decontaminate": OP2,
+    "op5_shard": OP5,
+    "op7_near_duplicates": OP7,
+    "op9_quality": OP9,
+    "op10_chat_format": OP10,
+}

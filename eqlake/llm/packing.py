@@ -68,9 +68,6 @@ class Ids:
         pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         coder = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.encode = coder.encode_ordinary
-        # letters alone are one piece, which needs no splitting
-        core = getattr(coder, "_core_bpe", None)
-        self.piece = getattr(core, "encode_single_piece", None) or (lambda data: self.encode(data.decode()))
         self.end, self.line = self.pack([END]), self.pack(self.encode("\n"))
         self.marks = {c: self.pack(self.encode(c)) for c in ".,;:!?"}
         self.chunks = self._cache()
@@ -79,7 +76,7 @@ class Ids:
         return np.array(ids, self.kind).tobytes()
 
     def _cache(self):
-        encode, piece, line, marks, code = self.encode, self.piece, self.line, self.marks, "H" if self.kind.itemsize == 2 else "I"
+        encode, line, marks, code = self.encode, self.line, self.marks, "H" if self.kind.itemsize == 2 else "I"
 
         class Cache(dict):
             """Ids of chunks that a space stands before, or, where they begin so, a line end."""
@@ -92,7 +89,7 @@ class Ids:
                 if not own or own[0].isspace() or own[-1].isspace():
                     raise KeyError(chunk)
                 before, own = (line, own) if own is not chunk else (b"", " " + own)
-                value = before + array(code, piece(own.encode()) if own.lstrip(" ").isalpha() else encode(own)).tobytes()
+                value = before + array(code, encode(own)).tobytes()
                 if len(self) < CACHE:
                     self[chunk] = value
                 return value

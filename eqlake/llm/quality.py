@@ -1,10 +1,11 @@
 """Quality rules: repetition counts, and divergence of a document from its language.
 
-Each document's character classes and its language's common words give two
-histograms. Summed over all documents of a language they are its reference;
-a document whose Jensen-Shannon distance from it is large is unlike the
-language: symbols, tables, word salad. The fewer words a document has, the
-larger is the distance that chance alone makes, so the limits fall with length.
+Each document's character classes and its language's most frequent words, learned
+from all documents, give two histograms. Summed over the documents of a language
+that pass the base rules they are its reference; a document whose Jensen-Shannon
+distance from it is large is unlike the language: symbols, tables, word salad.
+The fewer words a document has, the larger is the distance that chance alone
+makes, so the limits fall with length.
 """
 
 from __future__ import annotations
@@ -13,24 +14,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from .common import UPPER, fold, small_frame, written
+from .common import UPPER, fold, written
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
+#: Words of a language whose frequencies are compared, and how many a task counts at once while they are sought.
+COMMON_WORDS, TRACKED = 16, 65536
 #: Largest Jensen-Shannon distances (square root, base 2) to the language's reference that still pass, in documents of any length.
 MAX_CLASS, MAX_COMMON = 0.30, 0.30
 #: Shares of these limits that hold for endless documents, and what a document of one word has besides (in squares, falling with words).
 CLASS_LIMIT, COMMON_LIMIT = (0.16 / 0.30, 1.8 / 0.30), (0.08 / 0.30, 3.5 / 0.30)
-MAX_LANGS = 1024
-
-#: Common words of languages: fixed values.
-COMMON = {
-    "de": ("der", "die", "und", "das", "ist", "in", "von", "zu", "mit", "den", "ein", "eine", "sich", "nicht", "auf"),
-    "en": ("the", "of", "and", "to", "in", "is", "that", "for", "it", "was", "with", "as", "on", "by", "are"),
-    "es": ("de", "la", "que", "el", "en", "y", "los", "se", "del", "las", "un", "por", "con", "una", "para"),
-    "fr": ("de", "la", "le", "et", "les", "des", "en", "un", "une", "que", "dans", "pour", "est", "du", "qui"),
-}
+#: Languages up to which their tables are broadcast.
+BROADCAST_LANGS = 10_000
 
 
 def words(text: Column) -> Column:
@@ -59,12 +55,44 @@ def repeated_words(hashes: Column) -> Column:
     return F.when(F.size(hashes) == F.size(F.array_distinct(hashes)), F.lit(0).cast("bigint")).otherwise(covered)
 
 
+def letters(text: Column) -> Column:
+    """The lower-case runs of letters (ASCII, or any beyond), two spaces between, none around."""
+    return F.trim(F.regexp_replace(fold(text), r"[^a-z\x80-\x{10FFFF}]+", "  "))
+
+
+def common_words(documents: DataFrame, count: int = COMMON_WORDS) -> DataFrame:
+    """``lang, list``: the most frequent words of each language over all its documents, ties by word.
+
+    Frequencies come from a mergeable frequent-items sketch of fixed size for each
+    language and task, which is exact while TRACKED words suffice; so neither the
+    vocabulary nor a language's words are shuffled.
+    """
+    spoken = documents.select(F.col("lang").cast("string").alias("lang"), F.explode(F.split(letters(F.coalesce("text", F.lit(""))), "  ")).alias("word")).where("lang is not null and word != ''")
+    top = spoken.groupBy("lang").agg(F.expr(f"approx_top_k(word, {8 * count}, {TRACKED})").alias("top"))
+    # a list of 8 times as many, so that ties at its end are broken in one way
+    ordered = F.array_sort(F.transform("top", lambda x: F.struct((-x["count"]).alias("n"), x["item"].alias("word"))))
+    return top.select("lang", F.transform(F.slice(ordered, 1, count), lambda x: x["word"]).alias("list"))
+
+
+def by_language(rows: DataFrame, side: DataFrame, name: str) -> DataFrame:
+    """``rows`` left-joined with a written table that has a row a language, broadcast after these were counted."""
+    side = F.broadcast(side) if side.count() <= BROADCAST_LANGS else side
+    return rows.join(side, F.col("lang").eqNullSafe(F.col(name)), "left").drop(name)
+
+
 def measures(documents: DataFrame) -> DataFrame:
-    """``doc_id, lang``, the base measures, and the histograms ``classes`` and ``common``."""
+    """``doc_id, lang``, the base measures, and the histograms ``classes`` and ``common`` (null without a language)."""
+    if "lang" not in documents.columns:
+        documents = documents.withColumn("lang", F.lit(None).cast("string"))
+    lists = written(common_words(documents).withColumnRenamed("lang", "_lang"), "common")
     rows = documents.select("doc_id", F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("words", words(F.col("text")))
-    lower = F.split(fold(F.col("text")), r"[^a-z\x80-\x{10FFFF}]+")
-    table = F.create_map(*(x for k, v in COMMON.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    rows = by_language(rows, lists, "_lang")
+    rows = rows.withColumn("words", words(F.col("text"))).withColumn("plain", letters(F.col("text")))
+    # counted by what is left without a word; two spaces between words keep neighbours apart
+    spaced = F.concat(F.lit("  "), "plain", F.lit("  "))
+    word = lambda k: F.get("list", F.lit(k))
+    found = lambda k: F.coalesce((F.octet_length(spaced) - F.octet_length(F.replace(spaced, F.concat(F.lit(" "), word(k), F.lit(" ")), F.lit("")))) / (F.octet_length(word(k)) + 2), F.lit(0)).cast("long")
+    total = F.when(F.col("plain") == "", 0).otherwise(F.octet_length("plain") - F.octet_length(F.replace("plain", F.lit("  "), F.lit(" "))) + 1)
     rows = rows.select(
         "doc_id",
         "lang",
@@ -79,16 +107,13 @@ def measures(documents: DataFrame) -> DataFrame:
         F.when(F.size("words") < 3, F.array().cast("array<bigint>"))
         .otherwise(F.transform(F.slice("words", 1, F.greatest(F.size("words") - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2))))
         .alias("hashes"),
-        F.try_element_at(table, F.coalesce("lang", F.lit(""))).alias("list"),
-        lower.alias("lower"),
+        F.when(F.col("list").isNotNull(), F.array(*(found(k) for k in range(COMMON_WORDS)))).alias("found"),
+        total.cast("long").alias("total"),
     )
-    spots = F.transform("lower", lambda w: F.array_position(F.col("list"), w).cast("int"))
-    rows = rows.withColumn("spots", F.when(F.col("list").isNotNull(), F.filter(spots, lambda p: p > 0)))
-    count = lambda k: F.size(F.filter("spots", lambda p: p == k)).cast("long")
-    size = max(map(len, COMMON.values()))
     n_symbols = (F.col("chars") - F.col("no_symbols")).cast("long")
     digits, upper, marks = (F.col("chars") - F.col(c) for c in ("no_digits", "no_upper", "no_marks"))
     rest = F.col("word_chars") - n_symbols - digits - upper - marks
+    other = F.col("total") - F.aggregate("found", F.lit(0).cast("bigint"), lambda s, x: s + x)
     return rows.select(
         "doc_id",
         "lang",
@@ -98,7 +123,7 @@ def measures(documents: DataFrame) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("hashes")).alias("n_repeat_words"),
         F.array(*(x.cast("long") for x in (rest, upper, digits, marks, n_symbols, F.col("chars") - F.col("word_chars")))).alias("classes"),
-        F.when(F.col("list").isNotNull(), F.array(*(count(k + 1) for k in range(size)), (F.size("lower") - F.size("spots")).cast("long"))).alias("common"),
+        F.when(F.col("found").isNotNull(), F.concat("found", F.array(other))).alias("common"),
     )
 
 
@@ -120,38 +145,36 @@ def limit(most: float, shape: tuple[float, float]) -> Column:
     return most * F.least(F.lit(1.0), F.sqrt(floor**2 + spread**2 / F.greatest("n_words", F.lit(1))))
 
 
-def references(measured: DataFrame) -> DataFrame:
-    """``lang, ref_classes, ref_common``: counts over all documents of each language; null stands for all documents.
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
 
-    There is a row a language; more than MAX_LANGS is an error, which bounds what is collected.
-    """
+
+def references(measured: DataFrame) -> DataFrame:
+    """``_lang, ref_classes, ref_common``: counts over the documents of each language that pass the base rules; null stands for all of them."""
     sums = lambda c, k: F.array(*(F.coalesce(F.sum(F.get(c, F.lit(i))), F.lit(0)) for i in range(k)))
-    size = max(map(len, COMMON.values())) + 1
-    rows = measured.groupBy("lang").agg(sums("classes", 6).alias("classes"), sums("common", size).alias("common")).limit(MAX_LANGS + 1).collect()
-    if len(rows) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    out = [{"lang": r.lang, "ref_classes": list(r.classes), "ref_common": list(r.common)} for r in rows if r.lang is not None]
-    every = [sum(r.classes[i] for r in rows) for i in range(6)]
-    out.append({"lang": None, "ref_classes": every, "ref_common": [0] * size})
-    return small_frame(measured.sparkSession, out, "lang:string,ref_classes:array<bigint>,ref_common:array<bigint>")
+    good = measured.where(~base_failed())
+    own = good.groupBy(F.col("lang").alias("_lang")).agg(sums("classes", 6).alias("ref_classes"), sums("common", COMMON_WORDS + 1).alias("ref_common"))
+    every = own.agg(sums("ref_classes", 6).alias("ref_classes"))
+    every = every.select(F.lit(None).cast("string").alias("_lang"), "ref_classes", F.lit(None).cast("array<bigint>").alias("ref_common"))
+    return own.where("_lang is not null").unionByName(every)
 
 
 def quality(documents: DataFrame, max_class: float = MAX_CLASS, max_common: float = MAX_COMMON) -> DataFrame:
     """``doc_id``, base measures, ``base_failed``, both distances and ``kept`` for every row.
 
-    A row without a language is compared with all documents' classes and not by
-    common words, and so is one whose language has no list. Null and empty texts
-    have no words and so fail. Repeated rows repeat and count in the references;
-    an empty table gives an empty one. ``max_class`` and ``max_common`` are the
-    limits of short documents; those of longer ones are in proportion.
+    A row without a language, and every row of a table without that column, is
+    compared with all documents' classes and not by common words. A language of
+    which no document passes the base rules has no reference, and distances are 0.
+    Null and empty texts have no words and so fail. Repeated rows repeat and count
+    in the references; an empty table gives an empty one. ``max_class`` and
+    ``max_common`` are the limits of short documents; those of longer ones are in proportion.
     """
     measured = written(measures(documents), "quality")
-    ref = references(measured)
-    failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    rows = measured.join(F.broadcast(ref.withColumnRenamed("lang", "_lang")), F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    rows = rows.withColumn("class_distance", distance(F.col("classes"), F.col("ref_classes")))
-    rows = rows.withColumn("common_distance", F.when(F.col("common").isNotNull(), distance(F.col("common"), F.col("ref_common"))).otherwise(0.0))
+    rows = by_language(measured, written(references(measured), "references"), "_lang")
+    pair = lambda a, b: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), distance(F.col(a), F.col(b))).otherwise(0.0)
+    rows = rows.withColumn("class_distance", pair("classes", "ref_classes")).withColumn("common_distance", pair("common", "ref_common"))
     fine = (F.col("class_distance") <= limit(max_class, CLASS_LIMIT)) & (F.col("common_distance") <= limit(max_common, COMMON_LIMIT))
+    failed = base_failed()
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "class_distance", "common_distance", (~failed & fine).alias("kept")
     )

@@ -10,7 +10,7 @@ from .common import table
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.licenses(table(spark, sf_dir, "documents"))
+    return licenses.licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

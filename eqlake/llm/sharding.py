@@ -15,8 +15,9 @@ import hashlib
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.column import Column
 
-from .common import small_frame
+from .common import small_frame, written
 
 POINTS = 4096
 VIRTUAL_NODES = 48
@@ -57,6 +58,11 @@ def plan(counts: dict[int, int], shards: int, points: int = POINTS, nodes: int =
     return out
 
 
+def hashed(text: Column, of: int) -> Column:
+    """The first 32 bits of the MD5 digest, modulo ``of``."""
+    return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % of).cast("int")
+
+
 def shards(documents: DataFrame, count: int = 40) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of every row.
 
@@ -67,13 +73,16 @@ def shards(documents: DataFrame, count: int = 40) -> DataFrame:
     """
     spark = documents.sparkSession
     text = F.coalesce("text", F.lit(""))
+    # texts are read once; a row without doc_id has a part by its place, as such rows' ranks among themselves don't matter
+    loose = F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int")
     rows = documents.select(
         "doc_id",
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        F.pmod(F.xxhash64(text), F.lit(POINTS)).cast("int").alias("point"),
-        F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(PARTS)).cast("int").alias("part"),
+        hashed(text, POINTS).alias("point"),
+        F.when(F.col("doc_id").isNull(), loose).otherwise(hashed(F.col("doc_id").cast("string"), PARTS)).alias("part"),
     )
+    rows = written(rows, "shards")
     parts = rows.groupBy("point", "part").agg(F.count("*").alias("n"))
     # POINTS rows at most, whatever the input
     counts = {r.point: r.n for r in parts.groupBy("point").agg(F.sum("n").alias("n")).collect()}

@@ -99,7 +99,8 @@ def test_ring_moves_little():
     old, new = where(40), where(41)
     assert len(old) == len(new) == 100 * sharding.POINTS
     moved = sum(old[k] != new[k] for k in old) / len(old)
-    assert moved < 0.5, moved
+    # 1/41 of the rows have to move
+    assert moved < 0.08, moved
 
 
 def measured(text):
@@ -152,7 +153,8 @@ def test_common_words_of_short_and_long_documents(spark):
     import random
 
     rng = random.Random(4)
-    common, rare = quality.COMMON["en"], [f"{a}{b}" for a in ("ra", "lo", "mi", "te", "su", "po") for b in ("nder", "stic", "lum", "ven", "gost", "prak")]
+    common = "the of and to in is that for it was with as on by are".split()
+    rare = [f"{a}{b}" for a in ("ra", "lo", "mi", "te", "su", "po") for b in ("nder", "stic", "lum", "ven", "gost", "prak")]
 
     def text(n, share):
         return " ".join(rng.choice(common) if rng.random() < share else rng.choice(rare) for _ in range(n))
