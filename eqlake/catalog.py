@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import expressions as X
-from .functions import metrics, prompts, terms, text
+from .functions import metrics, notation, prompts, terms, text
 from .functions import responses as A
 from .operators import calls, generators
 from .operators import relational as R
@@ -230,7 +230,7 @@ VALUES = ", ".join(f"('{e}')" for e in EXPRESSIONS)
 def expression_functions(t, spark):
     e = spark.range(1).select(F.explode(F.array(*map(F.lit, EXPRESSIONS))).alias("expr"))
     c = F.col("expr")
-    return e.select("expr", text.explicit_product(c).alias("fixed"), text.expression_type(c).alias("kind"), text.notation(c).alias("notation"))
+    return e.select("expr", text.explicit_product(c).alias("fixed"), text.expression_type(c).alias("kind"), notation.notation(c).alias("notation"))
 
 
 @query(

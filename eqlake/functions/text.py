@@ -6,9 +6,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 
+#: A number that stands before a letter: fixed value.
+IMPLICIT_PRODUCT = r"(\d+\.?\d*(?:[eE][+-]?\d+)?)([a-zA-Z])"
+
+
 def explicit_product(c: Column) -> Column:
     """2x becomes 2*x."""
-    return F.regexp_replace(c, r"(\d+\.?\d*(?:[eE][+-]?\d+)?)([a-zA-Z])", "$1*$2")
+    return F.regexp_replace(c, IMPLICIT_PRODUCT, "$1*$2")
 
 
 def number_or_one(c: Column) -> Column:
@@ -31,45 +35,9 @@ def expression_type(c: Column) -> Column:
     )
 
 
-def notation(c: Column) -> Column:
-    """rpn (an operator last, or a function after operands), latex (its marks), else infix."""
-    text = F.trim(c)
-    return (
-        F.when(text.rlike(r"^[^()\\]*\s([-+*/^]|sin|cos|tan|exp|log|sqrt|neg)$"), "rpn").when(text.rlike(r"\\[a-zA-Z]+|[\^_]\{"), "latex").otherwise("infix")
-    )
-
-
-def has_solution(c: Column) -> Column:
-    """Three-valued: a labelled answer first, then phrases; null where nothing is said."""
-    low = F.lower(c)
-    said = F.regexp_extract(low, r"has_solution\s*[:=]\s*(yes|no|true|false)", 1)
-    return F.when(said.isin("yes", "true"), True).when(said.isin("no", "false"), False).when(low.rlike(r"no solution|does not exist|not solvable"), False)
-
-
-TYPES = ("exact_symbolic", "approx_coef", "series", "discrete_points", "family", "regularized", "none")
-
-
-def solution_type(c: Column) -> Column:
-    """The labelled type with its separators made underscores, if it is one of the seven."""
-    said = F.regexp_replace(F.regexp_extract(F.lower(c), r"solution_type\s*[:=]\s*([a-z]+(?:[ _-][a-z]+)?)", 1), r"[ -]", "_")
-    return F.when(said.isin(*TYPES), said)
-
-
-def point_texts(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(r"\(\s*(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)\s*,\s*(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)\s*\)"), F.lit(0))
-
-
-def points(c: Column) -> Column:
-    """``array<struct<x, y>>`` of the pairs in the text, null if fewer than two."""
-    found = F.transform(
-        point_texts(c), lambda p: F.struct(F.split(F.regexp_replace(p, r"[()\s]", ""), ",")[0].cast("double").alias("x"), F.split(F.regexp_replace(p, r"[()\s]", ""), ",")[1].cast("double").alias("y"))
-    )
-    return F.when(F.size(found) >= 2, found)
-
-
 def last_block(c: Column) -> Column:
     """What stands in the last fenced python block."""
-    return F.element_at(F.regexp_extract_all(c, F.lit(r"(?s)```python\n(.*?)```"), F.lit(1)), -1)
+    return F.element_at(F.regexp_extract_all(c, F.lit(r"(?s)```(?:python|py)?\s*\n(.*?)```"), F.lit(1)), -1)
 
 
 def coefficient_class(c: Column) -> Column:
@@ -84,3 +52,19 @@ def equation_line(kernel: Column, f: Column, lam: Column, a: Column, b: Column)
     """The equation as text; of the first kind where lambda is 0."""
     integral = F.concat(F.lit("∫["), a.cast("string"), F.lit(", "), b.cast("string"), F.lit("] ("), kernel, F.lit(") u(t) dt = "), f)
     return F.when(lam == 0, integral).otherwise(F.concat(F.lit("u(x) - "), lam.cast("string"), F.lit(" * "), integral))
+
+
+def flagged_type(flags: dict[str, Column]) -> Column:
+    """The type that boolean flags name, in the order they are given; a real value without any."""
+    out = F.lit("real_value")
+    for name, flag in reversed(flags.items()):
+        out = F.when(F.coalesce(flag, F.lit(False)), name).otherwise(out)
+    return out
+
+
+def rounded_numbers(c: Column, digits: int = 4) -> Column:
+    """Decimal numbers in a text to so many significant digits, integers as they are. Native, number by number."""
+    pattern = r"\d+\.\d+(?:[eE][+-]?\d+)?"
+    between, numbers = F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    short = F.transform(numbers, lambda n: F.regexp_replace(F.format_string(f"%.{digits - 1}e", n.cast("double")).cast("double").cast("string"), r"\.0$", ""))
+    return F.array_join(F.flatten(F.zip_with(between, short, lambda b, n: F.array(b, F.coalesce(n, F.lit(""))))), "")

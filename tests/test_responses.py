@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from eqlake.functions import prompts
+from eqlake.functions import notation, prompts
 from eqlake.functions import responses as A
 from eqlake.operators import calls
 from eqlake.streaming import predictions
@@ -34,7 +34,7 @@ def test_points_steps_formulas_names(spark):
     assert [r.p and [tuple(p) for p in r.p] for r in rows[:5]] == [[(0, 1), (0.1, -2)], None, None, None, [(0, 1), (1, 2)]]
     assert rows[5].s == "first\nmore\nsecond" and rows[0].s is None
     assert "a" in rows[6].f and rows[6].f[-1] == "b"
-    names = spark.createDataFrame([("a/rpn/test_latex.csv",), ("a/x.csv",)], "n string").select(A.notation_of_name(F.col("n"))).collect()
+    names = spark.createDataFrame([("a/rpn/test_latex.csv",), ("a/x.csv",)], "n string").select(notation.notation_of_name(F.col("n"))).collect()
     assert [r[0] for r in names] == ["latex", None]
 
 
