@@ -12,6 +12,7 @@ from .functions import metrics, notation, prompts, terms, text
 from .functions import responses as A
 from .operators import calls, generators
 from .operators import relational as R
+from .plans import scoring, solvers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -370,3 +371,234 @@ def validate_equations(t, spark):
     )
     has = lambda text: F.count_if(F.exists("errors", lambda m: m.startswith(text)))
     return terms.checked(e).groupBy("p_brand").agg(F.count("*").alias("n"), F.count_if("valid").alias("n_valid"), has("Invalid kernel").alias("n_bad_kernel"), has("Invalid domain").alias("n_bad_domain"))
+
+
+def predictions(t) -> DataFrame:
+    """A prediction a part, of each type of solution in turn, right or wrong by its key."""
+    k, s = F.col("p_partkey"), F.col("p_size").cast("string")
+    kinds = F.array(*map(F.lit, ("exact_symbolic", "none", "regularized", "family", "series", "approx_coef", "discrete_points")))
+    even, kind = k % 2 == 0, F.get(kinds, (k % 7).cast("int"))
+    points = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.struct((i / 4).alias("x"), i.cast("double").alias("y")))
+    said = F.transform(points, lambda p: F.struct(p["x"].alias("x"), F.when(even | (p["y"] == 4), p["y"]).otherwise(p["y"] + 0.5).alias("y")))
+    pick = lambda **by: F.coalesce(*(F.when(kind == name, c) for name, c in by.items()))
+    return t("part").select(
+        k.alias("equation_id"),
+        kind.alias("ground_truth_solution_type"),
+        F.when((kind == "regularized") & (k % 3 == 1), "series").otherwise(kind).alias("solution_type"),
+        (kind != "none").alias("ground_truth_has_solution"),
+        F.when(kind == "none", k % 3 != 0).otherwise(k % 11 != 0).alias("has_solution"),
+        pick(exact_symbolic=F.concat(s, F.lit("*x")), family=F.concat(s, F.lit("*C*x")), series=F.lit("1 + x + x**2/2 + x**3/6"), approx_coef=F.concat(s, F.lit("*x + 1"))).alias("ground_truth"),
+        pick(
+            exact_symbolic=F.when(k % 5 == 0, F.concat(s, F.lit("*x + ("))).when(even, F.concat(F.lit("x*"), s)).otherwise(F.concat(s, F.lit("*x + 0.5"))),
+            family=F.when(even, "c_1*x").otherwise("x**2"),
+            series=F.when(even, "x**3/6 + x**2/2 + x + 1").otherwise("1 + x + x**2/2"),
+            approx_coef=F.concat(F.when(even, "1.05*").otherwise("1.5*"), s, F.lit("*x + 1")),
+        ).alias("solution_str"),
+        F.when(kind == "exact_symbolic", "x*t").alias("ground_truth_kernel"),
+        F.when(kind == "exact_symbolic", F.concat(s, F.lit("*x*0.9"))).alias("ground_truth_f"),
+        F.when(kind == "exact_symbolic", 0.3).alias("ground_truth_lambda"),
+        F.when(kind == "discrete_points", points).alias("gt_points"),
+        F.when(kind == "discrete_points", said).alias("pred_points"),
+    )
+
+
+PREDICTIONS = """p AS (SELECT *, ['exact_symbolic', 'none', 'regularized', 'family', 'series', 'approx_coef', 'discrete_points'][p_partkey % 7 + 1] AS kind, p_partkey % 2 = 0 AS even,
+  p_partkey % 7 = 0 AND p_partkey % 5 = 0 AS bad, CASE WHEN p_partkey % 7 = 1 THEN p_partkey % 3 <> 0 ELSE p_partkey % 11 <> 0 END AS says FROM part),
+q AS (SELECT *, NOT bad AS known, CASE kind WHEN 'none' THEN NOT says WHEN 'regularized' THEN p_partkey % 3 <> 1 WHEN 'approx_coef' THEN false ELSE even END AS ok,
+  CASE WHEN bad THEN NULL WHEN kind = 'exact_symbolic' THEN CASE WHEN even THEN 0.0 ELSE 0.5 END WHEN kind = 'series' THEN CASE WHEN even THEN 0.0 ELSE 1 / 6.0 END
+    WHEN kind = 'approx_coef' THEN CASE WHEN even THEN 0.05 ELSE 0.5 END * p_size END AS worst FROM p)"""
+
+
+@query(f"""WITH {PREDICTIONS}, r AS (SELECT kind, count(*) AS results, count(*) FILTER (known) AS total, count(*) FILTER (known AND ok) AS correct, count(*) FILTER (bad) AS parse_errors,
+  count(*) FILTER (kind = 'none' AND NOT says) AS none_tp, count(*) FILTER (kind <> 'none' AND NOT says) AS none_fp, count(*) FILTER (kind = 'none' AND says) AS none_fn,
+  count(*) FILTER ((kind <> 'none') = says) AS said_right, count(*) FILTER (NOT (kind = 'regularized' AND p_partkey % 3 = 1)) AS typed_right,
+  count(*) FILTER (kind = 'series') AS series_total, count(*) FILTER (kind = 'series' AND even) AS series_match, avg(CASE WHEN even THEN 4 ELSE 3 END) FILTER (kind = 'series') AS series_mean,
+  count(*) FILTER (kind = 'approx_coef') AS coef_total, avg(CASE WHEN even THEN 1 ELSE 0.5 END) FILTER (kind = 'approx_coef') AS coef_match_rate, avg(CASE WHEN even THEN 0.025 ELSE 0.25 END) FILTER (kind = 'approx_coef') AS coef_rel_error,
+  count(*) FILTER (kind = 'discrete_points') AS points_total, avg(CASE WHEN even THEN 1 ELSE 0.2 END) FILTER (kind = 'discrete_points') AS matched_point_rate,
+  count(*) FILTER (kind = 'family') AS family_total, avg(CASE WHEN even THEN 1 ELSE 0 END) FILTER (kind = 'family') AS param_count_match_rate,
+  count(*) FILTER (kind = 'exact_symbolic' AND known) AS residual_total, count(*) FILTER (kind = 'exact_symbolic' AND known AND even) AS verified_count, avg(worst) AS mean_worst FROM q GROUP BY ROLLUP (kind))
+SELECT coalesce(kind, 'all') AS solution_kind, results, total, correct, parse_errors, round(correct / total, 9) AS accuracy, round(said_right / results, 9) AS has_solution_accuracy, round(typed_right / results, 9) AS solution_type_accuracy,
+  none_tp, none_fp, none_fn, round(CASE WHEN none_tp = 0 THEN 0 ELSE 2 * none_tp / (2 * none_tp + none_fp + none_fn) END, 9) AS none_f1, series_total, series_match, round(series_mean, 9) AS series_mean,
+  coef_total, round(coef_match_rate, 9) AS coef_match_rate, round(coef_rel_error, 9) AS coef_rel_error, points_total, round(matched_point_rate, 9) AS matched_point_rate,
+  family_total, round(param_count_match_rate, 9) AS param_count_match_rate, residual_total, verified_count, round(mean_worst, 6) AS mean_worst FROM r""")
+def score_report(t, spark):
+    rows = scoring.scored(predictions(t))
+    # a family's largest error depends on its sample constants, and other types have none here
+    rows = rows.withColumn("max_error", F.when(F.col("kind").isin("exact_symbolic", "series", "approx_coef"), F.col("max_error")))
+    r = scoring.report(rows)
+    plain = ("solution_kind", "results", "total", "correct", "parse_errors", "none_tp", "none_fp", "none_fn", "series_total", "series_match", "coef_total", "points_total", "family_total", "residual_total", "verified_count")
+    rounded = ("accuracy", "has_solution_accuracy", "solution_type_accuracy", "none_f1", "series_mean", "coef_match_rate", "coef_rel_error", "matched_point_rate", "param_count_match_rate")
+    return r.select(*plain, *(F.round(c, 9).alias(c) for c in rounded), F.round("mean_max_error", 6).alias("mean_worst"))
+
+
+@query(f"WITH {PREDICTIONS} SELECT p_partkey AS equation_id, CASE WHEN known THEN ok END AS correct FROM q")
+def score_rows(t, spark):
+    return scoring.scored(predictions(t)).select("equation_id", "correct")
+
+
+STRATEGY_ROWS = ", ".join(
+    f"('{name}', '{x.kind}', '{x.variant}', {x.lam.replace('lambda_val', 'l').replace('D', '').replace('if(b = a, 1.0, 1 / (b - a))', '1 / (b - a)').replace('if(b = a, 1.0, 3 / (b * b * b - a * a * a))', '3 / (b * b * b - a * a * a)')}, {str(x.u == '').lower()})"
+    for name, rows in generators.STRATEGIES.items() for x in rows
+)
+
+
+@query(f"""SELECT augmentation_type, variant, kind AS solution_type, count(*) AS n, round(sum(lam), 6) AS lambda_sum, count(*) FILTER (no_u) AS n_without_u FROM (SELECT p_size::DOUBLE AS b, 0.0::DOUBLE AS a, p_retailprice / 1000 AS l FROM part) e,
+  LATERAL (VALUES {STRATEGY_ROWS}) v(augmentation_type, kind, variant, lam, no_u) GROUP BY ALL""")
+def augment_strategies(t, spark):
+    e = t("part").select(F.lit(0.0).alias("a"), F.col("p_size").cast("double").alias("b"), (F.col("p_retailprice") / 1000).alias("lambda_val"), F.lit("x").alias("f"), F.lit("x**2").alias("u"))
+    out = generators.augmented(e, *generators.GROUPS)
+    return out.groupBy("augmentation_type", F.col("augmentation_variant").alias("variant"), "solution_type").agg(F.count("*").alias("n"), F.round(F.sum("lambda_val"), 6).alias("lambda_sum"), F.count_if(F.col("u") == "").alias("n_without_u"))
+
+
+@query("""WITH o AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS i, count(*) OVER () AS n FROM part), g AS (SELECT *, n // 2 AS wanted, i * 13 AS ahead FROM o)
+SELECT origin, count(*) AS n, min(p_partkey) AS first_key, max(p_partkey) AS last_key FROM (SELECT 'original' AS origin, p_partkey FROM o
+  UNION ALL SELECT 'family', p_partkey FROM g, range(2) WHERE ahead < wanted UNION ALL SELECT 'none', p_partkey FROM g, range(11) WHERE ahead + 2 < wanted) GROUP BY 1""")
+def augment_to_size(t, spark):
+    """Two rows of an equation for families, then eleven without a solution, until there are half as many again as originals."""
+    e = t("part").select("p_partkey", F.lit(0.0).alias("a"), F.lit(1.0).alias("b"), F.lit(0.5).alias("lambda_val"), F.lit("x").alias("f"), F.lit("x").alias("u"))
+    out = generators.augment_dataset(e, "p_partkey", ("family", "none_solution"), 1.5)
+    return out.groupBy(F.when(F.col("augmented"), F.col("solution_type")).otherwise("original").alias("origin")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_key"), F.max("p_partkey").alias("last_key"))
+
+
+@query("SELECT p_partkey, 53 AS n_points, round(p_size * (SELECT sum(y * y) FROM (SELECT i / 49.0 AS y FROM range(50) r(i) UNION ALL SELECT unnest([0.5, 0.1, 0.9]))) + 53 * 1, 6) AS u_sum FROM part")
+def evaluation_points(t, spark):
+    e = t("part").select("p_partkey", F.concat(F.col("p_size").cast("string"), F.lit("*x**2 + 1")).alias("u"), F.lit(0.0).alias("a"), F.lit(1.0).alias("b"), F.lit(True).alias("has_solution"), F.lit("exact_symbolic").alias("solution_type"))
+    p = generators.with_evaluation_points(e).select("p_partkey", "evaluation_points.n_points", F.aggregate("evaluation_points.u_values", F.lit(0.0), lambda s, v: s + v).alias("s"))
+    return p.select("p_partkey", "n_points", F.round("s", 6).alias("u_sum"))
+
+
+@query(r"""SELECT p_partkey, 'u(x) - 0.5 * ∫[0,' || p_size || '] (x*t) u(t) dt = ' || p_size || '*x' AS infix, 'u(x) - 0.5 \int_{0}^{' || p_size || '} x \cdot t \, u(t) \, dt = ' || p_size || ' \cdot x' AS latex,
+  'u x ' || p_size || ' x * = x t * u t * 0.5 * 0 ' || p_size || ' ∫ -' AS rpn, 'u ( x ) - <LAMBDA> 0.5 <INT> <LOWER> 0 <UPPER> ' || p_size || ' x * t u ( t ) dt <SEP> ' || p_size || ' * x' AS tokenized,
+  'u(x) = ' || p_size || '*x + (0.5)^1 * ∫[0,' || p_size || '] K^1(x,t) f(t) dt + O(λ^2)' AS neumann FROM part""")
+def equation_texts(t, spark):
+    f, b = F.concat(F.col("p_size").cast("string"), F.lit("*x")), F.col("p_size")
+    parts = (F.lit("x*t"), f, F.lit("0.5"), F.lit(0), b)
+    return t("part").select("p_partkey", *(notation.equation(*parts, k).alias(k) for k in ("infix", "latex", "rpn", "tokenized")), notation.neumann_text(f, F.lit("x*t"), F.lit(0.5), F.lit(0), b, 2).alias("neumann"))
+
+
+@query("""SELECT p_brand, CASE WHEN i >= l AND i >= r THEN 'infix' WHEN l >= r THEN 'latex' ELSE 'rpn' END AS notation FROM (
+  SELECT p_brand, count(*) FILTER (p_size % 3 = 0) * 2 AS i, count(*) FILTER (p_size % 3 = 1) * 2 AS l, count(*) FILTER (p_size % 3 = 2) * 2 AS r FROM part GROUP BY 1)""")
+def file_notations(t, spark):
+    k, s = F.col("p_size") % 3, F.col("p_size").cast("string")
+    text = F.when(k == 0, F.concat(s, F.lit("*x + sin(x)"))).when(k == 1, F.concat(F.lit("\\frac{x}{"), s, F.lit("}"))).otherwise(F.concat(F.lit("x "), s, F.lit(" ^")))
+    return notation.notation_of_rows(t("part").select("p_brand", text.alias("u"), text.alias("f")), "p_brand")
+
+
+@query("""WITH e AS (SELECT p_partkey, p_partkey % 4 AS g, p_size::DOUBLE AS s, p_size / 200.0 AS l FROM part) SELECT p_partkey, round(CASE g WHEN 0 THEN s * 3 / (3 - l) WHEN 1 THEN s / (1 - 2 * l) WHEN 2 THEN s / (1 - l / 5) ELSE s * exp(1) / (1 - l) END, 6) AS at_one,
+  NOT (g = 1 AND abs(1 - 2 * l) < 1e-9) AS solved, NOT (g = 1 AND abs(1 - 2 * l) < 1e-9) AS own_verified, false AS f_verified FROM e""")
+def varied_equations(t, spark):
+    """Four kernels on three domains, with what is known of their solutions."""
+    g, s = F.col("p_partkey") % 4, F.col("p_size").cast("string")
+    e = t("part").select(
+        "p_partkey", F.when(g == 0, "x*t").when(g == 1, "1").when(g == 2, "x**2*t**2").otherwise("exp(x - t)").alias("kernel"),
+        F.when(g == 0, F.concat(s, F.lit("*x"))).when(g == 1, s).when(g == 2, F.concat(s, F.lit("*x**2"))).otherwise(F.concat(s, F.lit("*exp(x)"))).alias("f"),
+        (F.col("p_size") / 200).alias("lam"), F.when(g == 1, -1.0).otherwise(0.0).alias("a"), F.lit(1.0).alias("b"),
+    )
+    rest = ("kernel", "f", "lam", "a", "b")
+    e = e.withColumn("u", X.separable_solution(*rest))
+    out = e.select("p_partkey", X.value_at("u", F.lit(1.0)).alias("at_one"), F.col("u").isNotNull().alias("solved"), X.max_residual("u", *rest).alias("own"), X.max_residual("f", *rest).alias("wrong"))
+    return out.select("p_partkey", F.round("at_one", 6).alias("at_one"), "solved", (F.col("own") < 1e-6).alias("own_verified"), (F.col("wrong") < 1e-6).alias("f_verified"))
+
+
+@query("""SELECT split, CASE WHEN g = 1 THEN solution_type END AS solution_type, CASE WHEN g = 2 THEN edge_case END AS edge_case, rows, originals, rows - originals AS augmented, round((rows - originals) / rows, 9) AS ratio FROM (
+  SELECT split, solution_type, edge_case, GROUPING(split, solution_type, edge_case) AS g, count(*) AS rows, count(*) FILTER (k % 3 <> 0) AS originals FROM (
+    SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 < 8 THEN 'train' WHEN o_orderkey % 10 = 8 THEN 'val' ELSE 'test' END AS split, o_orderpriority AS solution_type, CASE WHEN o_orderkey % 3 = 0 AND o_orderstatus <> 'P' THEN o_orderstatus END AS edge_case FROM orders)
+  GROUP BY GROUPING SETS ((split), (split, solution_type), (split, edge_case))) WHERE g = 3 OR (g = 1 AND solution_type IS NOT NULL) OR (g = 2 AND edge_case IS NOT NULL)""")
+def split_statistics(t, spark):
+    k = F.col("o_orderkey")
+    rows = t("orders").select(
+        F.when(k % 10 < 8, "train").when(k % 10 == 8, "val").otherwise("test").alias("split"), F.col("o_orderpriority").alias("solution_type"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).otherwise(" ").alias("edge_case"), (k % 3 == 0).alias("augmented"),
+    )
+    return R.split_statistics(rows).withColumn("ratio", F.round("ratio", 9)).drop("level")
+
+
+@query(f"SELECT o_orderkey, CASE WHEN rn <= greatest(1, floor(n * 0.1)) THEN 'val' ELSE 'train' END AS split FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {MD5.format('o_orderkey')}, o_orderkey) AS rn, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders)")
+def quota_split(t, spark):
+    return R.quotas(t("orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey").select("o_orderkey", "split")
+
+
+@query("SELECT o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS rn FROM orders) WHERE rn = 1 OR (rn = 2 AND o_orderpriority = '1-URGENT')")
+def pilot_subset(t, spark):
+    return R.pilot(t("orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey", "1-URGENT").select("o_orderkey")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE round(l_discount, 6) NOT IN (SELECT round(p_size / 100.0, 6) FROM part WHERE p_size <= 5)")
+def without_leaks(t, spark):
+    test = t("part").where("p_size <= 5").select((F.col("p_size") / 100).alias("l_discount"))
+    return R.without_leaks(t("lineitem").select("l_orderkey", "l_linenumber", "l_discount"), test, "l_discount").select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 4 = 0)")
+def resume_pending(t, spark):
+    done = t("orders").where("o_orderkey % 4 = 0").select(F.col("o_custkey").alias("c_custkey"))
+    return calls.pending(t("customer").select("c_custkey"), done, "c_custkey")
+
+
+@query("""WITH l AS (SELECT event_id, user_id, value FROM events WHERE event_type = 'click'), r AS (SELECT DISTINCT user_id, value FROM events WHERE event_type <> 'click')
+SELECT event_id, round(nearest, 9) AS nearest FROM (SELECT l.event_id, r.value AS nearest, row_number() OVER (PARTITION BY l.event_id ORDER BY abs(r.value - l.value), r.value) AS rn FROM l LEFT JOIN r ON l.user_id = r.user_id AND abs(r.value - l.value) < 0.5) WHERE rn = 1""")
+def nearest_event_value(t, spark):
+    e = t("events").select("event_id", "user_id", "event_type", "value")
+    right = e.where("event_type != 'click'").select("user_id", "value", F.col("value").alias("y")).distinct()
+    return R.nearest(e.where("event_type = 'click'").select("event_id", "user_id", "value"), right, "user_id", "value", "y", 0.5).select("event_id", F.round("nearest_y", 9).alias("nearest"))
+
+
+CANDIDATES = "c AS (SELECT p_partkey AS e, m, (p_partkey * (m + 3)) % 7 AS h, p_partkey, p_size FROM part, range(4) r(m))"
+
+
+def candidate_rows(t) -> DataFrame:
+    """Four candidates a part: what they claim, their residual and status follow from a number of their own."""
+    rows = t("part").select(F.col("p_partkey").alias("equation_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("place"))
+    h = (F.col("equation_id") * (F.col("place") + 3)) % 7
+    rows = rows.withColumn("h", h).withColumn("verified", (F.col("h") == 6) & (F.col("equation_id") % 2 == 0))
+    return rows.select(
+        "equation_id", F.concat(F.lit("m"), F.col("place").cast("string")).alias("method"), "place", F.when(F.col("equation_id") % 13 == 0, "").otherwise("said").alias("response"),
+        (F.col("h") % 3 != 0).alias("has_solution"), F.when(F.col("h") < 5, "series").otherwise("none").alias("solution_type"),
+        F.when(F.col("verified"), F.col("h") * 1e-9).when(F.col("h") > 2, F.col("h").cast("double")).alias("residual_max"), F.when(F.col("verified"), "verified").when(F.col("h") > 2, "failed").otherwise("unverifiable").alias("status"),
+    )
+
+
+@query(f"""WITH {CANDIDATES}, d AS (SELECT e, m, h, h = 6 AND e % 2 = 0 AS ver, h % 3 <> 0 AS has, h < 5 AS ser, CASE WHEN h = 6 AND e % 2 = 0 THEN 0 WHEN h > 2 THEN 1 ELSE 2 END AS st, CASE WHEN h = 6 AND e % 2 = 0 THEN h * 1e-9 WHEN h > 2 THEN h ELSE 1e300 END AS res FROM c),
+g AS (SELECT *, count(*) OVER (PARTITION BY e, has, ser) AS votes, min(m) OVER (PARTITION BY e, has, ser) AS lead_m, bool_or(ver) OVER (PARTITION BY e) AS sure FROM d),
+w AS (SELECT *, max(votes) OVER (PARTITION BY e) AS most FROM g), x AS (SELECT *, min(CASE WHEN votes = most THEN lead_m END) OVER (PARTITION BY e) AS lead_g FROM w),
+y AS (SELECT *, row_number() OVER (PARTITION BY e ORDER BY st, res, m) AS rn FROM x WHERE e % 13 = 0 OR CASE WHEN sure THEN ver WHEN most > 1 THEN votes = most AND lead_m = lead_g ELSE true END)
+SELECT e AS equation_id, 'm' || m AS method, CASE WHEN e % 13 = 0 THEN 'all_calls_failed' WHEN sure THEN 'verified' WHEN most > 1 THEN 'majority_vote' ELSE 'best_effort' END AS selection_reason FROM y WHERE rn = 1""")
+def select_candidates(t, spark):
+    return solvers.selected(candidate_rows(t)).select("equation_id", "method", "selection_reason")
+
+
+@query("""SELECT event_type, round(sum(c * tp / (tp + tc)), 4) AS prompt_cost, round(sum(c * tc / (tp + tc)), 4) AS completion_cost, round(sum(c), 4) AS cost FROM (
+  SELECT event_type, (event_id % 5000 + 1)::DOUBLE AS tp, (event_id % 700)::DOUBLE AS tc, (event_id % 1000) / 1000.0 AS c FROM events) GROUP BY 1""")
+def billed_costs(t, spark):
+    tp, tc = F.col("event_id") % 5000 + 1, F.col("event_id") % 700
+    c = t("events").select("event_type", tp.alias("prompt_tokens"), F.lit(0).alias("cached_tokens"), tc.alias("completion_tokens"), (tp + tc).alias("total_tokens"), ((F.col("event_id") % 1000) / 1000).alias("cost"))
+    out = calls.billed(c).groupBy("event_type").agg(*(F.sum(k).cast("double").alias(n) for k, n in (("prompt_cost_usd", "prompt_cost"), ("completion_cost_usd", "completion_cost"), ("total_cost_usd", "cost"))))
+    return out.select("event_type", *(F.round(c, 4).alias(c) for c in ("prompt_cost", "completion_cost", "cost")))
+
+
+@query("SELECT lang, min(n_chars) AS low, round(quantile_cont(n_chars, 0.25), 6) AS q1, round(quantile_cont(n_chars, 0.5), 6) AS q2, round(quantile_cont(n_chars, 0.75), 6) AS q3, max(n_chars) AS high FROM documents GROUP BY lang")
+def describe_quartiles(t, spark):
+    """Exact quartiles from counts of values, so that a task holds different lengths only, not rows."""
+    n = t("documents").groupBy("lang", "n_chars").agg(F.count("*").alias("n"))
+    q = F.percentile("n_chars", [0.0, 0.25, 0.5, 0.75, 1.0], F.col("n"))
+    out = n.groupBy("lang").agg(q.alias("q"))
+    return out.select("lang", F.get("q", F.lit(0)).cast("long").alias("low"), *(F.round(F.get("q", F.lit(k)), 6).alias(f"q{k}") for k in (1, 2, 3)), F.get("q", F.lit(4)).cast("long").alias("high"))
+
+
+@query("""SELECT p_type, kind AS solution_class, count(*) AS n FROM (SELECT p_type, CASE p_size % 6 WHEN 0 THEN 'Constant' WHEN 1 THEN 'Exponential' WHEN 2 THEN 'Hyperbolic' WHEN 3 THEN 'Trigonometric' WHEN 4 THEN 'Polynomial' ELSE 'Rational' END AS kind FROM part) GROUP BY ALL""")
+def solution_classes(t, spark):
+    k, s = F.col("p_size") % 6, F.col("p_size").cast("string")
+    u = F.when(k == 0, s).when(k == 1, F.concat(s, F.lit("*exp(x)"))).when(k == 2, "cosh(x)").when(k == 3, "sin(x)").when(k == 4, F.concat(s, F.lit("*x"))).otherwise("1/(x+1)")
+    return t("part").groupBy("p_type", text.solution_class(u).alias("solution_class")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT edge_case, solution_type, rows, valid, CASE WHEN g = 3 THEN round(100.0 * odd / rows, 6) END AS pct FROM (SELECT edge_case, solution_type, GROUPING(edge_case, solution_type) AS g, count(*) AS rows,
+  count(*) FILTER (NOT (kind = 'none' AND p_size % 4 = 0)) AS valid, count(*) FILTER (edge_case <> 'none') AS odd FROM (SELECT p_size, CASE WHEN p_size % 5 = 0 THEN 'resonance' ELSE 'none' END AS edge_case, CASE WHEN p_size % 2 = 0 THEN 'none' ELSE 'series' END AS kind,
+  CASE WHEN p_size % 2 = 0 THEN 'none' ELSE 'series' END AS solution_type FROM part) GROUP BY GROUPING SETS ((edge_case), (solution_type), ()))""")
+def augmented_report(t, spark):
+    k = F.col("p_size")
+    e = t("part").select(
+        F.lit("x*t").alias("kernel"), F.lit("x").alias("f"), F.lit("0.5").alias("lambda_val"), F.lit(0.0).alias("a"), F.lit(1.0).alias("b"), F.lit("x").alias("solution"),
+        F.when(k % 5 == 0, "resonance").otherwise("none").alias("edge_case"), F.when(k % 2 == 0, "none").otherwise("series").alias("solution_type"), F.when(k % 4 == 0, "x").otherwise("").alias("u"),
+    )
+    return terms.augmented_report(terms.checked_augmented(e)).select("edge_case", "solution_type", "rows", "valid", F.round("pct", 6).alias("pct"))

@@ -195,12 +195,13 @@ def point_scores(pred: Column, truth: Column, x_tolerance: float = 1e-3, y_toler
     )
 
 
-def checked(equations: DataFrame) -> DataFrame:
+def checked(equations: DataFrame, rules: dict[str, Column] | None = None) -> DataFrame:
     """``equations`` (text columns kernel, f, lambda_val, doubles a, b, optionally solution) with valid, errors, warnings.
 
     A required column that is missing or null, an expression that can't be read or has
     other symbols, a lambda that is no number and a >= b are errors; a lambda of 0, no domain and
-    an odd or missing solution are warnings. Rows stay; nothing is shuffled.
+    an odd or missing solution are warnings. ``rules`` are further checks: a column is an error's text,
+    or a warning's if its name begins with "warn", or null. Rows stay; nothing is shuffled.
     """
     col = lambda c: F.col(c) if c in equations.columns else F.lit(None).cast("string")
 
@@ -212,5 +213,32 @@ def checked(equations: DataFrame) -> DataFrame:
     errors = [F.when(col(c).isNull(), F.lit(f"Missing required field: {c}")) for c in ("kernel", "f", "lambda_val")]
     errors += [expression("kernel", "x t", "kernel"), expression("f", "x", "f(x)"), F.when(col("lambda_val").isNotNull() & lam.isNull(), "lambda_val must be a number"), F.when(col("a") >= col("b"), "Invalid domain: a must be less than b")]
     warnings = [F.when(lam == 0, "lambda_val is 0 (trivial case)"), F.when(col("a").isNull() | col("b").isNull(), "Missing recommended field: domain"), F.when(col("solution").isNull(), "Missing recommended field: solution"), expression("solution", "x", "solution format")]
+    for name, rule in (rules or {}).items():
+        (warnings if name.startswith("warn") else errors).append(rule)
     out = equations.withColumns({"errors": F.array_compact(F.array(*errors)), "warnings": F.array_compact(F.array(*warnings))})
     return out.withColumn("valid", F.size("errors") == 0)
+
+
+def validation_report(rows: DataFrame, key: str, most: int = 100) -> DataFrame:
+    """``total, valid, invalid, first_errors`` of checked rows in one row; the errors are those of the first ``most`` invalid rows by key."""
+    totals = rows.agg(F.count("*").alias("total"), F.count_if("valid").alias("valid"), F.count_if(~F.col("valid")).alias("invalid"))
+    first = rows.where(~F.col("valid")).select(F.col(key).alias("key"), "errors").orderBy("key").limit(most)
+    return totals.crossJoin(first.agg(F.sort_array(F.collect_list(F.struct("key", "errors"))).alias("first_errors")))
+
+
+def checked_augmented(rows: DataFrame) -> DataFrame:
+    """``checked`` with what doesn't agree between an augmented row's type and its solution."""
+    u = F.coalesce(F.col("u").cast("string"), F.lit(""))
+    return checked(rows, {
+        "solved_none": F.when(F.col("solution_type").isin("none", "none_solution") & (u != ""), F.concat(F.lit("type none has a solution: "), u)),
+        "unsolved": F.when(F.col("solution_type").isin("exact_symbolic", "family") & (u == ""), F.concat(F.lit("no solution for type "), F.col("solution_type"))),
+    })
+
+
+def augmented_report(rows: DataFrame) -> DataFrame:
+    """``edge_case, solution_type, rows, valid, invalid, pct``: by edge case, by type, and in total (both null), as grouping sets of checked rows."""
+    out = rows.groupingSets([["edge_case"], ["solution_type"], []], "edge_case", "solution_type").agg(
+        F.count("*").alias("rows"), F.count_if("valid").alias("valid"), F.count_if(~F.col("valid")).alias("invalid"), F.grouping_id().alias("level"),
+        F.count_if(F.coalesce(F.col("edge_case"), F.lit("none")) != "none").alias("_odd"),
+    )
+    return out.withColumn("pct", F.when(F.col("level") == 3, 100 * F.col("_odd") / F.nullif(F.col("rows"), F.lit(0)))).drop("_odd")

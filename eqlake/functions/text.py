@@ -68,3 +68,25 @@ def rounded_numbers(c: Column, digits: int = 4) -> Column:
     between, numbers = F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
     short = F.transform(numbers, lambda n: F.regexp_replace(F.format_string(f"%.{digits - 1}e", n.cast("double")).cast("double").cast("string"), r"\.0$", ""))
     return F.array_join(F.flatten(F.zip_with(between, short, lambda b, n: F.array(b, F.coalesce(n, F.lit(""))))), "")
+
+
+#: Classes of a solution's text, in the order in which they are tried.
+SOLUTION_CLASSES = (
+    ("Trivial (zero)", r"^(?:0|0\.0|none|null|)$"),
+    ("Constant", r"^-?\d+\.?\d*$"),
+    ("Linear (x)", r"^[xt]$"),
+    ("Special Function", r"bessel|legendre|hermite|laguerre|gamma|erf"),
+    ("Exponential", r"exp\("),
+    ("Hyperbolic", r"sinh|cosh|tanh"),
+    ("Trigonometric", r"sin|cos|tan"),
+    ("Polynomial", r"\*\*|x\s*\*|\*\s*x"),
+    ("Rational", r"^(?=.*/)(?=.*x)"),
+)
+
+
+def solution_class(c: Column) -> Column:
+    """The first of SOLUTION_CLASSES that a solution's text, trimmed and in lower case, falls into."""
+    low, out = F.lower(F.trim(c)), F.lit("Other Symbolic")
+    for name, pattern in reversed(SOLUTION_CLASSES):
+        out = F.when(low.rlike(pattern), name).otherwise(out)
+    return out

@@ -64,6 +64,22 @@ def priced(calls: DataFrame, prices: DataFrame) -> DataFrame:
     return out.drop("_model", "_input", "_cached", "_output").withColumn("total_cost_usd", F.col("prompt_cost_usd") + F.col("cached_cost_usd") + F.col("completion_cost_usd"))
 
 
+def billed(calls: DataFrame) -> DataFrame:
+    """``calls`` (prompt_tokens, cached_tokens, completion_tokens, total_tokens, cost) with the billed cost split by shares of tokens.
+
+    Cached tokens count within the prompt's share too. Without a cost or tokens all are 0.
+    """
+    cost = F.coalesce(F.col("cost").cast("decimal(18,8)"), F.lit(0).cast("decimal(18,8)"))
+    part = lambda c: F.coalesce((cost * F.try_divide(F.coalesce(F.col(c), F.lit(0)), F.col("total_tokens"))).cast("decimal(18,8)"), F.lit(0).cast("decimal(18,8)"))
+    return calls.withColumns({"prompt_cost_usd": part("prompt_tokens"), "completion_cost_usd": part("completion_tokens"), "cached_cost_usd": part("cached_tokens"), "total_cost_usd": F.when(F.col("total_tokens") > 0, cost).otherwise(cost)})
+
+
+def panel_cost(models: DataFrame, requests: int) -> DataFrame:
+    """``model, cost`` of so many requests, and their sum (model null): tokens a request by price a million (input, output, prompt_tokens, completion_tokens)."""
+    each = (F.col("prompt_tokens") * F.col("input") + F.col("completion_tokens") * F.col("output")) / 1_000_000
+    return models.rollup("model").agg(F.sum(each * requests).alias("cost"))
+
+
 def cost_summary(calls: DataFrame) -> DataFrame:
     """Calls, tokens and cost in total, by provider, and by provider and model: one aggregation over grouping sets."""
     return calls.rollup("provider", "model").agg(
