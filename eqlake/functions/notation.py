@@ -25,7 +25,7 @@ def notation(c: Column) -> Column:
     """rpn (an operator last and none between operands, or a function after operands), latex by its marks, else infix."""
     tokens = F.filter(F.split(F.trim(c), r"\s+"), lambda t: t != "")
     many = F.size(tokens) >= 3
-    operator = F.element_at(tokens, -1).isin(*RPN_OPERATORS) & ~c.rlike(INFIX_OPERATOR)
+    operator = F.try_element_at(tokens, F.lit(-1)).isin(*RPN_OPERATORS) & ~c.rlike(INFIX_OPERATOR)
     function = F.exists(F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(1))), lambda t: t.isin(*RPN_FUNCTIONS)) & ~c.rlike(INFIX_CALL)
     return F.when(many & (operator | function), "rpn").when(c.rlike("|".join(LATEX_MARKS)), "latex").otherwise("infix")
 

@@ -37,7 +37,7 @@ def expression_type(c: Column) -> Column:
 
 def last_block(c: Column) -> Column:
     """What stands in the last fenced python block."""
-    return F.element_at(F.regexp_extract_all(c, F.lit(r"(?s)```(?:python|py)?\s*\n(.*?)```"), F.lit(1)), -1)
+    return F.try_element_at(F.regexp_extract_all(c, F.lit(r"(?s)```(?:python|py)?\s*\n(.*?)```"), F.lit(1)), F.lit(-1))
 
 
 def coefficient_class(c: Column) -> Column:
