@@ -173,7 +173,7 @@ def _limit(most: float, shape: tuple[float, float]) -> str:
 
 OP9 = rf"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
-    regexp_extract_all({fold('text')}, '[a-z\x{{80}}-\x{{10FFFF}}]+') AS plain FROM documents),
+    regexp_extract_all(lower(coalesce(text, '')), '[a-z\x{{80}}-\x{{10FFFF}}]+') AS plain FROM documents),
 counted AS (SELECT lang, x, count(*) AS n FROM (SELECT lang, unnest(plain) AS x FROM d WHERE lang IS NOT NULL) GROUP BY ALL),
 ranked AS (SELECT lang, x, row_number() OVER (PARTITION BY lang ORDER BY n DESC, x) AS k FROM counted),
 top AS MATERIALIZED (SELECT * FROM ranked WHERE k <= {_K}),

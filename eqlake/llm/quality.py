@@ -14,17 +14,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from .common import UPPER, fold, written
+from .common import written
 
-SPACES = " \t\n\x0b\x0c\r"
+#: Members of character classes, as patterns write them.
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
-#: Words of a language whose frequencies are compared, and how many a task counts at once while they are sought.
-COMMON_WORDS, TRACKED = 16, 65536
+#: Words of a language whose frequencies are compared; how many are counted at once while they are sought; groups in which tasks' counts are merged first.
+COMMON_WORDS, TRACKED, GROUPS = 16, 8192, 64
 #: Largest Jensen-Shannon distances (square root, base 2) to the language's reference that still pass, in documents of any length.
 MAX_CLASS, MAX_COMMON = 0.30, 0.30
 #: Shares of these limits that hold for endless documents, and what a document of one word has besides (in squares, falling with words).
 CLASS_LIMIT, COMMON_LIMIT = (0.16 / 0.30, 1.8 / 0.30), (0.08 / 0.30, 3.5 / 0.30)
+#: Repeated windows up to which they are looked up one by one.
+FEW = 32
 #: Languages up to which their tables are broadcast.
 BROADCAST_LANGS = 10_000
 
@@ -35,7 +37,8 @@ def words(text: Column) -> Column:
 
 
 def without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
+    """The text without a class of characters; a pattern, as translate looks every character up by itself."""
+    return F.regexp_replace(text, f"[{characters}]+", "")
 
 
 def repeated_words(hashes: Column) -> Column:
@@ -52,24 +55,33 @@ def repeated_words(hashes: Column) -> Column:
         lambda acc, i: F.struct((acc["n"] + F.least(F.lit(3), i - acc["at"])).cast("bigint").alias("n"), i.alias("at")),
         lambda acc: acc["n"],
     )
-    return F.when(F.size(hashes) == F.size(F.array_distinct(hashes)), F.lit(0).cast("bigint")).otherwise(covered)
+    # where few different windows repeat, looking each up among them is cheaper than sorting windows with their places
+    ordered = F.array(F.sort_array(hashes))
+    twice = F.element_at(F.transform(ordered, lambda s: F.array_distinct(F.filter(s, lambda x, k: x.eqNullSafe(F.get(s, k - 1))))), 1)
+    few = F.element_at(F.transform(F.array(twice), lambda t: F.filter(F.transform(hashes, lambda h, i: F.when(F.array_contains(t, h), i)), lambda i: i.isNotNull())), 1)
+    merge = lambda acc, i: F.struct((acc["n"] + F.least(F.lit(3), i - acc["at"])).cast("bigint").alias("n"), i.alias("at"))
+    short = F.aggregate(few, begin, merge, lambda acc: acc["n"])
+    repeats = F.size(hashes) - F.size(F.array_distinct(hashes))
+    return F.when(repeats == 0, F.lit(0).cast("bigint")).when(repeats <= FEW, short).otherwise(covered)
 
 
 def letters(text: Column) -> Column:
     """The lower-case runs of letters (ASCII, or any beyond), two spaces between, none around."""
-    return F.trim(F.regexp_replace(fold(text), r"[^a-z\x80-\x{10FFFF}]+", "  "))
+    return F.trim(F.regexp_replace(F.lower(text), r"[^a-z\x80-\x{10FFFF}]+", "  "))
 
 
 def common_words(documents: DataFrame, count: int = COMMON_WORDS) -> DataFrame:
     """``lang, list``: the most frequent words of each language over all its documents, ties by word.
 
-    Frequencies come from a mergeable frequent-items sketch of fixed size for each
-    language and task, which is exact while TRACKED words suffice; so neither the
-    vocabulary nor a language's words are shuffled.
+    Frequencies come from mergeable frequent-items sketches of fixed size, which
+    are exact while TRACKED words suffice and else miss no word as frequent as
+    these; so neither the vocabulary nor a language's words are shuffled. Tasks' sketches are merged in GROUPS first.
     """
     spoken = documents.select(F.col("lang").cast("string").alias("lang"), F.explode(F.split(letters(F.coalesce("text", F.lit(""))), "  ")).alias("word")).where("lang is not null and word != ''")
-    top = spoken.groupBy("lang").agg(F.expr(f"approx_top_k(word, {8 * count}, {TRACKED})").alias("top"))
+    groups = spoken.groupBy("lang", F.pmod(F.spark_partition_id(), F.lit(GROUPS)).alias("part")).agg(F.expr(f"approx_top_k_accumulate(word, {TRACKED})").alias("state"))
+    merged = groups.groupBy("lang").agg(F.expr(f"approx_top_k_combine(state, {TRACKED})").alias("state"))
     # a list of 8 times as many, so that ties at its end are broken in one way
+    top = merged.select("lang", F.expr(f"approx_top_k_estimate(state, {8 * count})").alias("top"))
     ordered = F.array_sort(F.transform("top", lambda x: F.struct((-x["count"]).alias("n"), x["item"].alias("word"))))
     return top.select("lang", F.transform(F.slice(ordered, 1, count), lambda x: x["word"]).alias("list"))
 
@@ -88,20 +100,20 @@ def measures(documents: DataFrame) -> DataFrame:
     rows = documents.select("doc_id", F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     rows = by_language(rows, lists, "_lang")
     rows = rows.withColumn("words", words(F.col("text"))).withColumn("plain", letters(F.col("text")))
+    rows = rows.withColumn("spaced", F.concat(F.lit("  "), "plain", F.lit("  ")))
     # counted by what is left without a word; two spaces between words keep neighbours apart
-    spaced = F.concat(F.lit("  "), "plain", F.lit("  "))
     word = lambda k: F.get("list", F.lit(k))
-    found = lambda k: F.coalesce((F.octet_length(spaced) - F.octet_length(F.replace(spaced, F.concat(F.lit(" "), word(k), F.lit(" ")), F.lit("")))) / (F.octet_length(word(k)) + 2), F.lit(0)).cast("long")
+    found = lambda k: F.coalesce((F.octet_length("spaced") - F.octet_length(F.replace("spaced", F.concat(F.lit(" "), word(k), F.lit(" ")), F.lit("")))) / (F.octet_length(word(k)) + 2), F.lit(0)).cast("long")
     total = F.when(F.col("plain") == "", 0).otherwise(F.octet_length("plain") - F.octet_length(F.replace("plain", F.lit("  "), F.lit(" "))) + 1)
     rows = rows.select(
         "doc_id",
         "lang",
         F.size("words").cast("long").alias("n_words"),
         F.char_length("text").alias("chars"),
-        F.char_length(without(F.col("text"), SPACES)).cast("long").alias("word_chars"),
+        F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.char_length(without(F.col("text"), SYMBOLS)).alias("no_symbols"),
-        F.char_length(without(F.col("text"), "0123456789")).alias("no_digits"),
-        F.char_length(without(F.col("text"), UPPER)).alias("no_upper"),
+        F.char_length(without(F.col("text"), "0-9")).alias("no_digits"),
+        F.char_length(without(F.col("text"), "A-Z")).alias("no_upper"),
         F.char_length(without(F.col("text"), ".,;:!?'\"()-")).alias("no_marks"),
         F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
         F.when(F.size("words") < 3, F.array().cast("array<bigint>"))
