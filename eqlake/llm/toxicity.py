@@ -9,10 +9,12 @@ squared-hinge support vector machine is trained on these. The sum over
 landmarks is linear in the subsequences, so the trained decision collapses to
 one weight a subsequence, which is how texts are scored.
 
-Labels belong to whole texts. A sentence scores as its worst fragment and a
-text as its worst sentence, and training picks in turn the witness sentence of
-each toxic text (multiple-instance learning); sentences of other texts are all
-negative.
+Labels belong to whole texts, whose sentences are taken apart into fragments. Training
+picks in turn the witnesses of each toxic text among its fragments (multiple-instance
+learning); fragments of other texts are all negative. Obfuscated forms of witnesses, with
+a character inserted or replaced, are virtual examples. A text passes by its worst
+fragment, or by the mean of its two or three worst different ones where these
+pass what no clean text among the labelled ones does.
 """
 
 from __future__ import annotations
@@ -35,6 +37,12 @@ LANDMARKS = 192
 TOXIC_ROWS, CLEAN_ROWS, TRAIN_BYTES = 2500, 5000, 8192
 THRESHOLD = 0.7
 ROUNDS = 4
+#: Witnesses, and frequent clean fragments, whose obfuscated forms are trained on.
+VIRTUAL = 300
+#: Highest margins of different fragments of a text that count.
+HIGHEST = 3
+#: How much recall counts against precision where the cut of the highest is chosen.
+BETA = 0.5
 #: Fragments that are scored at a time.
 CHUNK = 1 << 15
 
@@ -108,6 +116,13 @@ class Nystroem:
         return {k: float(per[i]) for k, i in self.index.items()}
 
 
+def variants(word: str) -> list[str]:
+    """A fragment with one character inserted between any two, or one of the inner ones replaced: virtual examples of obfuscation."""
+    strange = "xqz*vkj#w"
+    out = [word[:k] + strange[k % len(strange)] + word[k:] for k in range(1, len(word))]
+    return out + [word[:k] + strange[(k + 3) % len(strange)] + word[k + 1 :] for k in range(1, len(word) - 1)]
+
+
 def machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
     """Weights (the last is the bias) of the squared-hinge machine, by Newton steps on the primal."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -125,10 +140,12 @@ def machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Weight of each subsequence, bias, and the sigmoid from margin to score."""
+    """Weight of each subsequence, bias, what the means of a text's highest margins have to pass, and the sigmoid from that to a score."""
 
     def __init__(self, weights: dict[str, float], bias: float, slope: float, offset: float):
         self.bias, self.slope, self.offset = bias, slope, offset
+        #: of the highest margin, the mean of the two highest and so on; by default the highest alone counts
+        self.cuts = np.r_[0.0, np.full(HIGHEST - 1, np.inf)]
         letters = sorted({c for k in weights for c in k} | {"^", "$"})
         self.size = len(letters) + 1
         #: number of each character among those that have a weight; 0 for others
@@ -164,28 +181,34 @@ class Model:
             out[k] = self.word_margins([c.encode() for c in cuts(words[k])]).max()
         return out
 
-    def margins(self, texts: list[bytes]) -> np.ndarray:
-        """Of the worst fragment of each text; of one without fragments, low."""
-        out = np.full(len(texts), min(self.bias, -1.0))
+    def highest(self, texts: list[bytes]) -> np.ndarray:
+        """Of each text its worst fragment's margin, the mean of the two worst different ones and so on, up to HIGHEST; low where there are fewer."""
+        out = np.full((len(texts), HIGHEST), min(self.bias, -1.0))
         held: list[bytes] = []
-        owners: list[int] = []
-        starts: list[int] = []
+        spans: list[tuple[int, int, int]] = []
 
         def flush():
             if held:
-                out[owners] = np.maximum(out[owners], np.maximum.reduceat(self.word_margins(held), starts))
-                held.clear(), owners.clear(), starts.clear()
+                margins = self.word_margins(held)
+                for k, low, high in spans:
+                    both = np.concatenate([out[k], margins[low:high]])
+                    out[k] = np.sort(np.partition(both, len(both) - HIGHEST)[-HIGHEST:])[::-1]
+                held.clear(), spans.clear()
 
         for k, text in enumerate(texts):
-            words = fragments(text)
+            words = list(dict.fromkeys(fragments(text)))
             for at in range(0, len(words), CHUNK):
-                owners.append(k)
-                starts.append(len(held))
-                held += words[at : at + CHUNK]
+                part = words[at : at + CHUNK]
+                spans.append((k, len(held), len(held) + len(part)))
+                held += part
                 if len(held) >= CHUNK:
                     flush()
         flush()
-        return out
+        return np.cumsum(out, 1) / np.arange(1, HIGHEST + 1)
+
+    def margins(self, texts: list[bytes]) -> np.ndarray:
+        """By how much a text passes the easiest of its cuts."""
+        return (self.highest(texts) - self.cuts).max(1)
 
     def scores(self, margins: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.offset, -35, 35)))
@@ -198,19 +221,31 @@ class Model:
         return sentences[int(np.argmax(self.margins(sentences)))].strip() if sentences else b""
 
 
-def sigmoid(margins: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Slope and offset that put THRESHOLD in the middle of the gap where labels are told apart best (F 0.5, so that clean texts stay)."""
+def cut(margins: np.ndarray, toxic: np.ndarray, beta: float) -> float:
+    """The middle of the gap where labels are told apart best by F-beta; nearer to the clean side where it is wide."""
     order = np.argsort(-margins, kind="stable")
     m, y = margins[order], toxic[order]
     hit = np.cumsum(y)
-    value = 1.25 * hit / (np.arange(1, len(y) + 1) + 0.25 * y.sum())
+    value = (1 + beta**2) * hit / (np.arange(1, len(y) + 1) + beta**2 * y.sum())
     value[:-1][m[:-1] == m[1:]] = -1
     k = int(np.argmax(value))
     low = m[k + 1] if k + 1 < len(m) else m[k] - 0.5
-    # nearer to the clean side where the gap is wide, at most 0.35 below the lowest toxic margin
-    cut = max((m[k] + low) / 2, m[k] - 0.35)
-    slope = 8.0
-    return slope, float(np.log(THRESHOLD / (1 - THRESHOLD)) - slope * cut)
+    # at most 0.35 below the lowest toxic margin
+    return float(max((m[k] + low) / 2, m[k] - 0.35))
+
+
+def text_cuts(means: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """For each column a cut that toxic texts pass: for the highest margin by F-beta; for means of more the median of toxic texts that come where no clean one of those left does."""
+    out = np.full(means.shape[1], np.inf)
+    out[0] = cut(means[:, 0], toxic, BETA)
+    passed = means[:, 0] >= out[0]
+    for j in range(1, means.shape[1]):
+        clean, rest = means[~passed & ~toxic, j], means[~passed & toxic, j]
+        above = rest[rest > clean.max(initial=-np.inf)]
+        if len(above) and len(clean):
+            out[j] = np.median(above)
+            passed = passed | (means[:, j] >= out[j])
+    return out
 
 
 def fit(texts: list[bytes], toxic: list[bool], landmarks: int = LANDMARKS, rounds: int = ROUNDS) -> Model:
@@ -260,10 +295,14 @@ def fit(texts: list[bytes], toxic: list[bool], landmarks: int = LANDMARKS, round
         chosen = sorted(weight, key=lambda w: (-weight[w], w))[: 1500 if turn else 3000]
         half = landmarks // 2
         space = Nystroem(spread(chosen[: 8 * half], half) + spread(negatives[: 8 * half], half))
-        x = space.features(chosen + negatives + hard)
-        y = np.r_[np.ones(len(chosen)), -np.ones(len(negatives) + len(hard))]
-        mass = np.array([weight[w] for w in chosen])
-        cost = np.r_[mass / mass.sum(), np.full(len(negatives), 1 / len(negatives)), np.full(len(hard), 2 / len(negatives))] * 400
+        # from the third round on, when witnesses are known, their obfuscations count like them, and those of clean fragments like these
+        near = [w for w in chosen if len(w) >= 4][:VIRTUAL] if turn > 1 else []
+        changed = [(v, weight[w] / len(variants(w))) for w in near for v in variants(w)]
+        bent = [v for w in negatives[:VIRTUAL] if len(w) >= 4 for v in variants(w)[:: max(1, len(w) // 3)]] if changed else []
+        x = space.features(chosen + [v for v, _ in changed] + negatives + hard + bent)
+        y = np.r_[np.ones(len(chosen) + len(changed)), -np.ones(len(negatives) + len(hard) + len(bent))]
+        mass = np.array([weight[w] for w in chosen] + [m for _, m in changed])
+        cost = np.r_[mass / mass.sum(), np.full(len(negatives), 1 / len(negatives)), np.full(len(hard), 2 / len(negatives)), np.full(len(bent), 1 / max(1, len(negatives)))] * 400
         w = machine(x, y, cost)
         best = (space.collapse(w[:-1]), float(w[-1]))
         model = Model(*best, 1.0, 0.0)
@@ -280,8 +319,11 @@ def fit(texts: list[bytes], toxic: list[bool], landmarks: int = LANDMARKS, round
                     weight[c] = weight.get(c, 0.0) + 1.0
     model = Model(*best, 1.0, 0.0)
     held = calibrate if {y for _, y in calibrate} == {True, False} else train
-    at = model.margins([" ".join(words).encode() for words, _ in held])
-    model.slope, model.offset = sigmoid(at, np.array([y for _, y in held]))
+    y = np.array([y for _, y in held])
+    # one insult is enough where its margin is high; where margins are lower, several different ones are
+    means = model.highest([" ".join(words).encode() for words, _ in held])
+    model.cuts = text_cuts(means, y)
+    model.slope, model.offset = 8.0, float(np.log(THRESHOLD / (1 - THRESHOLD)))
     return model
 
 

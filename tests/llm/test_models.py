@@ -69,11 +69,18 @@ def test_estimate_is_near():
 def test_toxicity(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
-    rows = toxicity.toxicity(docs, labels).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang = 'en'").collect()
-    hit = sum(r.toxic and r.predicted for r in rows)
-    assert hit / sum(r.toxic for r in rows) > 0.85
-    assert hit / sum(r.predicted for r in rows) > 0.95
+    every = toxicity.toxicity(docs, labels).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    # what is found, and what is rejected wrongly, as the README says; few labels are of the last two languages
+    for lang, found, wrong in (("en", 0.85, 0.01), ("fr", 0.9, 0.15), ("de", 0.2, 0.02), ("es", 0.0, 0.02)):
+        rows = [r for r in every if r.lang == lang]
+        toxic, clean = [r for r in rows if r.toxic], [r for r in rows if not r.toxic]
+        assert sum(r.predicted for r in toxic) / len(toxic) >= found, lang
+        assert sum(r.predicted for r in clean) / len(clean) <= wrong, lang
     model = toxicity.train(docs, labels)
+    # insults with a character inserted, which nothing but the kernel undoes, by the query's own model
+    queried = toxicity.train(docs, labels.where(~toxicity.held_out()))
+    assert queried.text_scores([b"you idxiot", b"how stxupid", b"so patxhetic", b"stu*pid"]).min() > 0.7
+    assert queried.text_scores([b"the weather is nice", b"an idyllic village", b"a stupendous view"]).max() < 0.7
     own = toxicity.score(fixtures.documents(spark), model).collect()
     assert len(own) == len(fixtures.TEXTS) and all(0 <= r.score <= 1 for r in own)
     assert toxicity.score(fixtures.empty(spark), model).count() == 0
@@ -136,3 +143,15 @@ def test_near_duplicate_stage(spark):
     for size, want in ((5, five), (2, two)):
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, size).collect()}
         assert got == {i: (len(neardup.shingle_set((t or "").encode(), size)), want[i]) for i, t in rows}
+
+
+def test_toxic_sets_with_ties_and_repeats(spark):
+    """Repeated rows and tied margins don't change what is learned; a text's score doesn't depend on its neighbours."""
+    toxic, clean = [f"word{k} badword{'xy'[k % 2]} end".encode() for k in range(40)], [f"word{k} goodword end".encode() for k in range(80)]
+    texts, labels = toxic + clean, [True] * 40 + [False] * 80
+    one, two = toxicity.fit(texts, labels), toxicity.fit(texts * 3, labels * 3)
+    probe = texts + [b"", b"word1", b"badwordx " * 9000]
+    assert (one.text_scores(probe) == two.text_scores(probe)).all()
+    alone = [float(one.text_scores([t])[0]) for t in probe]
+    assert max(abs(a - b) for a, b in zip(alone, one.text_scores(probe), strict=True)) < 1e-6
+    assert one.text_scores(toxic).min() > 0.7 > one.text_scores(clean).max()
