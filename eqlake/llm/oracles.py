@@ -1,7 +1,7 @@
 """The registered queries' results in DuckDB's SQL, where SQL can express them.
 
-None for op3 and op8 (trained models), op4 (token ids of a vocabulary file), op6
-(its rule for private keys needs a reference back to a group, which DuckDB's
+None for op3 and op8 (trained models), op4 (token ids of a vocabulary file), op12
+(runs of any period in any text), op6 (its rule for private keys needs a reference back to a group, which DuckDB's
 patterns don't have) and pipeline (stages of these): tests hold them against
 brute force, round trips or held-out labels.
 """
@@ -202,6 +202,39 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM far
 """
 
+# each round compares all entries; rows are numbered, since ids can repeat
+_NEAREST = """(SELECT r, part, any_value(y) AS y, min(d * 1000 + e) AS best FROM (
+    SELECT r, p.part, y, e, list_sum(list_transform(list_zip(y, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM p JOIN {book} b ON p.part = b.part) GROUP BY r, part)"""
+_MEANS = """(SELECT b.part, b.e, coalesce(any_value(m), any_value(b.c)) AS c FROM {book} b LEFT JOIN (
+    SELECT part, e, list(q ORDER BY i) AS m FROM (
+      SELECT part, best % 1000 AS e, i, CAST(floor(sum(y[i]) / count(*)) AS BIGINT) AS q FROM {near}, range(1, (SELECT max(w) + 1 FROM v)) t(i) GROUP BY ALL) GROUP BY part, e) n
+  ON b.part = n.part AND b.e = n.e GROUP BY b.part, b.e)"""
+
+OP11 = f"""
+WITH k AS (SELECT vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(embedding) % 16 = 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(x::DOUBLE * 256) AS BIGINT)) AS q, len(embedding) // 16 AS w FROM k),
+p AS MATERIALIZED (SELECT r, part, q[part * w + 1 : part * w + w] AS y FROM v, range(16) t(part)),
+b0 AS MATERIALIZED (SELECT part, r - 1 AS e, y AS c FROM p WHERE r <= 64),
+a0 AS MATERIALIZED {_NEAREST.format(book='b0')},
+b1 AS MATERIALIZED {_MEANS.format(book='b0', near='a0')},
+a1 AS MATERIALIZED {_NEAREST.format(book='b1')},
+b2 AS MATERIALIZED {_MEANS.format(book='b1', near='a1')},
+a2 AS MATERIALIZED {_NEAREST.format(book='b2')},
+o AS (SELECT r, string_agg(lower(printf('%02x', (best % 1000)::INTEGER)), '' ORDER BY part) AS code, sum(best // 1000)::BIGINT AS error FROM a2 GROUP BY r),
+s AS (SELECT vec_id, label, code, error FROM v JOIN o USING (r))
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(list_aggregate(c, 'string_agg', ','), ',' ORDER BY part, e)) FROM b2) AS codebooks_sha256 FROM s
+"""
+
+# the given pages mark their article and use few references; each is decoded in turn, the ampersand last
+OP13 = r"""
+WITH a AS (SELECT page_id, url, coalesce(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '') AS t FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(t, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS t FROM a),
+c AS (SELECT page_id, url, replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS t FROM b),
+d AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM c)
+SELECT page_id, url, text, length(text) AS n_chars FROM d
+"""
+
 ORACLES: dict[str, str] = {
     "op1_license_scan": OP1,
     "op2_decontaminate": OP2,
@@ -209,4 +242,6 @@ ORACLES: dict[str, str] = {
     "op7_near_duplicates": OP7,
     "op9_quality": OP9,
     "op10_chat_format": OP10,
+    "op11_vector_codes": OP11,
+    "op13_main_text": OP13,
 }

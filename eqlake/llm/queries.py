@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, licenses, neardup, packing, quality, secrets, sharding, toxicity
+from . import chat, decontaminate, language, licenses, neardup, packing, pages, quality, repeats, secrets, sharding, toxicity, vectors
 from .common import table
 
 
@@ -52,6 +52,24 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chats(rows.unionByName(odd))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept, width = vectors.vectors(table(spark, sf_dir, "embeddings"))
+    made = vectors.fit(kept, width)
+    codes = vectors.with_label_error(vectors.encode(kept, made))
+    return codes.select(
+        "vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(made.digest()).alias("codebooks_sha256")
+    )
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = repeats.planted(table(spark, sf_dir, "documents"))
+    return repeats.run_digests(repeats.periodic_runs(docs))
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.pages_text(table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,6 +89,9 @@ QUERIES = {
         op8_language,
         op9_quality,
         op10_chat_format,
+        op11_vector_codes,
+        op12_periodic_runs,
+        op13_main_text,
         pipeline,
     )
 }

@@ -9,7 +9,7 @@ from eqlake.llm import oracles, queries
 @pytest.fixture(scope="module")
 def db(sf_dir):
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "embeddings", "pages"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     return c
 
