@@ -202,11 +202,11 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 
 
 def content(lines: list[Line], sigma: float = SIGMA, share: float = SHARE) -> np.ndarray:
-    """Which lines a threshold on the smoothed ratio of plain text to tags puts with the content; never those of mere links."""
+    """Which lines a threshold on the smoothed ratio of plain text to tags puts with the content; never those of which half is links."""
     plain = np.array([max(0, len(x.text) - x.links) for x in lines], float)
     smooth = smoothed(plain / np.array([x.tags for x in lines], float), sigma)
     weights = np.maximum(plain, 1e-9)
-    return (smooth >= min(smooth.max(), share * float((smooth * weights).sum() / weights.sum()))) & (plain > 0)
+    return (smooth >= min(smooth.max(), share * float((smooth * weights).sum() / weights.sum()))) & (plain * 2 > np.array([len(x.text) for x in lines]))
 
 
 def selected(lines: list[Line]) -> list[str]:
