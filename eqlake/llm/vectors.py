@@ -55,11 +55,21 @@ def integers(values: np.ndarray) -> np.ndarray:
     return values.astype(np.int64) if not values.size or max(-values.min(), values.max()) < SMALL else values
 
 
+def distances(rows: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """Squared distances of every row to every entry, a component at a time."""
+    out = None
+    for mine, theirs in zip(rows.T, entries.T, strict=True):
+        off = mine[:, None] - theirs[None]
+        off *= off
+        out = off if out is None else np.add(out, off, out=out)
+    return out
+
+
 def nearest(rows: np.ndarray, book: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each row the nearest entry, ties to the lower index, and its squared distance; ``start`` is where each search begins."""
     if rows.dtype != book.dtype:
         rows, book = rows.astype(object), book.astype(object)
-    between = ((book[:, None] - book[None]) ** 2).sum(-1)
+    between = distances(book, book)
     found, off = start.copy(), ((rows - book[start]) ** 2).sum(-1)
     reach = off * 4
     by_start = np.argsort(start, kind="stable")
@@ -78,7 +88,7 @@ def nearest(rows: np.ndarray, book: np.ndarray, start: np.ndarray) -> tuple[np.n
             if not len(group):
                 break
             ring = order[lo : lo + width]
-            d = ((rows[group][:, None] - book[ring][None]) ** 2).sum(-1)
+            d = distances(rows[group], book[ring])
             least = d.min(1)
             index = np.where(d == least[:, None], ring, len(book)).min(1)
             better = (least < off[group]) | ((least == off[group]) & (index < found[group]))
@@ -90,13 +100,13 @@ def nearest(rows: np.ndarray, book: np.ndarray, start: np.ndarray) -> tuple[np.n
 def _codes(values: np.ndarray, books: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Final entries (rows, parts) and squared distances summed over parts; each round's search starts at the entries of the one before."""
     codes = np.zeros(values.shape[:2], np.int64)
-    total = np.zeros(len(values), object)
+    total = np.zeros(len(values), values.dtype)
     for part in range(values.shape[1]):
         found = codes[:, part]
         for book in books:
             found, off = nearest(values[:, part], book[part], found)
         codes[:, part] = found
-        total = total + off.astype(object)
+        total = total + off
     return codes, total
 
 
