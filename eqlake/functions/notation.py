@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import sys
+import re
+
 
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,8 +12,6 @@ from pyspark.sql.column import Column
 
 from .expressions import CONSTANTS, _column, convert, number, parse, show, symbols
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 #: Marks of each notation.
 RPN_OPERATORS = ("+", "-", "*", "/", "^")
 RPN_FUNCTIONS = ("exp", "sin", "cos", "tan", "log", "sqrt", "neg")
@@ -53,7 +51,7 @@ def one_notation(files: DataFrame) -> DataFrame:
 
 
 def _either(text):
-    tree = parse(text, "latex") if "\\" in text or "^{" in text else parse(text.replace("^", "**"))
+    tree = parse(text, "latex") if re.search(r"\\|[\^_]\{", text) else parse(text.replace("^", "**"))
     if tree is None or tree[0] == "num" and any(c.isalpha() for c in text.replace("\\", "")):
         return None
     return show(tree)

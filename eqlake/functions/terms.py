@@ -7,10 +7,7 @@ sin(x)**2 + cos(x)**2 has two terms.
 
 from __future__ import annotations
 
-import sys
-
 import numpy as np
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,8 +15,6 @@ from pyspark.sql.column import Column
 
 from .expressions import _column, on, parse, show, symbols, value
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 #: Products of sums aren't multiplied out beyond this many terms; such an expression is unreadable here (null).
 MOST_TERMS = 512
 

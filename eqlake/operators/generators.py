@@ -5,11 +5,9 @@ Evaluation points and sample meshes come with it: fixed places at which solution
 
 from __future__ import annotations
 
-import sys
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,8 +16,6 @@ from pyspark.sql.column import Column
 from ..functions.expressions import _column, _integrals, on, parse, show, symbols, with_constants
 from ..functions.notation import filled
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 #: Parameters of the templates: width of a boundary layer, base frequency, band width, terms and scale of a series, distance to a
 #: resonance, regularization parameter, sample points.
 LAYER, FREQUENCY, BAND, SERIES_TERMS, SERIES_SCALE, DISTANCE, ALPHA, SAMPLES = 0.01, 10.0, 0.1, 4, 0.3, 0.1, 0.01, 10

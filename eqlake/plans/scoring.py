@@ -7,20 +7,18 @@ streams alike; ``report`` is one aggregation over the types and in total.
 from __future__ import annotations
 
 import math
-import sys
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expressions import TROUBLE, agree, bleu, errors, family_errors, operators, parse, residuals, show, symbols, with_constants
+from ..functions.canonical import EQUAL, TOO_COMPLEX, compare, operations
+from ..functions.expressions import TROUBLE, bleu, errors, family_errors, operators, parse, residuals, show, symbols, with_constants
 from ..functions.terms import _coefficients, _family, _series, point_scores
 from ..functions.terms import terms as terms_of
 from ..functions import metrics
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from ..shipping import ship
 
 #: Terms that a series answer should have, and constants for which families are compared.
 SERIES_TARGET = 4
@@ -33,9 +31,14 @@ _FAMILY = "struct<match: boolean, n_pred: int, n_truth: int, count_match: boolea
 _RESIDUAL = "struct<residual_max: double, residual_mean: double, residual_mae: double, residual_rmse: double, verified: boolean>"
 SCORES = (
     f"symbolic boolean, numeric {_NUMERIC}, op_precision double, op_recall double, op_f1 double, bleu double, "
-    f"series_terms int, series {_SERIES}, coef {_COEF}, family {_FAMILY}, residual {_RESIDUAL}, readable boolean"
+    f"series_terms int, series {_SERIES}, coef {_COEF}, family {_FAMILY}, residual {_RESIDUAL}, readable boolean, status string"
 )
 
+#: Outcomes of a row: its scores count, a text can't be read, a text has more than OPERATIONS operations or an integral in it too many panels, or
+#: (scored all the same) the canonical forms took more than their budget, or the residual wasn't computed for a text of more than CHECKED operations.
+SCORED, UNREADABLE, SYMBOLIC_LIMIT, RESIDUAL_SKIPPED = "scored", "unreadable", "symbolic_limit", "residual_skipped"
+OPERATIONS, CHECKED = 4000, 800
+
 
 def coefficient_errors(pred: str, truth: str, tolerance: float = 1e-6, relative: float = 0.1) -> dict | None:
     """How the truth's coefficients are met; a missing term counts as 0."""
@@ -63,19 +66,29 @@ def score(kind, pred, truth, a, b, kernel, f, lam, stored, tolerance, points=100
     """The scores of one prediction that needs its expressions read; unreadable ones have no scores."""
     trees = parse(pred), parse(truth)
     if None in trees:
-        return {"readable": False}
-    out: dict = {"readable": True}
+        return {"readable": False, "status": UNREADABLE}
+    sizes = [operations(t) for t in trees]
+    if max(sizes) > OPERATIONS:
+        return {"status": TOO_COMPLEX}
+    out: dict = {"readable": True, "status": SCORED}
+
+    def alike(one, other):
+        found = compare(one, other)
+        if found == TOO_COMPLEX:
+            out["status"] = SYMBOLIC_LIMIT
+        return found == EQUAL
+
     kept = (stored["x_values"], stored["u_values"]) if stored and stored.get("x_values") is not None and len(stored["x_values"]) else None
     if kind == "family":
         free = [sorted(symbols(t) - {"x", "t"}) for t in trees]
         one = [show(with_constants(t, 1.0)) for t in trees]
         valid = bool(free[0]) and all(n == "C" or n.startswith("c_") for n in free[0])
         out["family"] = {"match": _family(pred, truth), "n_pred": len(free[0]), "n_truth": len(free[1]), "count_match": len(free[0]) == len(free[1]), "naming_valid": valid}
-        out["symbolic"] = agree(*one)
+        out["symbolic"] = alike(*one)
         out["numeric"] = family_errors(pred, truth, a, b, points, tolerance, FAMILY_SAMPLES, stored)
         out["series"] = _series(*one, a, b, points, tolerance)
         return out
-    out["symbolic"] = agree(pred, truth)
+    out["symbolic"] = alike(pred, truth)
     out["numeric"] = errors(pred, truth, a, b, points, tolerance, kept)
     out["op_precision"], out["op_recall"], out["op_f1"] = _sets(set(operators(trees[0])), set(operators(trees[1])))
     out["bleu"] = bleu(pred, truth)
@@ -84,7 +97,9 @@ def score(kind, pred, truth, a, b, kernel, f, lam, stored, tolerance, points=100
         out["series"] = _series(pred, truth, a, b, points, tolerance)
     if kind == "approx_coef":
         out["coef"] = coefficient_errors(pred, truth, tolerance)
-    if kernel and f and lam is not None and lam == lam:
+    if kernel and f and lam is not None and lam == lam and sizes[0] > CHECKED:
+        out["status"] = RESIDUAL_SKIPPED
+    elif kernel and f and lam is not None and lam == lam:
         out["residual"] = residuals(pred, kernel, f, lam, a, b, x_values=kept and kept[0])
     return out
 
@@ -101,7 +116,7 @@ def _scores(frame: pd.DataFrame, points: int) -> list[dict]:
             try:
                 known[key] = score(kind, pred, truth, row.a, row.b, kernel, f, None if row.lam is None else float(row.lam), stored, row.tolerance, points) if pred and truth else {}
             except TROUBLE:
-                known[key] = {"readable": False}
+                known[key] = {"readable": False, "status": UNREADABLE}
         out.append(known[key])
     return out
 
@@ -115,7 +130,7 @@ STORED = "struct<x_values: array<double>, u_values: array<double>, u_values_samp
 
 
 def scored(results: DataFrame, tolerance: float = 1e-6, type_tolerances: dict[str, float] | None = None, points: int = 100) -> DataFrame:
-    """``results`` with ``kind``, ``evaluated``, ``correct`` and the scores of its type; a column that is missing counts as null.
+    """``results`` with ``kind``, ``evaluated``, ``correct``, ``status`` and the scores of its type; a column that is missing counts as null.
 
     Read are solution_str, ground_truth, has_solution, ground_truth_has_solution, solution_type,
     ground_truth_solution_type, ground_truth_domain ([0, 1] without one), evaluation_points,
@@ -125,7 +140,7 @@ def scored(results: DataFrame, tolerance: float = 1e-6, type_tolerances: dict[st
     names that type, ``discrete_points`` with point lists if enough points match, ``family`` if the ratio or
     difference is constant, or the expressions agree, or match for all sample constants; the rest if
     expressions agree or match on the stored points, else on a grid. A row that
-    lacks an expression, can't be read, or had no answer of the interface isn't evaluated.
+    lacks an expression, can't be read, is too complex, or had no answer of the interface isn't evaluated, so it is in no denominator.
     """
     kinds = of(results, "ground_truth_solution_type", "string")
     domain = of(results, "ground_truth_domain", "array<double>")
@@ -146,9 +161,10 @@ def scored(results: DataFrame, tolerance: float = 1e-6, type_tolerances: dict[st
     @F.pandas_udf(SCORES)
     def computed(frame: pd.DataFrame) -> pd.DataFrame:
         rows = _scores(frame, points)
-        names = ("symbolic", "numeric", "op_precision", "op_recall", "op_f1", "bleu", "series_terms", "series", "coef", "family", "residual", "readable")
+        names = ("symbolic", "numeric", "op_precision", "op_recall", "op_f1", "bleu", "series_terms", "series", "coef", "family", "residual", "readable", "status")
         return pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
 
+    ship(results.sparkSession)
     out = results.withColumn("_scores", computed(given))
     pred, truth = of(results, "pred_points", POINTS), of(results, "gt_points", POINTS)
     listed = F.coalesce((kinds == "discrete_points") & pred.isNotNull() & truth.isNotNull(), F.lit(False))
@@ -174,6 +190,7 @@ def scored(results: DataFrame, tolerance: float = 1e-6, type_tolerances: dict[st
         F.when(failed, F.lit(None)).otherwise(right).alias("correct"),
         (right.isNotNull() & ~failed).alias("evaluated"),
         F.coalesce(F.when(~failed, F.when(F.coalesce(verdict, F.lit(False)) | listed, F.lit(None)).otherwise(F.col("_scores.readable") == False)), F.lit(False)).alias("unreadable"),  # noqa: E712
+        F.when(failed, "api_error").when(F.coalesce(verdict, F.lit(False)) | listed, SCORED).otherwise(F.coalesce(s["status"], F.lit("missing"))).alias("status"),
         alone(alike).alias("symbolic_match"),
         F.when(listed, met["match"]).otherwise(alone(near)).alias("numeric_match"),
         *(number(k).alias(k) for k in ("max_error", "mae", "rmse")),
@@ -207,6 +224,9 @@ def report(rows: DataFrame) -> DataFrame:
         F.count_if(known).alias("total"),
         F.count_if(known & right).alias("correct"),
         F.count_if("unreadable").alias("parse_errors"),
+        F.count_if(F.col("status") == TOO_COMPLEX).alias("too_complex"),
+        F.count_if(F.col("status") == SYMBOLIC_LIMIT).alias("symbolic_limits"),
+        F.count_if(F.col("status") == RESIDUAL_SKIPPED).alias("residuals_skipped"),
         share(right, known).alias("accuracy"),
         share(F.coalesce(F.col("symbolic_match"), F.lit(False)), known).alias("symbolic_accuracy"),
         share(F.coalesce(F.col("numeric_match"), F.lit(False)), known).alias("numeric_accuracy"),

@@ -12,7 +12,6 @@ import tempfile
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,8 +21,7 @@ from ..functions.expressions import _column, parse, residuals, show, with_consta
 from ..functions.notation import infix
 from ..functions.text import last_block
 from ..operators.calls import responses
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from ..shipping import ship
 
 #: Methods and what each is asked to do, in the order that breaks ties: our own words.
 METHODS = {
@@ -203,4 +201,5 @@ def scripted(rows: DataFrame, make_client: Callable | None = None, timeout: int
             out["text"], out["outcome"] = texts, outcomes
             yield out
 
+    ship(marked.sparkSession)
     return marked.mapInPandas(run, schema)
