@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
+from ..shipping import ship as ship
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -104,22 +104,6 @@ def attach(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
     return dealt.join(copies, [key, salt], "left").drop(salt)
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once a session."""
-    if getattr(spark, "_eqlake_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    target = os.path.join(tempfile.mkdtemp(prefix="eqlake-"), f"eqlake_{uuid.uuid4().hex[:8]}.zip")
-    with zipfile.ZipFile(target, "w") as out:
-        for folder, _, names in os.walk(os.path.join(top, "eqlake")):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    out.write(full, os.path.relpath(full, top))
-    spark.sparkContext.addPyFile(target)
-    spark._eqlake_shipped = True
-
-
 def small_frame(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """Rows that the driver has planned, whose number the caller bounds, as a frame without Python on the executors."""
     import json
