@@ -11,6 +11,9 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import types as T
+from pyspark.sql.column import Column
+
 #: The commands that are understood.
 GREEK = frozenset("alpha beta gamma delta epsilon varepsilon zeta eta theta vartheta kappa lambda mu nu xi rho sigma tau phi varphi chi psi omega pi".split())
 NAMED = {f: f for f in "sin cos tan cot sec csc sinh cosh tanh exp log ln asin acos atan asinh acosh atanh".split()}
@@ -449,3 +452,11 @@ def read(text: str):
 
 def state(text: str) -> str:
     return reading(text)[0]
+
+
+def states(*texts: Column) -> list[Column]:
+    """Columns of how the two readings of each text relate; null for a null text."""
+    from .expressions import _column
+
+    how = _column(T.StringType(), state)
+    return [how(c) for c in texts]

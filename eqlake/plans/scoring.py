@@ -115,6 +115,8 @@ def _scores(frame: pd.DataFrame, points: int) -> list[dict]:
             kind, pred, truth, kernel, f = texts
             try:
                 known[key] = score(kind, pred, truth, row.a, row.b, kernel, f, None if row.lam is None else float(row.lam), stored, row.tolerance, points) if pred and truth else {}
+            except RecursionError:
+                known[key] = {"status": TOO_COMPLEX}
             except TROUBLE:
                 known[key] = {"readable": False, "status": UNREADABLE}
         out.append(known[key])
