@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from ..shipping import ship as ship
+from ..staging import bytes_of as bytes_of
+from ..staging import discard as discard
+from ..staging import scratch as scratch
+from ..staging import sweep as sweep
+from ..staging import written as written
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -28,53 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is
-    unset and there is but one machine (a local master) a temporary folder takes its place.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='eqlake-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root}/eqlake/{name}-{uuid.uuid4().hex}"
-
-
-#: Paths of the tables that ``written`` made and that still stand, by application.
-_standing: dict[str, list[str]] = {}
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: its lineage ends there, so a lost executor costs a reread."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    _standing.setdefault(spark.sparkContext.applicationId, []).append(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._eqlake_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the table behind a frame that ``written`` returned and nothing reads any more."""
-    _delete(df.sparkSession, df._eqlake_path)
-
-
-def sweep(spark: SparkSession) -> None:
-    """Delete all tables that this application has written; results that read them can't be computed afterwards."""
-    for path in list(_standing.get(spark.sparkContext.applicationId, ())):
-        _delete(spark, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    _standing[spark.sparkContext.applicationId].remove(path)
-
-
 def unused(columns: list[str], *wanted: str) -> list[str]:
     """``wanted`` names, with underscores put before those that a table's columns already have."""
     taken, out = {c.lower() for c in columns}, []
