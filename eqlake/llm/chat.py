@@ -40,32 +40,43 @@ def formatted_size(role: Column, text: Column) -> Column:
     return (F.octet_length(escape(role)) + F.octet_length(escape(text)) + marks).cast("bigint")
 
 
+#: Spans that are gathered before they are put to the others, so that a long conversation doesn't copy all of them for each.
+GATHERED = 256
+
+
 def spans(sizes: Column, room: Column, history: int, history_turns: int) -> Column:
     """``array<struct<first, again>>``: each window's first turn (from 0) and how many turns before it are repeated.
 
     ``sizes`` are those of a conversation's turns in order; the running sum of
-    the open window starts again where the next turn would pass ``room``.
+    the open window starts again where the next turn would pass ``room``. A step
+    knows the last ``history_turns`` sizes alone, so the work is linear in the turns.
     """
-    begin = F.struct(F.lit(0).alias("i"), F.lit(0).cast("bigint").alias("used"), F.array().cast("array<struct<first:int,again:int>>").alias("out"))
+    kind = "array<struct<first:int,again:int>>"
+    none, zero = F.array().cast(kind), F.lit(0).cast("bigint")
+    begin = F.struct(F.lit(0).alias("i"), zero.alias("used"), *(zero.alias(f"p{k}") for k in range(1, history_turns + 1)), none.alias("new"), F.array().cast(f"array<{kind}>").alias("out"))
 
     def step(acc: Column, size: Column) -> Column:
         i = acc["i"]
-        again, used, fits, total = F.lit(0), size, F.lit(True), F.lit(0).cast("bigint")
+        again, used, fits, total = F.lit(0), size, F.lit(True), zero
         for k in range(1, history_turns + 1):
-            total = total + F.coalesce(F.get(sizes, i - k), F.lit(0))
+            total = total + acc[f"p{k}"]
             # the newest turn is repeated wherever there is room for it, older ones only within the history's size
             fits = fits & (i >= k) & (total + size <= room)
             if k > 1:
                 fits = fits & (total <= history)
             again, used = F.when(fits, F.lit(k)).otherwise(again), F.when(fits, total + size).otherwise(used)
         opens = (i == 0) | (acc["used"] + size > room)
+        full = F.size(acc["new"]) >= GATHERED
+        one = F.array(F.struct(i.alias("first"), again.cast("int").alias("again")))
         return F.struct(
             (i + 1).alias("i"),
             F.when(opens, used).otherwise(acc["used"] + size).cast("bigint").alias("used"),
-            F.when(opens, F.concat(acc["out"], F.array(F.struct(i.alias("first"), again.cast("int").alias("again"))))).otherwise(acc["out"]).alias("out"),
+            *((size if k == 1 else acc[f"p{k - 1}"]).cast("bigint").alias(f"p{k}") for k in range(1, history_turns + 1)),
+            F.when(opens & full, one).when(opens, F.concat(acc["new"], one)).otherwise(acc["new"]).alias("new"),
+            F.when(opens & full, F.concat(acc["out"], F.array(acc["new"]))).otherwise(acc["out"]).alias("out"),
         )
 
-    return F.aggregate(sizes, begin, step, lambda acc: acc["out"])
+    return F.aggregate(sizes, begin, step, lambda acc: F.concat(F.flatten(acc["out"]), acc["new"]))
 
 
 def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, history_turns: int = HISTORY_TURNS) -> DataFrame:
@@ -96,8 +107,10 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     cut = sized.select("conv_id", "lead", F.size("sizes").alias("n"), spans(F.col("sizes"), F.lit(budget) - F.col("head"), history, history_turns).alias("cuts"))
     # a system turn alone makes a window too
     cut = cut.withColumn("cuts", F.when(F.size("cuts") == 0, F.array(F.struct(F.lit(0).alias("first"), F.lit(0).alias("again")))).otherwise(F.col("cuts")))
-    each = cut.select("conv_id", "lead", "n", "cuts", F.posexplode("cuts").alias("window", "cut"))
-    stop = F.coalesce(F.get("cuts", F.col("window") + 1)["first"], F.col("n"))
+    stops = F.concat(F.transform(F.slice("cuts", 2, F.size("cuts")), lambda c: c["first"]), F.array("n"))
+    each = cut.select("conv_id", "lead", F.posexplode(F.arrays_zip(F.col("cuts"), stops.alias("stop"))).alias("window", "both"))
+    each = each.select("conv_id", "lead", "window", F.col("both.cuts").alias("cut"), F.col("both.stop").alias("stop"))
+    stop = F.col("stop")
     low = F.col("cut.first") - F.col("cut.again")
     listed = F.when(stop > low, F.sequence(low, stop - 1)).otherwise(F.array().cast("array<int>"))
     listed = F.transform(listed, lambda i: F.struct((i + 1 + F.col("lead")).alias("ord"), (i < F.col("cut.first")).alias("repeated")))

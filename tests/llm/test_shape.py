@@ -230,3 +230,28 @@ def test_chat(spark, sf_dir):
     for plain in ("&lt;", "<|end|>", "&amp;lt;", "&&lsqb;[|"):
         one = spark.range(1).select(chat.unescape(chat.escape(__import__("pyspark").sql.functions.lit(plain))).alias("x")).first().x
         assert one == plain
+
+
+def test_long_conversation(spark):
+    """Windows of 20,000 turns, cut by a plain loop over sizes."""
+    from pyspark.sql import functions as F
+
+    n = 20_000
+    df = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.repeat(F.lit("w"), (F.col("id") * 7 % 900).cast("int")).alias("text"))
+    marks = len(chat.OPEN + chat.MID + chat.CLOSE)
+    sizes = [marks + (4 if k % 2 == 0 else 9) + k * 7 % 900 for k in range(n)]
+    firsts, used = [], None
+    for k, size in enumerate(sizes):
+        if used is None or used + size > chat.BUDGET:
+            firsts.append(k)
+            back = [0, *(sizes[k - 1 : k] if k else []), *(sizes[k - 2 : k - 1] if k > 1 else [])]
+            again = 0
+            if len(back) > 1 and back[1] + size <= chat.BUDGET:
+                again = 1
+                if len(back) > 2 and back[1] + back[2] + size <= chat.BUDGET and back[1] + back[2] <= chat.HISTORY:
+                    again = 2
+            used = sum(back[: again + 1]) + size
+        else:
+            used += size
+    made = chat.windows(df).select("window", F.filter("turns", lambda t: ~t["repeated"])[0]["ord"].alias("first"), "over").collect()
+    assert [r.first - 1 for r in sorted(made)] == firsts and not any(r.over for r in made)
