@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 
 from .common import LOWER_BYTES, remainder, ship, text_bytes
 
-ORDER, SPAN, DECAY = 3, 5, 0.6
+ORDER, SPAN, DECAY = 4, 7, 0.6
 #: Fragments longer than this are cut into overlapping ones.
 LONGEST = 20
 LANDMARKS = 192
@@ -45,11 +46,14 @@ HIGHEST = 3
 BETA = 0.5
 #: Fragments that are scored at a time.
 CHUNK = 1 << 15
+#: Weights are looked up in a full table of all subsequences if it has no more entries than this, else among sorted keys.
+TABLE = 1 << 22
 
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _SPELLED = re.compile(rb"(?<!\S)(?:(?:[\x21-\x7F]|[\xC2-\xDF][\x80-\xBF]) ){2,}(?:[\x21-\x7F]|[\xC2-\xDF][\x80-\xBF])(?!\S)")
 _SENTENCE = re.compile(rb"[^.!?\n]+[.!?\n]*")
-_GAPS = [(a, b, DECAY ** (b - 2)) for a in range(1, SPAN - 1) for b in range(a + 1, SPAN)]
+#: Places of a subsequence's further characters from its first, and its weight.
+_GAPS = [(places, DECAY ** (places[-1] - ORDER + 1)) for places in combinations(range(1, SPAN), ORDER - 1)]
 
 
 def fragments(text: bytes) -> list[bytes]:
@@ -67,17 +71,17 @@ def cuts(word: bytes) -> list[str]:
 
 def norm(size: int) -> float:
     """Length of the vector of a fragment of ``size`` characters, edges included, if none of its subsequences repeats."""
-    return max(sum(w * w * max(0, size - b) for _, b, w in _GAPS), 1e-9) ** 0.5
+    return max(sum(w * w * max(0, size - places[-1]) for places, w in _GAPS), 1e-9) ** 0.5
 
 
 def subsequences(fragment: str) -> dict[str, float]:
-    """Weight of each subsequence of three characters, over the norm; edges of the word are characters too."""
+    """Weight of each subsequence of ORDER characters, over the norm; edges of the word are characters too."""
     s = f"^{fragment}$"
     n, out = len(s), {}
-    for i in range(n - 2):
-        for a, b, w in _GAPS:
-            if i + b < n:
-                key = s[i] + s[i + a] + s[i + b]
+    for i in range(n - ORDER + 1):
+        for places, w in _GAPS:
+            if i + places[-1] < n:
+                key = s[i] + "".join(s[i + k] for k in places)
                 out[key] = out.get(key, 0.0) + w
     size = norm(n)
     return {k: v / size for k, v in out.items()}
@@ -152,10 +156,16 @@ class Model:
         self.number = np.zeros(0x110000, np.uint8 if self.size < 256 else np.uint32)
         for i, c in enumerate(letters):
             self.number[ord(c)] = i + 1
-        self.weight = np.zeros(self.size**3, np.float32)
-        for k, v in weights.items():
-            i, j, l = (int(self.number[ord(c)]) for c in k)
-            self.weight[(i * self.size + j) * self.size + l] = v
+        keys = np.zeros(len(weights), np.int64)
+        for place in range(ORDER):
+            keys = keys * self.size + np.array([self.number[ord(k[place])] for k in weights], np.int64)
+        values = np.array(list(weights.values()), np.float32)
+        if self.size**ORDER <= TABLE:
+            self.keys, self.weight = None, np.zeros(self.size**ORDER, np.float32)
+            self.weight[keys] = values
+        else:  # as many entries as there are weights, whatever the letters
+            order = np.argsort(keys)
+            self.keys, self.weight = np.append(keys[order], -1), np.append(values[order], np.float32(0))
         self.norms = np.array([norm(n) for n in range(LONGEST + 3)])
 
     def word_margins(self, words: list[bytes]) -> np.ndarray:
@@ -164,23 +174,32 @@ class Model:
         starts = np.flatnonzero(points == 94)
         sizes = np.diff(np.append(starts, len(points)))
         last = np.repeat(starts + sizes - 1, sizes).astype(np.int32)
-        code = self.number[points].astype(np.int32)
+        code = self.number[points].astype(np.int32 if self.keys is None else np.int64)
         total = np.zeros(len(points), np.float32)
         place = np.arange(len(points), dtype=np.int32)
-        first = code * self.size
-        for a in range(1, SPAN - 1):
-            pair = (first[: len(code) - a] + code[a:]) * self.size
-            for aa, b, w in _GAPS:
-                if aa == a and len(code) > b:
-                    n = len(code) - b
-                    value = self.weight[pair[:n] + code[b:]]
-                    value *= place[:n] + b <= last[:n]
-                    total[:n] += np.float32(w) * value
+        begun: dict[tuple, np.ndarray] = {(): code}  # codes of the first characters, by their places
+        for places, w in _GAPS:
+            n = len(code) - places[-1]
+            if n <= 0:
+                continue
+            for k in range(1, ORDER):
+                if places[:k] not in begun:
+                    before, at = begun[places[: k - 1]], places[k - 1]
+                    begun[places[:k]] = before[: len(code) - at] * self.size + code[at:]
+            value = self.looked_up(begun.pop(places))
+            value *= place[:n] + places[-1] <= last[:n]
+            total[:n] += np.float32(w) * value
         out = np.add.reduceat(total, starts) / self.norms[np.minimum(sizes, LONGEST + 2)] + self.bias
         for k in np.flatnonzero(sizes > LONGEST + 2):
             out[k] = self.word_margins([c.encode() for c in cuts(words[k])]).max()
         return out
 
+    def looked_up(self, codes: np.ndarray) -> np.ndarray:
+        if self.keys is None:
+            return self.weight[codes]
+        at = np.searchsorted(self.keys[:-1], codes)
+        return np.where(self.keys[at] == codes, self.weight[at], np.float32(0))
+
     def highest(self, texts: list[bytes]) -> np.ndarray:
         """Of each text its worst fragment's margin, the mean of the two worst different ones and so on, up to HIGHEST; low where there are fewer."""
         out = np.full((len(texts), HIGHEST), min(self.bias, -1.0))
@@ -189,7 +208,9 @@ class Model:
 
         def flush():
             if held:
-                margins = self.word_margins(held)
+                numbers: dict[bytes, int] = {}
+                at = [numbers.setdefault(w, len(numbers)) for w in held]
+                margins = self.word_margins(list(numbers))[at]
                 for k, low, high in spans:
                     both = np.concatenate([out[k], margins[low:high]])
                     out[k] = np.sort(np.partition(both, len(both) - HIGHEST)[-HIGHEST:])[::-1]
@@ -346,19 +367,19 @@ def spread(words: list[str], count: int) -> list[str]:
     return picked
 
 
-def train(documents: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Model:
-    """Fit on the bounded sample of labelled texts: of each label those with the smallest hash of doc_id.
+def train(documents: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, train_bytes: int = TRAIN_BYTES) -> Model:
+    """Fit on a bounded sample of labelled rows: of each label those with the smallest hash of doc_id, ties by text.
 
-    Several labels of one document count as toxic if one does; null labels and
-    null texts are left out, and so are texts over TRAIN_BYTES, in which a
+    Rows are counted, so a doc_id that many rows share doesn't break the bound. Several labels of one document count as toxic if
+    one does; null labels and null texts are left out, and so are texts over ``train_bytes``, in which a
     witness is hard to tell.
     """
-    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id")]
-    ids = known.where("toxic > 0").orderBy(*order).limit(toxic_rows).unionByName(known.where("toxic <= 0").orderBy(*order).limit(clean_rows))
-    texts = documents.select("doc_id", "text").where(F.octet_length("text") <= TRAIN_BYTES)
-    rows = texts.join(ids, "doc_id").select("text", "toxic").distinct().collect()
-    return fit([r.text.encode() for r in rows], [r.toxic > 0 for r in rows])
+    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
+    rows = documents.select("doc_id", "text").where(F.octet_length("text") <= train_bytes).join(known, "doc_id")
+    order = [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id"), F.col("text")]
+    parts = [rows.where(F.col("toxic") == toxic).orderBy(*order).limit(n) for toxic, n in ((True, toxic_rows), (False, clean_rows))]
+    sample = parts[0].unionByName(parts[1]).select("text", "toxic").collect()
+    return fit([r.text.encode() for r in sample], [r.toxic for r in sample])
 
 
 def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from collections import Counter, defaultdict
 
+import numpy as np
+
 from eqlake.llm import language, neardup, toxicity
 
 from . import fixtures
@@ -71,15 +73,17 @@ def test_toxicity(spark):
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     every = toxicity.toxicity(docs, labels).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     # what is found, and what is rejected wrongly, as the README says; few labels are of the last two languages
-    for lang, found, wrong in (("en", 0.85, 0.01), ("fr", 0.9, 0.15), ("de", 0.2, 0.02), ("es", 0.0, 0.02)):
+    for lang, found, wrong in (("en", 0.85, 0.01), ("fr", 0.9, 0.15), ("de", 0.75, 0.03), ("es", 0.1, 0.01)):
         rows = [r for r in every if r.lang == lang]
         toxic, clean = [r for r in rows if r.toxic], [r for r in rows if not r.toxic]
+        print(lang, sum(r.predicted for r in toxic), len(toxic), sum(r.predicted for r in clean), len(clean))
         assert sum(r.predicted for r in toxic) / len(toxic) >= found, lang
         assert sum(r.predicted for r in clean) / len(clean) <= wrong, lang
     model = toxicity.train(docs, labels)
-    # insults with a character inserted, which nothing but the kernel undoes, by the query's own model
+    # insults with a letter inserted at each place, which nothing but the kernel undoes, by the query's own model
     queried = toxicity.train(docs, labels.where(~toxicity.held_out()))
-    assert queried.text_scores([b"you idxiot", b"how stxupid", b"so patxhetic", b"stu*pid"]).min() > 0.7
+    bent = [w[:k] + c + w[k:] for w in ("idiot", "stupid", "pathetic") for k in range(1, len(w)) for c in "xbmleayt7"]
+    assert np.mean(queried.text_scores([f"you {w} there".encode() for w in bent]) > 0.7) >= 0.9
     assert queried.text_scores([b"the weather is nice", b"an idyllic village", b"a stupendous view"]).max() < 0.7
     own = toxicity.score(fixtures.documents(spark), model).collect()
     assert len(own) == len(fixtures.TEXTS) and all(0 <= r.score <= 1 for r in own)
@@ -88,6 +92,30 @@ def test_toxicity(spark):
     assert {r.predicted for r in toxicity.score(fixtures.documents(spark), toxicity.fit([], [])).collect()} == {0}
 
 
+def test_margins_are_the_kernel_sums():
+    """A collapsed model against sums over subsequences, with few letters (full table) and with 1,500 (sorted keys)."""
+    rng = np.random.default_rng(3)
+    for letters in ("abcdef", "".join(chr(0x4E00 + k) for k in range(1500))):
+        words = ["".join(rng.choice(list(letters), rng.integers(1, 19))) for _ in range(200)]
+        weights = {k: float(v) for k, v in zip((k for w in words[:80] for k in toxicity.subsequences(w)), rng.normal(size=100_000), strict=False)}
+        model = toxicity.Model(weights, -0.25, 1.0, 0.0)
+        assert (model.keys is None) == (len(letters) < 40)
+        want = [sum(v * weights.get(k, 0.0) for k, v in toxicity.subsequences(w).items()) - 0.25 for w in words]
+        assert np.allclose(model.word_margins([w.encode() for w in words]), want, atol=1e-4)
+
+
+def test_training_sample_is_bounded_by_rows(spark):
+    docs = spark.createDataFrame([(k % 3, f"text number {k} you idiot") for k in range(600)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k == 0)) for k in range(3)] + [(None, 1)], "doc_id long, toxic int")
+    taken = []
+    fit, toxicity.fit = toxicity.fit, lambda texts, toxic: taken.append(len(texts))
+    try:
+        toxicity.train(docs, labels, 7, 11)
+    finally:
+        toxicity.fit = fit
+    assert taken == [18]
+
+
 def test_language(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = language.languages(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
