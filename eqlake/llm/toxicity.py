@@ -375,9 +375,12 @@ def train(documents: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS,
     witness is hard to tell.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
-    rows = documents.select("doc_id", "text").where(F.octet_length("text") <= train_bytes).join(known, "doc_id")
-    order = [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id"), F.col("text")]
-    parts = [rows.where(F.col("toxic") == toxic).orderBy(*order).limit(n) for toxic, n in ((True, toxic_rows), (False, clean_rows))]
+    order = [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id")]
+    limits = ((True, toxic_rows), (False, clean_rows))
+    # at most as many ids as rows go to every task, so that no text is shuffled
+    ids = [known.where(F.col("toxic") == toxic).orderBy(*order).limit(n) for toxic, n in limits]
+    rows = documents.select("doc_id", "text").where(F.octet_length("text") <= train_bytes).join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")
+    parts = [rows.where(F.col("toxic") == toxic).orderBy(*order, "text").limit(n) for toxic, n in limits]
     sample = parts[0].unionByName(parts[1]).select("text", "toxic").collect()
     return fit([r.text.encode() for r in sample], [r.toxic for r in sample])
 
