@@ -5,24 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import query
+from .catalog import by_case, query
 from .functions import canonical, latex, notation
 from .functions import expressions as X
 from .plans import routing, scoring
 from .staging import written
 
 
-def cases(key, *texts):
-    """A column of texts in which {k} is the key's number, chosen by the key."""
-    k = key.cast("string")
-    out = None
-    for n, text in enumerate(texts):
-        parts = [F.lit(p) for p in text.split("{k}")]
-        filled = parts[0] if len(parts) == 1 else F.concat(*(x for p in parts[:-1] for x in (p, k)), parts[-1])
-        out = F.when(key % len(texts) == n, filled) if out is None else out.when(key % len(texts) == n, filled)
-    return out
-
-
 PAIRS = (
     ("sin({k}*x)**2 + cos({k}*x)**2", "1", "equal"),
     ("(x + {k})*(x - {k})", "x**2 - {k}**2", "equal"),
@@ -46,7 +35,7 @@ PAIRS = (
 def symbolic_pairs(t, spark):
     """Pairs of texts that are equal by an identity, differ where points don't look at first, or can't be told."""
     k = F.col("p_partkey")
-    one, other = (cases(k, *(p[side] for p in PAIRS)) for side in (0, 1))
+    one, other = (by_case(k, [p[side] for p in PAIRS]) for side in (0, 1))
     return t("part").select("p_partkey", canonical.comparison(one, other).alias("state"))
 
 
@@ -56,7 +45,7 @@ def symbolic_pairs(t, spark):
 )
 def canonical_texts(t, spark):
     k = F.col("p_partkey")
-    e = cases(k, "{k}*x + 2*x", "(x - {k})*(x + {k})", "sin(x) + sin(x)*{k}", "(x**2 - {k}**2)/(x - {k})", "sin({k}*x)**2", "exp(x + 1)*{k}/({k}*{k}*exp(1))")
+    e = by_case(k, ("{k}*x + 2*x", "(x - {k})*(x + {k})", "sin(x) + sin(x)*{k}", "(x**2 - {k}**2)/(x - {k})", "sin({k}*x)**2", "exp(x + 1)*{k}/({k}*{k}*exp(1))"))
     rows = t("part").where((k % 6 != 5) | (k > 64))
     text = canonical.canonical_text(e, F.lit("infix"))
     # a quotient by a large number without a finite decimal is shown as a factor
@@ -88,7 +77,7 @@ TEXTS = (
 )
 def latex_readings(t, spark):
     """LaTeX texts by two readings: how they relate, and the value at 1 of those on which both agree."""
-    text = cases(F.col("p_partkey"), *(x[0] for x in TEXTS))
+    text = by_case(F.col("p_partkey"), [x[0] for x in TEXTS])
     (how,) = latex.states(text)
     infix = X.convert(text, F.lit("latex"), F.lit("infix"))
     return t("part").select("p_partkey", how.alias("state"), (F.round(X.value_at(infix, F.lit(1.0)), 4) + 0.0).alias("at_one"))
@@ -110,7 +99,7 @@ INTEGRALS = (
 )
 def integral_values(t, spark):
     """Definite integrals by quadrature, and by their canonical form, which has no integral left where a rule works it out."""
-    e, x = cases(F.col("p_partkey"), *(i[0] for i in INTEGRALS)), F.col("p_size") / 50
+    e, x = by_case(F.col("p_partkey"), [i[0] for i in INTEGRALS]), F.col("p_size") / 50
     form = canonical.canonical_text(e, F.lit("infix"))
     return t("part").select("p_partkey", F.round(X.value_at(e, x), 6).alias("value"), F.round(X.value_at(form, x), 6).alias("canonical_value"), (~form.contains("Integral")).alias("worked_out"))
 

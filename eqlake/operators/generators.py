@@ -5,6 +5,7 @@ Evaluation points and sample meshes come with it: fixed places at which solution
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.column import Column
 
+from ..functions.canonical import renamed
 from ..functions.expressions import _column, _integrals, on, parse, show, symbols, with_constants
 from ..functions.notation import filled
 
@@ -306,42 +308,65 @@ def sample_values(kernel: str, f: str, lam: float, a: float, b: float, points: i
     return None if inner is None else {"x_values": x.tolist(), "u_values": (on(trees[1], x=x) + lam * inner).tolist(), "n_points": points}
 
 
-def _pairs(x: np.ndarray, t: np.ndarray, most: int, gap: float = 0.0) -> list[list[float]]:
-    """(x, t) of all places in order, those nearer than ``gap`` left out, ``most`` of them."""
-    one, other = np.repeat(x, len(t)), np.tile(t, len(x))
-    keep = np.abs(one - other) > gap if gap else np.ones(len(one), bool)
-    return np.stack([one[keep], other[keep]], 1)[:most].tolist()
+#: For each kind of solution where it changes fast: (place between the ends, width as a share of the domain, how much denser).
+LAYERS = {
+    "uniform": (), "fine": (), "graded": ((0.0, 0.2, 4.0),), "left": ((0.0, LAYER, 40.0),), "right": ((1.0, LAYER, 40.0),),
+    "double": ((0.0, LAYER, 40.0), (1.0, LAYER, 40.0)), "adaptive": ((0.0, 0.1, 3.0), (1.0, 0.1, 3.0)),
+}
 
 
-def mesh(kind: str, a: float, b: float, n: int, epsilon: float = LAYER, power: float = 2.0) -> list[list[float]] | None:
-    """At most ``n`` sample places (x, t) for a kind of equation.
+def graded_places(a: float, b: float, n: int, layers=()) -> np.ndarray:
+    """``n`` places from a to b that share out a density evenly: 1, and around each layer a bell of its strength.
 
-    uniform and graded (towards a by a power) keep off the diagonal; left and right gather in a layer at that end, double
-    at both; fine is uniform for oscillating solutions, adaptive denser near both ends.
+    The bell 1 / (1 + (distance / width)**2) has an arc tangent as its integral, so the places are where the sum of these
+    reaches equal steps, found by halving.
     """
-    if kind in ("uniform", "graded"):
-        grid = np.linspace(0, 1, n)
-        x = a + (b - a) * (grid**power if kind == "graded" else grid)
-        return _pairs(x, x, n, (b - a) / (2 * n))
-    if kind in ("left", "right"):
-        steep = np.exp(min((b - a) / epsilon, 50)) - 1
-        grid = np.linspace(0, 1, n)
-        x = a + epsilon * np.log(1 + steep * grid + 1e-10) if kind == "left" else b - epsilon * np.log(1 + steep * (1 - grid) + 1e-10)
-        return _pairs(x, x[: n // 2], n)
-    if kind == "double":
-        third = n // 3
-        x = np.concatenate([np.linspace(a, a + 3 * epsilon, third), np.linspace(a + 3 * epsilon, b - 3 * epsilon, n - 2 * third), np.linspace(b - 3 * epsilon, b, third)])
-        return _pairs(x, x[::2], n)
-    if kind == "fine":
-        x = np.linspace(a, b, n)
-        return _pairs(x, x, n)
-    if kind == "adaptive":
-        half, off = n // 2, 0.1 * (b - a)
-        x = np.sort(np.concatenate([np.linspace(a, a + off, half // 4), np.linspace(a + off, b - off, half // 2), np.linspace(b - off, b, half // 4)]))
-        step = max(1, len(x) // n)
-        return _pairs(x[::step], x[::step], n)
-    raise ValueError(f"unknown mesh: {kind}")
+    size = b - a
+
+    def mass(x):
+        bells = (s * w * (np.arctan((x - p) / w) - np.arctan(-p / w)) for p, w, s in layers)
+        return x + sum(bells, np.zeros_like(x))
+
+    wanted = np.linspace(0, 1, n) * mass(np.ones(1))
+    low, high = np.zeros(n), np.ones(n)
+    for _ in range(50):
+        middle = (low + high) / 2
+        short = mass(middle) < wanted
+        low, high = np.where(short, middle, low), np.where(short, high, middle)
+    return a + size * np.clip((low + high) / 2, 0, 1)
+
+
+def mesh(kind: str, a: float, b: float, n: int) -> list[list[float]]:
+    """``n`` sample places (x, t) for a kind of equation, graded in x and t by LAYERS and off the diagonal but for fine.
+
+    Each place is an x once and a t once: a lattice whose step is near the golden section of n spreads them over the square.
+    """
+    if kind not in LAYERS:
+        raise ValueError(f"unknown mesh: {kind}")
+    if n < 1:
+        return []
+    x = graded_places(a, b, n, LAYERS[kind])
+    step = next(k for k in range(max(1, round(n * 0.618)), n + 1) if np.gcd(k, n) == 1) if n > 1 else 1
+    other = (np.arange(n) * step + (1 if kind != "fine" else 0)) % n
+    keep = other != np.arange(n) if kind != "fine" else np.ones(n, bool)
+    return np.stack([x[keep], x[other[keep]]], 1).tolist()
 
 
 #: (kind, a, b, n): sample places as ``array<array<double>>``.
 mesh_points = _column(T.ArrayType(T.ArrayType(T.DoubleType())), lambda kind, a, b, n: mesh(kind, float(a), float(b), int(n)))
+
+
+def applied(text: Column, f: Column, name: str = "f") -> Column:
+    """A generated text with an expression in x for a function it only names, as in f(x) + Integral(K*f(t), (t, a, b)); null if either can't be read."""
+    return _applied(text, f, F.lit(name))
+
+
+def _apply(text, f, name):
+    tree = parse(f)
+    if tree is None or "Integral" in f:
+        return None
+    out = re.sub(rf"\b{name}\(([A-Za-z])\)", lambda m: f"({show(renamed(tree, 'x', m[1]))})", text)
+    return show(parse(out)) if parse(out) is not None else None
+
+
+_applied = _column(T.StringType(), _apply)

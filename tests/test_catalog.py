@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from eqlake import catalog, catalog_symbolic  # noqa: F401
+from eqlake import catalog, catalog_jobs, catalog_symbolic  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

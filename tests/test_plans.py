@@ -116,6 +116,10 @@ def test_generated_sets(spark):
     for kind in ("uniform", "graded", "left", "right", "double", "fine", "adaptive"):
         pairs = generators.mesh(kind, 0.0, 1.0, 20)
         assert 0 < len(pairs) <= 20 and all(-1e-6 <= v <= 1.0 + 1e-6 for p in pairs for v in p)
+        assert kind == "fine" or all(x != t for x, t in pairs)
+    left = generators.graded_places(0.0, 1.0, 101, generators.LAYERS["left"])
+    assert (left < 0.05).sum() > 35 and left[0] == pytest.approx(0) and left[-1] == pytest.approx(1) and (left[1:] > left[:-1]).all()
+    assert generators.graded_places(2.0, 4.0, 5).tolist() == pytest.approx([2, 2.5, 3, 3.5, 4])
     with pytest.raises(ValueError):
         generators.mesh("odd", 0, 1, 5)
 
@@ -144,7 +148,7 @@ def test_prompt_templates(spark):
     L = F.lit
     one = spark.range(1).select(prompts.token_prompt(prompts.SPECIAL, L("0.123456*x"), L("x"), L(0.5), L(0), L(1)), prompts.script_block(L("x*t"), L("x"), L(0.0), L(0), L(1))).first()
     assert one[0] == "<|fred|> <|kernel|> 0.1235*x <|lambda|> 0.5 <|rhs|> x <|domain|> 0 1 <|solve|>"
-    assert "FIRST kind" in one[1] and "K = x*t" in one[1]
+    assert "alone" in one[1] and "return x*t" in one[1] and "lower, upper, scale = 0, 1, 0.0" in one[1]
     rows = spark.createDataFrame([(k, "a", "w " * (k % 4), "v") for k in range(20)], "id int, kind string, p string, r string")
     assert sorted(r.id for r in prompts.fitting(rows, "p", "r", "kind", "id", 5, 3).collect()) == [0, 1, 2, 4, 5]
 
