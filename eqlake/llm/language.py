@@ -101,14 +101,15 @@ class Model:
 
 
 def sample(documents: DataFrame, rows_per_lang: int) -> DataFrame:
-    """``lang, text`` of the training rows: in each language those with the smallest hash of doc_id.
+    """``lang, text`` of the training rows: in each language those with the smallest hash of doc_id, ties by the text's.
 
-    Rows are counted by language and range of the hash first. Ranges before the
+    Rows without a doc_id go by the hash of their text. Equal rows count once, so ``rows_per_lang`` bounds
+    the rows whatever ids repeat. Rows are counted by language and range of the hash first. Ranges before the
     one in which the bound is reached are in whole; in that one alone rows are
-    ranked. So no task ranks a language, and no text is moved.
+    ranked. So no task ranks a language, and no text is moved but the sample's.
     """
-    known = documents.select("doc_id", "text", "lang").where("lang is not null and text is not null")
-    hashed = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    known = documents.select("doc_id", "text", "lang").where("lang is not null and text is not null").withColumn("_t", F.xxhash64("text"))
+    hashed = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("string"))), F.col("_t"))
     # the hash's highest bits, as an ordered range
     place = (F.shiftright(hashed, 64 - RANGES.bit_length() + 1) + RANGES // 2).cast("int")
     counts = known.select("lang", place.alias("range")).groupBy("lang", "range").agg(F.count("*").alias("n"))
@@ -117,14 +118,17 @@ def sample(documents: DataFrame, rows_per_lang: int) -> DataFrame:
     edge = counts.select(F.col("lang").alias("_lang"), "range", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     edge = edge.where((F.col("before") < rows_per_lang) & (F.col("before") + F.col("n") >= rows_per_lang)).select("_lang", F.col("range").alias("_edge"), (rows_per_lang - F.col("before")).alias("_left"))
     edge = F.broadcast(written(edge, "edges"))  # a row a language
-    rows = known.select("doc_id", "lang", hashed.alias("_h"), place.alias("_range")).join(edge, F.col("lang") == F.col("_lang"), "left")
-    inner = F.col("_range") < F.coalesce("_edge", F.lit(RANGES))
-    last = rows.where(F.col("_range") == F.col("_edge")).withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id")))
-    ids = rows.where(inner).select("doc_id", "lang").unionByName(last.where(F.col("_rank") <= F.col("_left")).select("doc_id", "lang"))
-    ids = written(ids.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct(), "sample")
+    rows = known.select("doc_id", "lang", "_t", hashed.alias("_h"), place.alias("_range")).join(edge, F.col("lang") == F.col("_lang"), "left")
+    key = ("doc_id", "lang", "_t")
+    inner = rows.where(F.col("_range") < F.coalesce("_edge", F.lit(RANGES))).select(*key).distinct()
+    at_edge = rows.where(F.col("_range") == F.col("_edge")).select(*key, "_h", "_left").distinct()
+    last = at_edge.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id", "_t")))
+    ids = inner.unionByName(last.where(F.col("_rank") <= F.col("_left")).select(*key))
+    ids = written(ids.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("_t").alias("_text")), "sample")
     if ids.count() <= SAMPLE_ROWS:
         ids = F.broadcast(ids)
-    return known.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi").select("lang", "text")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")) & (F.col("_t") == F.col("_text"))
+    return known.join(ids, same, "left_semi").groupBy(*key).agg(F.first("text").alias("text")).select("lang", "text")
 
 
 def train(documents: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> list[Model]:
@@ -159,7 +163,7 @@ def train(documents: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> list[Mode
                     yield from out()
         yield from out()
 
-    parts = sample(documents, rows_per_lang).repartition(16).mapInArrow(count, "lang string, bucket bigint, n bigint")
+    parts = sample(documents, rows_per_lang).mapInArrow(count, "lang string, bucket bigint, n bigint")
     cells = written(parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "cells")
     texts = {r.lang: r.n for r in cells.where(F.col("bucket") == 1 << BITS).select("lang", "n").collect()}
     langs, total, models = sorted(texts), sum(texts.values()), []

@@ -177,6 +177,13 @@ def test_sample_is_the_smallest_hashes(spark):
     assert {tuple(r) for r in language.sample(docs, 300).collect()} == want
 
 
+def test_sample_is_bounded_whatever_ids_repeat(spark):
+    rows = [(None, f"text {k}", "en") for k in range(500)] + [(7, f"other {k % 300}", "en") for k in range(600)] + [(k, "same words", "de") for k in range(5)] * 20
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.sample(df, 100).collect()
+    assert sum(r.lang == "en" for r in got) == 100 and sum(r.lang == "de" for r in got) == 5
+
+
 def test_kernel_by_every_subsequence():
     def brute(a, b):
         def weights(s):
