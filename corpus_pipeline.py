@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eqlake.llm import decontaminate, neardup, packing, secrets, toxicity
-from eqlake.llm.common import table, unused, written
+from eqlake.llm.common import discard, table, unused, written
 
 #: Words in a shingle of the near-duplicate stage: two, as in op7, would link texts with changes scattered over them.
 STAGE_SHINGLE = 5
@@ -58,6 +58,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if k:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
