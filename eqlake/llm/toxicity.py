@@ -42,6 +42,8 @@ ROUNDS = 4
 VIRTUAL = 300
 #: Highest margins of different fragments of a text that count.
 HIGHEST = 3
+#: Toxic texts that must have been kept from training for the cut to be chosen by these alone.
+LEAST_HELD = 5
 #: How much recall counts against precision where the cut of the highest is chosen.
 BETA = 0.5
 #: Fragments that are scored at a time.
@@ -339,7 +341,8 @@ def fit(texts: list[bytes], toxic: list[bool], landmarks: int = LANDMARKS, round
                 if margins[c] >= max(0.6 * top, 0.3) or margins[c] == top:
                     weight[c] = weight.get(c, 0.0) + 1.0
     model = Model(*best, 1.0, 0.0)
-    held = calibrate if {y for _, y in calibrate} == {True, False} else train
+    # a cut can't be told by very few toxic texts; then those that were trained on count too
+    held = calibrate if sum(y for _, y in calibrate) >= LEAST_HELD and not all(y for _, y in calibrate) else calibrate + train
     y = np.array([y for _, y in held])
     # one insult is enough where its margin is high; where margins are lower, several different ones are
     means = model.highest([" ".join(words).encode() for words, _ in held])
