@@ -346,7 +346,7 @@ def parse_responses(t, spark):
 @query(
     "SELECT p_partkey, style, length(head || E'\\n\\nSolve the following Fredholm integral equation:\\n\\nu(x) - 0.5 * ∫[0, 1] (x*t) u(t) dt = ' || p_size || E'*x\\n\\nDomain: [0, 1]\\n\\nProvide the solution u(x).') AS n_chars, hint FROM "
     "(SELECT *, '[Has solution: ' || CASE WHEN p_size % 2 = 0 THEN 'Yes' ELSE 'No' END || ', Type: ' || p_type || ']' AS hint FROM part) p, (VALUES "
-    + ", ".join(f"('{k}', '{(v.format(notation='infix') + chr(10) + prompts.REMARKS).replace(chr(39), chr(39) * 2)}')" for k, v in prompts.SYSTEM.items() if k != "few-shot")
+    + ", ".join(f"('{k}', '{(v.format(notation='infix') + ''.join(chr(10) * 2 + x for x in prompts.EXAMPLES if k == 'few-shot') + chr(10) + prompts.REMARKS).replace(chr(39), chr(39) * 2)}')" for k, v in prompts.SYSTEM.items())
     + ") s(style, head)"
 )
 def render_prompts(t, spark):
@@ -354,7 +354,7 @@ def render_prompts(t, spark):
         F.col("p_partkey").alias("equation_id"), F.lit("x*t").alias("kernel"), F.concat(F.col("p_size").cast("string"), F.lit("*x")).alias("f"), F.lit(0.5).alias("lambda_val"), F.lit(0).alias("a"), F.lit(1).alias("b"),
         (F.col("p_size") % 2 == 0).alias("has_solution"), F.col("p_type").alias("solution_type"),
     )
-    p = prompts.prompts(e, "basic,chain-of-thought,tool-assisted", mode="hints")
+    p = prompts.prompts(e, "all", mode="hints")
     hint = F.substring_index("prompt", "\n", -1)
     return p.select(F.col("equation_id").alias("p_partkey"), "style", (F.length("prompt") - F.length(hint) - 1).cast("long").alias("n_chars"), hint.alias("hint"))
 

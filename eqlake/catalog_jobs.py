@@ -93,6 +93,18 @@ def neumann_rows(t, spark):
     return rows.select("p_brand", F.round(X.value_at(generators.applied(F.col("u"), F.col("f")), F.lit(0.5)), 5).alias("at_half"))
 
 
+@query("""SELECT p_partkey, variant, 10 AS n_points, round(CASE variant WHEN 'exponential_decay' THEN 0.3 * (1 - (b + 1) * exp(-b)) END, 6) AS first_u, round(CASE variant WHEN 'exponential_decay' THEN b + 0.3 * (b - 1 + exp(-b)) END, 6) AS last_u
+FROM (SELECT p_partkey, 1 + p_size / 100.0::DOUBLE + (p_partkey % 1009) / 1e5::DOUBLE AS b FROM part), (VALUES ('gaussian_kernel'), ('exponential_decay'), ('sinc_kernel')) v(variant)""")
+def discrete_rows(t, spark):
+    """Generated equations without a closed solution carry its values at places of their own domain; one kernel's are known."""
+    e = t("part").select("p_partkey", F.lit("x").alias("f"), F.lit("").alias("u"), F.lit(0.1).alias("lambda_val"), F.lit(0.0).alias("a"), (1 + F.col("p_size") / 100 + (F.col("p_partkey") % 1009) / 1e5).alias("b"))
+    rows = generators.with_sample_points(generators.augmented(e, "complex_kernels"))
+    p, known = F.col("evaluation_points"), F.col("augmentation_variant") == "exponential_decay"
+    return rows.select(
+        "p_partkey", F.col("augmentation_variant").alias("variant"), p["n_points"].alias("n_points"), F.round(F.when(known, F.element_at(p["u_values"], 1)), 6).alias("first_u"), F.round(F.when(known, F.element_at(p["u_values"], -1)), 6).alias("last_u"),
+    )
+
+
 def doubled_kernels(equation):
     """A caller's strategy: the equation with its kernel doubled and lambda halved, and with its sides exchanged in sign."""
     yield {"kernel": f"2*({equation['kernel']})", "f": equation["f"], "lambda_val": equation["lambda_val"] / 2, "solution_type": "exact_symbolic"}

@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def responses(prompts: DataFrame, make_client: Callable[[], Callable[[str], str]], attempts: int = 3, wait: float = 1.0) -> DataFrame:
+def responses(prompts: DataFrame, make_client: Callable[[], Callable[[str], str]], attempts: int = 3, wait: float = 1.0, parallel: int = 8) -> DataFrame:
     """``prompts`` with response, attempts and error.
 
-    ``make_client`` is called once a task and gives a function from prompt to
-    response. A call that fails is repeated after 1, 2, 4 ... times ``wait`` seconds; if all
+    ``make_client`` is called once in each of a task's ``parallel`` threads, and gives a function from prompt to
+    response; so many calls of a task are under way at once. A call that fails is repeated after 1, 2, 4 ... times ``wait`` seconds; if all
     fail, or the prompt is null, the response is empty and ``error`` says why. A lost task calls anew.
     """
     fresh = ("response", "attempts", "error")
@@ -21,24 +21,32 @@ def responses(prompts: DataFrame, make_client: Callable[[], Callable[[str], str]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
 
     def run(frames):
-        client = make_client()
-        for frame in frames:
-            rows = []
-            for prompt in frame["prompt"]:
-                text, error, tried = "", "no prompt", 0
-                while isinstance(prompt, str) and tried < attempts:
-                    tried += 1
-                    try:
-                        text, error = client(prompt) or "", None
-                        break
-                    except Exception as e:  # the client's own errors, of any kind
-                        error = f"{type(e).__name__}: {e}"
-                        if tried < attempts:
-                            time.sleep(wait * 2 ** (tried - 1))
-                rows.append((text, tried, error))
-            for k, name in enumerate(fresh):
-                frame[name] = [r[k] for r in rows]
-            yield frame
+        from concurrent.futures import ThreadPoolExecutor
+        from threading import local
+
+        own = local()
+
+        def call(prompt):
+            if not isinstance(prompt, str):
+                return "", 0, "no prompt"
+            error = None
+            for tried in range(1, attempts + 1):
+                try:
+                    if not hasattr(own, "client"):
+                        own.client = make_client()
+                    return own.client(prompt) or "", tried, None
+                except Exception as e:  # the client's own errors, of any kind
+                    error = f"{type(e).__name__}: {e}"
+                    if tried < attempts:
+                        time.sleep(wait * 2 ** (tried - 1))
+            return "", attempts, error
+
+        with ThreadPoolExecutor(max(1, parallel)) as pool:
+            for frame in frames:
+                rows = list(pool.map(call, frame["prompt"]))  # in the order of the prompts
+                for k, name in enumerate(fresh):
+                    frame[name] = [r[k] for r in rows]
+                yield frame
 
     return rest.mapInPandas(run, f"{schema}, response string, attempts int, error string")
 

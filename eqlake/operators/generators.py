@@ -356,6 +356,26 @@ def mesh(kind: str, a: float, b: float, n: int) -> list[list[float]]:
 mesh_points = _column(T.ArrayType(T.ArrayType(T.DoubleType())), lambda kind, a, b, n: mesh(kind, float(a), float(b), int(n)))
 
 
+def _sampled(kernel, f, lam, a, b):
+    import json
+
+    found = sample_values(kernel, f, float(lam), float(a), float(b), away=0.1 if "/ (x*t)" in kernel else 0.0)
+    return None if found is None else json.dumps(found)
+
+
+_samples_text = _column(T.StringType(), _sampled)
+
+
+def with_sample_points(rows: DataFrame) -> DataFrame:
+    """``rows`` of generated equations with ``evaluation_points`` where their solution is a list of points: f plus lambda times the integral of K f at SAMPLES places.
+
+    Rows of other types keep the points that they have, or have none. A kernel or f that can't be read, or an integral that doesn't settle, gives null.
+    """
+    made = F.from_json(_samples_text("kernel", "f", *(F.col(c).cast("double") for c in ("lambda_val", "a", "b"))), POINTS)
+    own = F.col("evaluation_points") if "evaluation_points" in rows.columns else F.lit(None).cast(f"struct<{POINTS.replace(' array', ': array').replace(' int', ': int')}>")
+    return rows.withColumn("evaluation_points", F.when(F.col("solution_type") == "discrete_points", F.coalesce(own, made)).otherwise(own))
+
+
 def applied(text: Column, f: Column, name: str = "f") -> Column:
     """A generated text with an expression in x for a function it only names, as in f(x) + Integral(K*f(t), (t, a, b)); null if either can't be read."""
     return _applied(text, f, F.lit(name))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import prompts as P
 from ..operators import relational as R
-from ..sources.readers import REQUIRED, equations
+from ..sources.readers import DEFAULTS, REQUIRED, equations
 
 CORRUPT = "_corrupt_record"
 MANIFEST = "stage string, digest string, rows long"
@@ -92,20 +92,26 @@ class Job:
         return self.spark.read.parquet(path), digest
 
 
-def prepare(spark: SparkSession, source: str, root: str, styles: str = "all", notations: tuple[str, ...] = ("infix",), train: float = 0.8, val: float = 0.1, header: bool = True, seed: int = 42) -> dict[str, DataFrame]:
-    """The whole preparation of CSV files: loaded, equations, quarantine, splits (partitioned by split) and prompts (by style and notation)."""
+def prepare(spark: SparkSession, source: str, root: str, styles: str = "all", notations: tuple[str, ...] | None = None, header: bool = True, settings: dict | None = None) -> dict[str, DataFrame]:
+    """The whole preparation of CSV files: loaded, equations, quarantine, splits (partitioned by split) and prompts (by style and notation).
+
+    Shares and seed of the splits, and notation, mode and examples of the prompts, are those of ``settings`` (``readers.settings``).
+    """
+    settings = settings or DEFAULTS
+    shares, shown = settings["split"], settings["prompts"]
+    notations = notations or (shown["notation"],)
     job = Job(spark, root)
     rows, at = job.stage("loaded", lambda: loaded(spark, source, header=header), [job.files(source), header])
     good, good_at = job.stage("equations", lambda: usable(rows), [at])
     bad, _ = job.stage("quarantine", lambda: quarantine(rows), [at])
-    parts, parts_at = job.stage("splits", lambda: R.split_dataset(good, "equation_id", train, val, seed), [good_at, train, val, seed], ("split",))
+    parts, parts_at = job.stage("splits", lambda: R.split_dataset(good, "equation_id", shares["train"], shares["val"], shares["seed"]), [good_at, shares], ("split",))
 
     def rendered() -> DataFrame:
-        each = [P.prompts(parts.withColumn("split", F.col("split")), styles, n) for n in notations]
+        each = [P.prompts(parts, styles, n, shown["mode"], n_examples=shown["examples"]) for n in notations]
         out = each[0]
         for more in each[1:]:
             out = out.unionByName(more)
         return out
 
-    made, _ = job.stage("prompts", rendered, [parts_at, styles, list(notations)], ("style", "format_type"))
+    made, _ = job.stage("prompts", rendered, [parts_at, styles, list(notations), shown], ("style", "format_type"))
     return {"loaded": rows, "equations": good, "quarantine": bad, "splits": parts, "prompts": made, "manifest": job.manifest()}

@@ -273,9 +273,15 @@ def confusion(rows: DataFrame) -> DataFrame:
     return rows.where((truth != "") & (said != "") & (truth != said)).groupBy(F.concat_ws("_predicted_as_", truth, said).alias("cell")).agg(F.count("*").alias("n"))
 
 
-def evaluate(results: DataFrame, path: str | None = None, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(scored rows, report, confusion); with ``path`` the rows are written there first and the others read them, so that nothing is scored twice."""
-    rows = scored(results, **options)
+def options(settings: dict) -> dict:
+    """What ``scored`` takes, from the evaluation section of ``readers.settings``."""
+    own = settings["evaluation"]
+    return {"tolerance": own["numeric_tolerance"], "type_tolerances": own["type_tolerances"], "points": own["points"]}
+
+
+def evaluate(results: DataFrame, path: str | None = None, settings: dict | None = None, **given) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(scored rows, report, confusion) by ``settings``, single options of ``scored`` before them; with ``path`` the rows are written there first and the others read them, so that nothing is scored twice."""
+    rows = scored(results, **((options(settings) if settings else {}) | given))
     if path:
         rows.write.parquet(path)
         rows = results.sparkSession.read.parquet(path)

@@ -263,7 +263,7 @@ DEFAULTS = {
     "split": {"train": 0.8, "val": 0.1, "seed": 42},
     "sample": {"per_type": 1, "seed": 42},
     "augmentation": {"multiplier": 2.0, "strategies": ["none_solution", "approx_coef", "discrete_points"]},
-    "evaluation": {"symbolic_tolerance": 1e-10, "numeric_tolerance": 1e-6, "points": 100, "type_tolerances": {}, "series_target": 4, "family_samples": [-1.0, 1.0, 2.0]},
+    "evaluation": {"symbolic_tolerance": 1e-10, "numeric_tolerance": 1e-6, "points": 100, "type_tolerances": {"series": 1e-2, "approx_coef": 1e-3}, "series_target": 4, "family_samples": [-1.0, 1.0, 2.0]},
     "solvers": {"rounds": 1, "tolerance": 1e-6, "points": 12},
     "scripts": {"timeout": 60, "rounds": 1},
     "prompts": {"examples": 2, "notation": "infix", "mode": "none"},

@@ -206,3 +206,32 @@ def test_costs(spark):
     assert got == [[0.25, 0.75, 0.125, 1.0], [0, 0, 0, 1.0], [0, 0, 0, 0]]
     m = spark.createDataFrame([("a", 1.0, 2.0, 1000, 500), ("b", 0.0, 4.0, 10, 250)], "model string, input double, output double, prompt_tokens int, completion_tokens int")
     assert {r.model: r.cost for r in calls.panel_cost(m, 1000).collect()} == {"a": pytest.approx(2.0), "b": pytest.approx(1.0), None: pytest.approx(3.0)}
+
+
+def test_calls_run_at_once_and_in_order(spark):
+    import time
+
+    def client():
+        def call(prompt):
+            time.sleep(0.5)
+            if prompt == "bad":
+                raise ValueError("no")
+            return prompt.upper()
+
+        return call
+
+    df = spark.createDataFrame([(k, f"p{k}" if k != 3 else "bad") for k in range(16)] + [(16, None)], "id int, prompt string").coalesce(1)
+    calls.responses(df.limit(1), client, 1).collect()
+    began = time.time()
+    rows = calls.responses(df, client, attempts=1, parallel=8).collect()
+    took = time.time() - began
+    assert {r.id: r.response for r in rows} == {k: "" if k in (3, 16) else f"P{k}" for k in range(17)} and took < 5
+    assert {r.id: r.error for r in rows if r.error} == {3: "ValueError: no", 16: "no prompt"}
+
+
+def test_settings_are_read(spark):
+    from eqlake.sources import readers
+
+    df = spark.createDataFrame([("x + 0.005", "x", "series"), ("x + 0.005", "x", "exact_symbolic")], "solution_str string, ground_truth string, ground_truth_solution_type string")
+    rows, _, _ = scoring.evaluate(df, settings=readers.settings())
+    assert [r.correct for r in rows.collect()] == [True, False]
