@@ -171,7 +171,9 @@ class Model:
         self.norms = np.array([norm(n) for n in range(LONGEST + 3)])
 
     def word_margins(self, words: list[bytes]) -> np.ndarray:
-        """Margins of fragments of any length, all at once."""
+        """Margins of fragments of any length, CHUNK of them at once."""
+        if len(words) > CHUNK:
+            return np.concatenate([self.word_margins(words[k : k + CHUNK]) for k in range(0, len(words), CHUNK)])
         points = np.frombuffer(("^" + b"$^".join(words).decode("utf-8", "replace") + "$").encode("utf-32-le"), np.uint32)
         starts = np.flatnonzero(points == 94)
         sizes = np.diff(np.append(starts, len(points)))
@@ -294,17 +296,20 @@ def fit(texts: list[bytes], toxic: list[bool], landmarks: int = LANDMARKS, round
     if not candidates:
         return Model({}, -1.0, 1.0, -3.0)
     # at first, fragments count by their own odds or those of their three most telling subsequences
-    parts = {c: list(subsequences(c)) for c in candidates}
-    among = Counter(k for b in open_bags for k in {k for c in b for k in parts[c]})
-    against: Counter = Counter()
+    among: Counter = Counter()
+    for b in open_bags:
+        among.update({k for c in b for k in subsequences(c)})
+    against = dict.fromkeys(among, 0)
     for word, n in clean.items():
         for k in subsequences(word):
-            against[k] += n
+            if k in against:
+                against[k] += n
     clean_texts = sum(not y for _, y in train)
     odds = {k: (n + 0.5) / (len(open_bags) + 1) * (clean_texts + 1) / (against[k] + 0.5) for k, n in among.items()}
+    del among, against
     bags_with = Counter(c for b in open_bags for c in b)
     whole = np.log((clean_texts + 1) / 0.5 / (len(open_bags) + 1))
-    share = {c: max(np.mean(sorted(np.log(odds[k]) for k in parts[c])[-3:]), whole + np.log(bags_with[c] + 0.5)) for c in candidates}
+    share = {c: max(np.mean(sorted(np.log(odds[k]) for k in subsequences(c))[-3:]), whole + np.log(bags_with[c] + 0.5)) for c in candidates}
     floor = whole + np.log(2.5)
     share = {c: max(0.05, float(v - floor)) ** 2 for c, v in share.items()}
     # and each toxic text spreads one unit over its own
