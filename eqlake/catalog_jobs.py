@@ -122,3 +122,33 @@ def own_strategy(t, spark):
         "LATERAL doubled_kernels(kernel => 'x*t', f => concat(p_size, '*x'), lambda_val => CAST((p_partkey + 1) / 1e6D AS DOUBLE)) d"
     )
     return rows.withColumn("lambda_val", F.round("lambda_val", 9))
+
+
+#: Variants of generated rows, their kernel (null: it depends on the row's domain) and right side on a domain from 0 (null: it is the row's own or depends on its end).
+VARIANTS = (
+    ("constant_kernel_eigenvalue", "1", "x"), ("separable_kernel_eigenvalue", "x*t", "x**2"), ("symmetric_kernel_eigenvalue", "cos(x - t)", "sin(x)"),
+    ("even_odd_mismatch", "cos(x) * cos(t)", "x"), ("separable_orthogonal", "sin(pi*x) * sin(pi*t)", "cos(pi*x)"), ("finite_rank_incompatible", "sin(x)*sin(t) + cos(x)*cos(t)", "x**2"),
+    ("cauchy_singularity", "1 / (abs(x - t) + 1e-10)", None), ("second_order_pole", "1 / (abs(x - t) + 1e-10)**2", None), ("mixed_smooth_divergent", "(1 + x*t) / (abs(x - t) + 1e-10)", None),
+    ("two_disconnected_regions", None, None), ("three_disconnected_regions", None, None),
+    ("logarithmic_kernel", "log(abs(x - t) + 1e-10)", None), ("power_law_kernel", "1/sqrt(abs(x - t) + 1e-8)", None), ("algebraic_mixed_kernel", "(x + t + 1) / sqrt(abs(x - t) + 1e-8)", None),
+    ("left_exponential_layer", "x * t", "exp(-(x - 0.0)/0.01)"), ("right_exponential_layer", "1 + x + t", None), ("double_tanh_layers", "sin(x) * cos(t)", None),
+    ("high_frequency_sine", "x * t", "sin(100.0 * pi * x)"), ("amplitude_modulated", "1 + x + t", "(1 + x) * sin(80.0 * pi * x)"),
+    ("multi_frequency_beating", "sin(x) * cos(t)", "sin(100.0 * pi * x) + sin(120.0 * pi * x)"),
+    ("piecewise_split", "Piecewise((t, t <= x), (x, True))", None), ("smooth_transition", "tanh((x - t) / 0.1)", None), ("explicit_two_integral", "x*t", None),
+    ("band_limited", "Piecewise((x*t, Abs(x - t) < 0.1), (0, True))", None), ("localized_box", None, None),
+    ("gaussian_kernel", "exp(-(x**2 + t**2))", "1"), ("exponential_decay", "exp(-abs(x - t))", "x"), ("sinc_kernel", "sin(x*t) / (x*t)", "cos(x)"),
+    ("separable_near_eigenvalue", "sin(pi*x) * sin(pi*t)", "sin(pi*x)"), ("constant_near_eigenvalue", "1", "1"), ("very_near_eigenvalue", "sin(pi*x) * sin(pi*t)", "sin(pi*x) + 0.1*sin(2*pi*x)"),
+    ("separable_kernel", "sin(x) * cos(t)", None), ("polynomial_kernel", "x * t", None), ("exponential_kernel", "exp(-abs(x - t))", None),
+    ("simple_first_kind", "x*t", "x**2"), ("exponential_first_kind", "exp(x*t)", "exp(x)"), ("oscillatory_first_kind", "sin(x - t)", "sin(2*x)"),
+    ("separable_eigenvalue_exact", "sin(pi*x) * sin(pi*t)", "0"), ("constant_kernel_resonance", "1", "0"),
+)
+
+
+@query("SELECT variant, (SELECT count(*) FROM part) AS n, kernel, f FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in v) + ")" for v in VARIANTS) + ") v(variant, kernel, f)")
+def strategy_texts(t, spark):
+    """Kernels and right sides of every variant over all equations; null where they differ from row to row."""
+    k = F.col("p_partkey").cast("string")
+    e = t("part").select(F.concat(k, F.lit("*x + 1")).alias("f"), F.concat(k, F.lit("*x")).alias("u"), F.lit(0.5).alias("lambda_val"), F.lit(0.0).alias("a"), (1 + F.col("p_partkey") / 1000).alias("b"))
+    rows = generators.augmented(e, *generators.GROUPS)
+    same = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).alias(c)
+    return rows.groupBy(F.col("augmentation_variant").alias("variant")).agg(F.count("*").alias("n"), same("kernel"), same("f"))
