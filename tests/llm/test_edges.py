@@ -189,9 +189,9 @@ def test_kernel_by_every_subsequence():
         def weights(s):
             s = f"^{s}$"
             out = Counter()
-            for i, j, k in itertools.combinations(range(len(s)), 3):
-                if k - i < toxicity.SPAN:
-                    out[s[i] + s[j] + s[k]] += toxicity.DECAY ** (k - i - 2)
+            for at in itertools.combinations(range(len(s)), toxicity.ORDER):
+                if at[-1] - at[0] < toxicity.SPAN:
+                    out["".join(s[k] for k in at)] += toxicity.DECAY ** (at[-1] - at[0] - toxicity.ORDER + 1)
             return out
 
         x, y = weights(a), weights(b)
