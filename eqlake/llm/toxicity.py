@@ -19,6 +19,7 @@ pass what no clean text among the labelled ones does.
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from itertools import combinations
@@ -169,6 +170,18 @@ class Model:
             order = np.argsort(keys)
             self.keys, self.weight = np.append(keys[order], -1), np.append(values[order], np.float32(0))
         self.norms = np.array([norm(n) for n in range(LONGEST + 3)])
+        self.learned = weights
+
+    def stored(self) -> bytes:
+        """What the model has learned, as JSON."""
+        return json.dumps([self.learned, self.bias, self.slope, self.offset, [None if np.isinf(c) else c for c in self.cuts.tolist()]]).encode()
+
+    @staticmethod
+    def restored(data: bytes) -> Model:
+        *learned, cuts = json.loads(data)
+        model = Model(*learned)
+        model.cuts = np.array([np.inf if c is None else c for c in cuts])
+        return model
 
     def word_margins(self, words: list[bytes]) -> np.ndarray:
         """Margins of fragments of any length, CHUNK of them at once."""
@@ -389,8 +402,21 @@ def train(documents: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS,
     ids = [known.where(F.col("toxic") == toxic).orderBy(*order).limit(n) for toxic, n in limits]
     rows = documents.select("doc_id", "text").where(F.octet_length("text") <= train_bytes).join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")
     parts = [rows.where(F.col("toxic") == toxic).orderBy(*order, "text").limit(n) for toxic, n in limits]
-    sample = parts[0].unionByName(parts[1]).select("text", "toxic").collect()
-    return fit([r.text.encode() for r in sample], [r.toxic for r in sample])
+    sample = parts[0].unionByName(parts[1]).select("text", "toxic").coalesce(1)
+    ship(documents.sparkSession)
+    found = sample.mapInArrow(_fit_rows, "model binary").head()
+    return Model.restored(found.model) if found else fit([], [])
+
+
+def _fit_rows(batches):
+    """The whole sample, which is bounded, in one task: a lost executor fits again, and the driver holds the model alone."""
+    import pyarrow as pa
+
+    texts, toxic = [], []
+    for batch in batches:
+        texts += text_bytes(batch.column(0))
+        toxic += batch.column(1).to_pylist()
+    yield pa.RecordBatch.from_arrays([pa.array([fit(texts, toxic).stored()], pa.binary())], names=["model"])
 
 
 def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

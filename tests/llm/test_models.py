@@ -107,13 +107,20 @@ def test_margins_are_the_kernel_sums():
 def test_training_sample_is_bounded_by_rows(spark):
     docs = spark.createDataFrame([(k % 3, f"text number {k} you idiot") for k in range(600)] + [(None, "x")], "doc_id long, text string")
     labels = spark.createDataFrame([(k, int(k == 0)) for k in range(3)] + [(None, 1)], "doc_id long, toxic int")
-    taken = []
-    fit, toxicity.fit = toxicity.fit, lambda texts, toxic: taken.append(len(texts))
+    rows = []
+    stored, toxicity._fit_rows = toxicity._fit_rows, lambda batches: counted(batches)
+
+    def counted(batches):
+        import pyarrow as pa
+
+        n = sum(b.num_rows for b in batches)
+        yield pa.RecordBatch.from_arrays([pa.array([toxicity.Model({"abcd": float(n)}, 0.0, 1.0, 0.0).stored()], pa.binary())], names=["model"])
+
     try:
-        toxicity.train(docs, labels, 7, 11)
+        rows = toxicity.train(docs, labels, 7, 11).learned
     finally:
-        toxicity.fit = fit
-    assert taken == [18]
+        toxicity._fit_rows = stored
+    assert rows == {"abcd": 18.0}
 
 
 def test_language(spark, sf_dir):
