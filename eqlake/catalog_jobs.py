@@ -10,7 +10,7 @@ from .functions import answers, series
 from .functions import expressions as X
 from .operators import generators
 from .plans import preparation, runs
-from .staging import scratch
+from .staging import scratch, spread
 
 
 @query("""WITH r AS (SELECT CASE p_partkey % 10 WHEN 0 THEN 'malformed' WHEN 1 THEN 'kernel' WHEN 2 THEN 'lambda_val' WHEN 3 THEN 'domain' END AS reason FROM part), n AS (SELECT count(*) AS good FROM r WHERE reason IS NULL)
@@ -97,7 +97,7 @@ def neumann_rows(t, spark):
 FROM (SELECT p_partkey, 1 + p_size / 100.0::DOUBLE + (p_partkey % 1009) / 1e5::DOUBLE AS b FROM part), (VALUES ('gaussian_kernel'), ('exponential_decay'), ('sinc_kernel')) v(variant)""")
 def discrete_rows(t, spark):
     """Generated equations without a closed solution carry its values at places of their own domain; one kernel's are known."""
-    e = t("part").select("p_partkey", F.lit("x").alias("f"), F.lit("").alias("u"), F.lit(0.1).alias("lambda_val"), F.lit(0.0).alias("a"), (1 + F.col("p_size") / 100 + (F.col("p_partkey") % 1009) / 1e5).alias("b"))
+    e = spread(t("part").select("p_partkey", "p_size")).select("p_partkey", F.lit("x").alias("f"), F.lit("").alias("u"), F.lit(0.1).alias("lambda_val"), F.lit(0.0).alias("a"), (1 + F.col("p_size") / 100 + (F.col("p_partkey") % 1009) / 1e5).alias("b"))
     rows = generators.with_sample_points(generators.augmented(e, "complex_kernels"))
     p, known = F.col("evaluation_points"), F.col("augmentation_variant") == "exponential_decay"
     return rows.select(

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.column import Column
 
 from ..functions.canonical import renamed
-from ..functions.expressions import _column, _integrals, on, parse, show, symbols, with_constants
+from ..functions.expressions import _Alike, _column, _integrals, _settled, by_pattern, kernel_integrals, on, parse, show, symbols, with_constants
 from ..functions.notation import filled
 
 #: Parameters of the templates: width of a boundary layer, base frequency, band width, terms and scale of a series, distance to a
@@ -152,8 +152,10 @@ def series_text(f: str, lam: float, a: float, b: float, separable: bool) -> str
 
     first = over(np.cos if separable else lambda t: t)
     second = over(lambda t: np.cos(t) * np.sin(t)) if separable else None if first is None else first * (b**3 - a**3) / 3
-    if first is None or second is None:
-        return None
+    return None if first is None or second is None else _series_words(tree, first, second, lam, a, b, separable)
+
+
+def _series_words(tree, first: float, second: float, lam: float, a: float, b: float, separable: bool) -> str:
     if separable:
         factors = ((lam * first, "sin(x)"), (lam**2 * second, "sin(x)"), (lam**3 * first / 2, "sin(x)*cos(x)"))
     else:
@@ -161,7 +163,23 @@ def series_text(f: str, lam: float, a: float, b: float, separable: bool) -> str
     return show(tree) + "".join(f" {'-' if c < 0 else '+'} {abs(c):.15g}*{g}" for c, g in factors)
 
 
-_series = _column(T.StringType(), series_text)
+def _series_of_each(f: _Alike, lam, a, b, separable, rows):
+    if f.free() - {"x"}:
+        return None
+    out: list = [None] * len(rows)
+    for kind in (True, False):
+        own = np.flatnonzero(separable == kind)
+        if not len(own):
+            continue
+        over = lambda weight: _settled(lambda at, t: weight(t) * f.on(own[at], x=t), a[None, own], b[None, own], own)  # noqa: B023, E731
+        first = over(np.cos if kind else lambda t: t)
+        second = over(lambda t: np.cos(t) * np.sin(t)) if kind else first * (b[own] ** 3 - a[own] ** 3) / 3
+        for k, p, q in zip(own, first.tolist(), second.tolist(), strict=True):
+            out[k] = None if np.isnan(p) or np.isnan(q) else _series_words(parse(rows[k][0]), p, q, *rows[k][1:])
+    return out
+
+
+_series = _column(T.StringType(), series_text, by_pattern(_series_of_each, 0))
 
 
 def six_digits(c: Column) -> Column:
@@ -363,7 +381,20 @@ def _sampled(kernel, f, lam, a, b):
     return None if found is None else json.dumps(found)
 
 
-_samples_text = _column(T.StringType(), _sampled)
+def _samples_of_each(kernel: _Alike, f: _Alike, lam, a, b, rows):
+    import json
+
+    if kernel.free() - {"x", "t"} or f.free() - {"x"}:
+        return None
+    start = np.where([("/ (x*t)" in row[0]) & (row[3] <= 0 <= row[4]) for row in rows], 0.1, a)
+    x = np.linspace(start, b, SAMPLES, axis=1)
+    inner = kernel_integrals(kernel, f, start, b, x, [(*row[:2], *row[3:]) for row in rows])
+    u = f.on(np.arange(len(rows))[:, None], x=x) + lam[:, None] * inner
+    lost = np.isnan(inner).any(axis=1)
+    return [None if none else json.dumps({"x_values": p, "u_values": q, "n_points": SAMPLES}) for p, q, none in zip(x.tolist(), u.tolist(), lost, strict=True)]
+
+
+_samples_text = _column(T.StringType(), _sampled, by_pattern(_samples_of_each, 0, 1, most=1024))
 
 
 def with_sample_points(rows: DataFrame) -> DataFrame:

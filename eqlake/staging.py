@@ -23,6 +23,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root}/eqlake/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores: few bytes but much work a row need more tasks than their size asks for."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 #: Paths of the tables that ``written`` made and that still stand, by application.
 _standing: dict[str, list[str]] = {}
 
