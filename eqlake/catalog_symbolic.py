@@ -9,7 +9,7 @@ from .catalog import by_case, query
 from .functions import canonical, latex, notation
 from .functions import expressions as X
 from .plans import routing, scoring
-from .staging import written
+from .staging import spread, written
 
 
 PAIRS = (
@@ -101,7 +101,7 @@ def integral_values(t, spark):
     """Definite integrals by quadrature, and by their canonical form, which has no integral left where a rule works it out."""
     e, x = by_case(F.col("p_partkey"), [i[0] for i in INTEGRALS]), F.col("p_size") / 50
     form = canonical.canonical_text(e, F.lit("infix"))
-    return t("part").select("p_partkey", F.round(X.value_at(e, x), 6).alias("value"), F.round(X.value_at(form, x), 6).alias("canonical_value"), (~form.contains("Integral")).alias("worked_out"))
+    return spread(t("part").select("p_partkey", "p_size")).select("p_partkey", F.round(X.value_at(e, x), 6).alias("value"), F.round(X.value_at(form, x), 6).alias("canonical_value"), (~form.contains("Integral")).alias("worked_out"))
 
 
 def routed_items(t) -> DataFrame:
