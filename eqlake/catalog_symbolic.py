@@ -80,7 +80,7 @@ def latex_readings(t, spark):
     text = by_case(F.col("p_partkey"), [x[0] for x in TEXTS])
     (how,) = latex.states(text)
     infix = X.convert(text, F.lit("latex"), F.lit("infix"))
-    return t("part").select("p_partkey", how.alias("state"), (F.round(X.value_at(infix, F.lit(1.0)), 4) + 0.0).alias("at_one"))
+    return spread(t("part").select("p_partkey")).select("p_partkey", how.alias("state"), (F.round(X.value_at(infix, F.lit(1.0)), 4) + 0.0).alias("at_one"))
 
 
 INTEGRALS = (
