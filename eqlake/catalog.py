@@ -13,6 +13,7 @@ from .functions import responses as A
 from .operators import calls, generators
 from .operators import relational as R
 from .plans import scoring, solvers
+from .staging import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -272,7 +273,7 @@ def notation_convert(t, spark):
 def equations(t) -> DataFrame:
     """An equation a part, with a lambda of its own: kernel x t on [0, 1], f = size x; so u = 3 f / (3 - lambda)."""
     f = F.concat(F.col("p_size").cast("string"), F.lit("*x"))
-    return t("part").select("p_partkey", "p_brand", F.lit("x*t").alias("kernel"), f.alias("f"), ((F.col("p_partkey") % 20011 + 1) / 25000).alias("lam"), F.lit(0.0).alias("a"), F.lit(1.0).alias("b"))
+    return spread(t("part").select("p_partkey", "p_brand", "p_size")).select("p_partkey", "p_brand", F.lit("x*t").alias("kernel"), f.alias("f"), ((F.col("p_partkey") % 20011 + 1) / 25000).alias("lam"), F.lit(0.0).alias("a"), F.lit(1.0).alias("b"))
 
 
 @query("SELECT p_partkey, round(p_size * 3 / (3 - (p_partkey % 20011 + 1) / 25000.0::DOUBLE), 6) AS at_one FROM part")
