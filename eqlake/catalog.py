@@ -522,7 +522,7 @@ def file_notations(t, spark):
 def varied_equations(t, spark):
     """Four kernels on three domains, with what is known of their solutions."""
     g, s = F.col("p_partkey") % 4, F.col("p_size").cast("string")
-    e = t("part").select(
+    e = spread(t("part").select("p_partkey", "p_size")).select(
         "p_partkey", F.when(g == 0, "x*t").when(g == 1, "1").when(g == 2, "x**2*t**2").otherwise("exp(x - t)").alias("kernel"),
         F.when(g == 0, F.concat(s, F.lit("*x"))).when(g == 1, s).when(g == 2, F.concat(s, F.lit("*x**2"))).otherwise(F.concat(s, F.lit("*exp(x)"))).alias("f"),
         ((F.col("p_partkey") % 20011 + 1) / 100000).alias("lam"), F.when(g == 1, -1.0).otherwise(0.0).alias("a"), F.lit(1.0).alias("b"),
