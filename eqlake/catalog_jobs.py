@@ -148,7 +148,7 @@ VARIANTS = (
 def strategy_texts(t, spark):
     """Kernels and right sides of every variant over all equations; null where they differ from row to row."""
     k = F.col("p_partkey").cast("string")
-    e = t("part").select(F.concat(k, F.lit("*x + 1")).alias("f"), F.concat(k, F.lit("*x")).alias("u"), F.lit(0.5).alias("lambda_val"), F.lit(0.0).alias("a"), (1 + F.col("p_partkey") / 1000).alias("b"))
+    e = spread(t("part").select("p_partkey")).select(F.concat(k, F.lit("*x + 1")).alias("f"), F.concat(k, F.lit("*x")).alias("u"), F.lit(0.5).alias("lambda_val"), F.lit(0.0).alias("a"), (1 + F.col("p_partkey") / 1000).alias("b"))
     rows = generators.augmented(e, *generators.GROUPS)
     same = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).alias(c)
     return rows.groupBy(F.col("augmentation_variant").alias("variant")).agg(F.count("*").alias("n"), same("kernel"), same("f"))
