@@ -36,7 +36,7 @@ def symbolic_pairs(t, spark):
     """Pairs of texts that are equal by an identity, differ where points don't look at first, or can't be told."""
     k = F.col("p_partkey")
     one, other = (by_case(k, [p[side] for p in PAIRS]) for side in (0, 1))
-    return t("part").select("p_partkey", canonical.comparison(one, other).alias("state"))
+    return spread(t("part").select("p_partkey")).select("p_partkey", canonical.comparison(one, other).alias("state"))
 
 
 @query(
