@@ -78,7 +78,7 @@ def series_arithmetic(t, spark):
     one = F.lit("1 + 2*x + x**2 + O(x**3)")
     other = F.concat(k, F.lit("*x + x**2 + O(x**5)"))
     total = series.series_sum(F.lit("1 + O(x**2)"), other)
-    return t("part").select("p_partkey", total.alias("total"), series.series_product(one, other).alias("product"), series.polynomial(one).alias("polynomial"))
+    return spread(t("part").select("p_partkey")).select("p_partkey", total.alias("total"), series.series_product(one, other).alias("product"), series.polynomial(one).alias("polynomial"))
 
 
 @query("""WITH b AS (SELECT p_brand, count(*) AS k, 0.003::DOUBLE * max(p_size) AS l FROM part GROUP BY 1), g AS (SELECT *, 0.5 AS x FROM b),
