@@ -115,18 +115,29 @@ def unseen(df: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
 def nearest(left: DataFrame, right: DataFrame, key: str, x: str, y: str, tolerance: float) -> DataFrame:
     """Every row of ``left`` with the nearest ``y`` of ``right`` by ``x``, closer than ``tolerance``, or null.
 
-    Bands of that width make an equi-join of it: what is closer lies in a row's band or a
-    neighbouring one. Of equally near ones the lesser x wins. Repeated rows repeat.
+    Bands of that width: what is closer is the next row of ``right`` on either side in a row's own band, the last of the band
+    below or the first of the band above. So rows are put in order within bands and no pairs are made. Of equally near ones the
+    lesser x wins, and of equal x the least y. Repeated rows repeat.
     """
-    band = F.floor(F.col(x) / tolerance)
-    wide = right.select(F.col(key).alias("_key"), F.col(x).alias("_x"), F.col(y).alias("_y"), F.explode(F.array(band - 1, band, band + 1)).alias("_band"))
-    rows = left.withColumn("_spot", band)
-    gap = F.abs(F.col("_x") - F.col(x))
-    # equal rows have the same answer, so each is joined once and its count goes along
-    each = rows.groupBy(*rows.columns).agg(F.count("*").alias("_times"))
-    joined = each.join(wide, (F.col(key) == F.col("_key")) & (F.col("_spot") == F.col("_band")) & (gap < tolerance), "left")
-    found = joined.groupBy(*rows.columns, "_times").agg(F.min_by("_y", F.when(F.col("_x").isNotNull(), F.struct(gap, F.col("_x")))).alias("nearest_y"))
-    return found.select(*left.columns, "nearest_y", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_again")).drop("_again")
+    spot = lambda c: F.floor(c / tolerance)
+    there = F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))
+    points = right.where(F.col(key).isNotNull() & there).groupBy(F.col(key).alias("_key"), F.col(x).alias("_x")).agg(F.min(y).alias("_y")).withColumn("_band", spot(F.col("_x")))
+    point = F.struct("_x", "_y")
+    ends = points.groupBy("_key", "_band").agg(F.min(point).alias("_first"), F.max(point).alias("_last"))
+    moved = lambda by, c: ends.select("_key", (F.col("_band") + by).alias("_band"), F.col(c))
+    beside = moved(1, "_last").join(moved(-1, "_first"), ["_key", "_band"], "full")
+    placeable = F.col(key).isNotNull() & there
+    rows = left.where(placeable).select(F.struct(*left.columns).alias("_row"), F.col(key).alias("_key"), F.col(x).alias("_x"), spot(F.col(x)).alias("_band"), F.lit(None).cast(points.select(point.alias("p")).schema["p"].dataType).alias("_p"))
+    both = rows.unionByName(points.select(F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), "_key", "_x", "_band", point.alias("_p")))
+    order = Window.partitionBy("_key", "_band").orderBy("_x")
+    # rows of one x see its point on either side, whatever their order
+    upto, onward = order.rangeBetween(Window.unboundedPreceding, 0), Window.partitionBy("_key", "_band").orderBy(F.desc("_x")).rangeBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("_before", F.last("_p", True).over(upto)).withColumn("_after", F.last("_p", True).over(onward)).where(F.col("_row").isNotNull())
+    found = placed.join(beside, ["_key", "_band"], "left")
+    near = lambda c: F.when(F.abs(F.col(c)["_x"] - F.col("_x")) < tolerance, F.struct(F.abs(F.col(c)["_x"] - F.col("_x")).alias("gap"), F.col(c)["_x"].alias("x"), F.col(c)["_y"].alias("y")))
+    best = F.least(*map(near, ("_before", "_after", "_first", "_last")))
+    out = found.select("_row.*", best["y"].alias("nearest_y"))
+    return out.unionByName(left.where(~placeable).withColumn("nearest_y", F.lit(None).cast(out.schema["nearest_y"].dataType)))
 
 
 def running(df: DataFrame, key: str, amount: str, name: str, ranges: int = 1024) -> DataFrame:
