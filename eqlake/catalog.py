@@ -296,7 +296,7 @@ def residual_check(t, spark):
 @query("SELECT p_partkey, round(abs(p_size - p_retailprice), 6) AS max_error FROM part")
 def grid_max_error(t, spark):
     pred, truth = (F.concat(F.col(c).cast("string"), F.lit("*x")) for c in ("p_size", "p_retailprice"))
-    return t("part").select("p_partkey", F.round(X.max_error(pred, truth, F.lit(0.0), F.lit(1.0)), 6).alias("max_error"))
+    return spread(t("part").select("p_partkey", "p_size", "p_retailprice")).select("p_partkey", F.round(X.max_error(pred, truth, F.lit(0.0), F.lit(1.0)), 6).alias("max_error"))
 
 
 @query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 0.333333 WHEN 1 THEN 1.0 ELSE 0.0 END AS op_precision, CASE p_partkey % 3 WHEN 2 THEN 0.0 ELSE 1.0 END AS op_recall, CASE p_partkey % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 ELSE 0.0 END AS op_f1 FROM part")
