@@ -478,7 +478,7 @@ STRATEGY_ROWS = ", ".join(
 @query(f"""SELECT augmentation_type, variant, kind AS solution_type, count(*) AS n, round(sum(lam), 6) AS lambda_sum, count(*) FILTER (no_u) AS n_without_u FROM (SELECT p_size::DOUBLE AS b, 0.0::DOUBLE AS a, p_retailprice / 1000 AS l FROM part) e,
   LATERAL (VALUES {STRATEGY_ROWS}) v(augmentation_type, kind, variant, lam, no_u) GROUP BY ALL""")
 def augment_strategies(t, spark):
-    e = t("part").select(F.lit(0.0).alias("a"), F.col("p_size").cast("double").alias("b"), (F.col("p_retailprice") / 1000).alias("lambda_val"), F.lit("x").alias("f"), F.lit("x**2").alias("u"))
+    e = spread(t("part").select("p_size", "p_retailprice")).select(F.lit(0.0).alias("a"), F.col("p_size").cast("double").alias("b"), (F.col("p_retailprice") / 1000).alias("lambda_val"), F.lit("x").alias("f"), F.lit("x**2").alias("u"))
     out = generators.augmented(e, *generators.GROUPS)
     return out.groupBy("augmentation_type", F.col("augmentation_variant").alias("variant"), "solution_type").agg(F.count("*").alias("n"), F.round(F.sum("lambda_val"), 6).alias("lambda_sum"), F.count_if(F.col("u") == "").alias("n_without_u"))
 
