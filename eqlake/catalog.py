@@ -266,7 +266,7 @@ CONVERTED = (
 
 @query("SELECT p_partkey, " + ", ".join(f"{sql_case([c[n] for c in CONVERTED])} AS {name}" for n, name in enumerate(("expr", "rpn", "latex", "python"))) + " FROM part")
 def notation_convert(t, spark):
-    e = t("part").select("p_partkey", by_case(F.col("p_partkey"), [c[0] for c in CONVERTED]).alias("expr"))
+    e = spread(t("part").select("p_partkey")).select("p_partkey", by_case(F.col("p_partkey"), [c[0] for c in CONVERTED]).alias("expr"))
     return e.select("p_partkey", "expr", *(X.convert("expr", F.lit("infix"), F.lit(k)).alias(k) for k in ("rpn", "latex", "python")))
 
 
