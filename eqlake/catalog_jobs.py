@@ -68,7 +68,7 @@ RESPONSES = (
 def response_answers(t, spark):
     """Answers found in responses that label nothing, by their value at 1."""
     text = by_case(F.col("p_partkey"), [x[0] for x in RESPONSES])
-    return t("part").select("p_partkey", F.round(X.value_at(answers.answer_text(text), F.lit(1.0)), 4).alias("at_one"))
+    return spread(t("part").select("p_partkey")).select("p_partkey", F.round(X.value_at(answers.answer_text(text), F.lit(1.0)), 4).alias("at_one"))
 
 
 @query("""SELECT p_partkey, '1 + ' || (p_partkey + 2) || '*x + O(x**2)' AS total, (p_partkey + 2) || '*x + ' || (2 * (p_partkey + 2) + 1) || '*x**2 + ' || (p_partkey + 4) || '*x**3 + O(x**4)' AS product, '1 + 2*x + x**2' AS polynomial FROM part""")
