@@ -321,7 +321,7 @@ def responses(t) -> DataFrame:
     """A response an order: a labelled answer, prose, points, or a denial, by its key."""
     k = F.col("o_orderkey")
     s = k.cast("string")
-    return t("orders").select(
+    return spread(t("orders").select("o_orderkey")).select(
         "o_orderkey",
         F.when(k % 4 == 0, F.concat(F.lit("Step 1: integrate\nStep 2: solve\nHAS_SOLUTION: Yes\nSOLUTION: u(x) = "), s, F.lit("*x\nSOLUTION_TYPE: exact_symbolic")))
         .when(k % 4 == 1, F.concat(F.lit("Therefore, u(x) = $"), s, F.lit("*x + 1$.\nThat is all.")))
@@ -337,7 +337,7 @@ def responses(t) -> DataFrame:
 )
 def parse_responses(t, spark):
     a = responses(t).select("o_orderkey", A.answer(F.col("response")).alias("a"))
-    readable = X.convert("a.solution", F.lit("infix"), F.lit("rpn")).isNotNull()
+    readable = F.coalesce(X.readable("a.solution"), F.lit(False))
     return a.select(
         "o_orderkey", "a.solution", "a.has_solution", "a.solution_type", F.size("a.points").alias("n_points"), F.element_at("a.points", 2)["y"].alias("second_y"),
         F.substring_index("a.reasoning", "\n", 1).alias("first_step"), A.confidence(F.col("a"), readable).alias("confidence"),
