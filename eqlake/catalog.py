@@ -414,7 +414,7 @@ def predictions(t) -> DataFrame:
     points = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.struct((i / 4).alias("x"), i.cast("double").alias("y")))
     said = F.transform(points, lambda p: F.struct(p["x"].alias("x"), F.when(even | (p["y"] == 4), p["y"]).otherwise(p["y"] + 0.5).alias("y")))
     pick = lambda **by: F.coalesce(*(F.when(kind == name, c) for name, c in by.items()))
-    return t("part").select(
+    return spread(t("part").select("p_partkey", "p_size")).select(
         k.alias("equation_id"),
         kind.alias("ground_truth_solution_type"),
         F.when((kind == "regularized") & (k % 3 == 1), "series").otherwise(kind).alias("solution_type"),
