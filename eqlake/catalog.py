@@ -495,7 +495,7 @@ def augment_to_size(t, spark):
 
 @query("SELECT p_partkey, 53 AS n_points, round(p_size * (SELECT sum(y * y) FROM (SELECT i / 49.0 AS y FROM range(50) r(i) UNION ALL SELECT unnest([0.5, 0.1, 0.9]))) + 53 * 1, 6) AS u_sum FROM part")
 def evaluation_points(t, spark):
-    e = t("part").select("p_partkey", F.concat(F.col("p_size").cast("string"), F.lit("*x**2 + 1")).alias("u"), F.lit(0.0).alias("a"), F.lit(1.0).alias("b"), F.lit(True).alias("has_solution"), F.lit("exact_symbolic").alias("solution_type"))
+    e = spread(t("part").select("p_partkey", "p_size")).select("p_partkey", F.concat(F.col("p_size").cast("string"), F.lit("*x**2 + 1")).alias("u"), F.lit(0.0).alias("a"), F.lit(1.0).alias("b"), F.lit(True).alias("has_solution"), F.lit("exact_symbolic").alias("solution_type"))
     p = generators.with_evaluation_points(e).select("p_partkey", "evaluation_points.n_points", F.aggregate("evaluation_points.u_values", F.lit(0.0), lambda s, v: s + v).alias("s"))
     return p.select("p_partkey", "n_points", F.round("s", 6).alias("u_sum"))
 
