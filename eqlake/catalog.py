@@ -488,7 +488,7 @@ SELECT origin, count(*) AS n, min(p_partkey) AS first_key, max(p_partkey) AS las
   UNION ALL SELECT 'family', p_partkey FROM g, range(2) WHERE ahead < wanted UNION ALL SELECT 'none', p_partkey FROM g, range(11) WHERE ahead + 2 < wanted) GROUP BY 1""")
 def augment_to_size(t, spark):
     """Two rows of an equation for families, then eleven without a solution, until there are half as many again as originals."""
-    e = t("part").select("p_partkey", F.lit(0.0).alias("a"), F.lit(1.0).alias("b"), F.lit(0.5).alias("lambda_val"), F.lit("x").alias("f"), F.lit("x").alias("u"))
+    e = spread(t("part").select("p_partkey")).select("p_partkey", F.lit(0.0).alias("a"), F.lit(1.0).alias("b"), F.lit(0.5).alias("lambda_val"), F.lit("x").alias("f"), F.lit("x").alias("u"))
     out = generators.augment_dataset(e, "p_partkey", ("family", "none_solution"), 1.5)
     return out.groupBy(F.when(F.col("augmented"), F.col("solution_type")).otherwise("original").alias("origin")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_key"), F.max("p_partkey").alias("last_key"))
 

@@ -147,8 +147,11 @@ def running(df: DataFrame, key: str, amount: str, name: str, ranges: int = 1024)
     """
     bounds = df.agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)]).alias("b")).first()["b"]
     cuts = sorted(set(bounds or ()))  # at most ``ranges`` numbers
-    of = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)) if cuts else F.array().cast("array<double>"), lambda c: c < F.col(key)))
-    rows = df.withColumn("_range", of)
+    # the cut is found among every 32nd first, then among the 32 from there
+    listed = lambda part: F.array(*map(F.lit, part)) if part else F.array().cast("array<double>")
+    below = lambda part: F.size(F.filter(part, lambda c: c < F.col(key)))
+    rows = df.withColumn("_block", below(listed(cuts[31::32])))
+    rows = rows.withColumn("_range", F.col("_block") * 32 + below(F.slice(listed(cuts), F.col("_block") * 32 + 1, F.lit(32)))).drop("_block")
     sums = rows.groupBy(F.col("_range").alias("_of")).agg(F.sum(amount).alias("_sum"))
     ahead = sums.select("_of", F.coalesce(F.sum("_sum").over(Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
     own = F.coalesce(F.sum(amount).over(Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
