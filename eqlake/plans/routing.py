@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import responses as A
-from ..functions.expressions import _column, solve
+from ..functions.expressions import TROUBLE, _column, solve, solved_together
 from ..functions.notation import _either, infix
 
 #: The types that are routed, and tolerances by type of the scoring that follows.
@@ -64,7 +64,37 @@ def _solve(kernel, f, lam, a, b):
     return f"{NOT_SOLVED}:" if found is None else f"{SOLVED}:{found}"
 
 
-_solved = _column(T.StringType(), _solve)
+def _solve_together(rows: list[tuple], alone) -> list:
+    """``_solve`` for many rows: each different text is read once, rows of one kernel are solved together."""
+
+    def text(t):
+        try:
+            return _either(t)
+        except TROUBLE:
+            return None
+
+    texts = {t: text(t) for t in {t for row in rows for t in row[:2]}}
+    out, places, given = [None] * len(rows), [], []
+    for k, (kernel, f, *numbers) in enumerate(rows):
+        if texts[kernel] is None or texts[f] is None:
+            out[k] = alone(rows[k])
+        else:
+            places.append(k)
+            given.append((texts[kernel], texts[f], *map(float, numbers)))
+    failed = object()
+
+    def one(row):
+        try:
+            return solve(*row)
+        except TROUBLE:
+            return failed
+
+    for k, found in zip(places, solved_together(given, one), strict=True):
+        out[k] = None if found is failed else f"{NOT_SOLVED}:" if found is None else f"{SOLVED}:{found}"
+    return out
+
+
+_solved = _column(T.StringType(), _solve, _solve_together)
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame:

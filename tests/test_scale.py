@@ -71,6 +71,13 @@ def test_conversion_by_pattern():
     assert X._converted_together(rows, alone(X._convert)) == [alone(X._convert)(r) for r in rows]
 
 
+def test_routed_equations_are_solved_together():
+    from eqlake.plans import routing
+
+    rows = [(k, f"{n}" + r" \cdot x", n / 10, 0.0, 1.0) for n in range(6) for k in (r"x \cdot t", r"\sin(x t)", r"\unknown{x}", "1")]
+    assert routing._solve_together(rows, alone(routing._solve)) == [routing._solve(*r) for r in rows]
+
+
 def test_quadrature_takes_rows_of_one_pattern_together(monkeypatch):
     calls = []
     monkeypatch.setattr(X, "_settled", lambda *a, f=X._settled: calls.append(len(a[3])) or f(*a))
