@@ -88,6 +88,7 @@ def test_quadrature_takes_rows_of_one_pattern_together(monkeypatch):
 def test_coefficients_that_differ_little_are_unequal():
     assert canonical.compare("1200002e-12*x", "1200002.5e-12*x") == canonical.UNEQUAL
     assert canonical.compare("7200013*x", "7200013*x + 1e-9") == canonical.UNDECIDED
+    assert canonical.compare("0.3333333*x", "x/3") == canonical.UNDECIDED
     assert canonical.compare("0.33333333333333*x", "x/3") == canonical.EQUAL
 
 
