@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import zlib
 from array import array
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -51,7 +52,6 @@ class Ids:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
@@ -64,7 +64,7 @@ class Ids:
         self.special = [s for s in special if s]
         self.size = max(vocab.values()) + 1
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         coder = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.encode = coder.encode_ordinary
@@ -72,6 +72,13 @@ class Ids:
         self.marks = {c: self.pack(self.encode(c)) for c in ".,;:!?"}
         self.chunks = self._cache()
 
+    @cached_property
+    def whole(self):
+        """The library's tokenizer, only where a text needs it: it takes as much memory as all the rest."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def pack(self, ids) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
@@ -131,19 +138,23 @@ def tokenized(documents: DataFrame, path: str) -> DataFrame:
 
         part, ids, sums = TaskContext.get().partitionId(), ids_of(path), {}
         size = ids.kind.itemsize
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                piece = batch.slice(at, 1000)
-                out = [ids.of(t) for t in piece.column(2).to_pylist()]
-                n = [len(x) // size for x in out]
-                names, before = piece.column(0).to_pylist(), []
-                for q, k in zip(names, n, strict=True):
-                    before.append(sums.get(q, 0))
-                    sums[q] = before[-1] + k
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * len(n), pa.int64()), piece.column(0), piece.column(1), pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.array(out, pa.binary())],
-                    names=["part", "queue", "doc_id", "before", "n", "ids"],
-                )
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1000):
+                    piece = batch.slice(at, 1000)
+                    out = [ids.of(t) for t in piece.column(2).to_pylist()]
+                    n = [len(x) // size for x in out]
+                    names, before = piece.column(0).to_pylist(), []
+                    for q, k in zip(names, n, strict=True):
+                        before.append(sums.get(q, 0))
+                        sums[q] = before[-1] + k
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([part] * len(n), pa.int64()), piece.column(0), piece.column(1), pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.array(out, pa.binary())],
+                        names=["part", "queue", "doc_id", "before", "n", "ids"],
+                    )
+        finally:
+            # the worker may wait long for its next task, or do other stages' work
+            ids.chunks.clear()
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = documents.select(queue.alias("queue"), "doc_id", "text")

@@ -262,3 +262,33 @@ def test_scratch_tables_can_go(spark):
     common.discard(df)
     with pytest.raises(Exception, match="(?i)path|file|exist"):
         common.spark_read = spark.read.parquet(df._eqlake_path).count()
+
+
+def test_waiting_workers_keep_no_pieces_of_texts(spark):
+    from eqlake.llm import packing
+
+    path = packing.tokenizer_path()
+    documents = spark.range(400).selectExpr("id doc_id", "concat('word', id, ' and letter', id * 7) text", "'s' source").repartition(4)
+    assert packing.tokenized(documents, path).agg(F.sum("n")).first()[0] > 400
+
+    def held(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            own = packing._ids.values()
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(x.chunks) for x in own)]), pa.array([sum("whole" in vars(x) for x in own)]), pa.array([len(own)])], names=["chunks", "whole", "loaded"])
+
+    most = spark.range(0, 64, 1, 64).mapInArrow(held, "chunks bigint, whole bigint, loaded bigint").agg(F.max("chunks"), F.max("whole"), F.max("loaded")).first()
+    assert tuple(most) == (0, 0, 1)
+
+
+def test_special_token_in_a_text_brings_the_library(spark):
+    from tokenizers import Tokenizer
+
+    from eqlake.llm import packing
+
+    path = packing.tokenizer_path()
+    ids, whole = packing.Ids(path), Tokenizer.from_file(path)
+    for text in ("plain words, and more", f"words {ids.special[0]} between" if ids.special else "words"):
+        assert ids.of(text) == ids.pack([*whole.encode(text, add_special_tokens=False).ids, packing.END])
+        assert ("whole" in vars(ids)) == any(s in text for s in ids.special)
