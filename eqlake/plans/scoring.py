@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.canonical import EQUAL, TOO_COMPLEX, compare, operations
 from ..functions.expressions import TROUBLE, bleu, errors, family_errors, operators, parse, residuals, show, symbols, with_constants
@@ -104,23 +106,40 @@ def score(kind, pred, truth, a, b, kernel, f, lam, stored, tolerance, points=100
     return out
 
 
-def _scores(frame: pd.DataFrame, points: int) -> list[dict]:
-    out, known = [], {}
-    for row in frame.itertuples(index=False):
-        texts = tuple(None if not isinstance(v, str) else v for v in (row.kind, row.pred, row.truth, row.kernel, row.f))
-        stored = row.stored if isinstance(row.stored, dict) else row.stored.asDict() if hasattr(row.stored, "asDict") else None
-        stored = stored and {k: None if v is None else [list(x) if hasattr(x, "__len__") else float(x) for x in v] for k, v in stored.items()}
-        key = (*texts, row.a, row.b, None if row.lam != row.lam else row.lam, row.tolerance, str(stored))
-        if key not in known:
-            kind, pred, truth, kernel, f = texts
-            try:
-                known[key] = score(kind, pred, truth, row.a, row.b, kernel, f, None if row.lam is None else float(row.lam), stored, row.tolerance, points) if pred and truth else {}
-            except RecursionError:
-                known[key] = {"status": TOO_COMPLEX}
-            except TROUBLE:
-                known[key] = {"readable": False, "status": UNREADABLE}
-        out.append(known[key])
-    return out
+#: Scores that a worker has found, over batches and tasks, as different rows are few where models answer one benchmark; forgotten before a batch if there are more than KNOWN.
+_known: dict[tuple, dict] = {}
+KNOWN = 5_000
+
+
+def _number(v) -> float:
+    return math.nan if v is None else float(v)
+
+
+def _scores(given: pa.Array, points: int, form: pa.DataType) -> pa.Array:
+    """An Arrow array of ``given`` rows as one of their scores: different rows are scored and converted once, the others refer to them."""
+    known = _known
+    if len(known) > KNOWN:
+        known.clear()
+    columns = {given.type.field(k).name: c.to_pylist() for k, c in enumerate(given.flatten())}
+    places: dict[tuple, int] = {}
+    at, different = np.empty(len(given), np.int64), []
+    names = ("kind", "pred", "truth", "kernel", "f", "a", "b", "lam", "tolerance", "stored")
+    for row, (*texts, a, b, lam, tolerance, stored) in enumerate(zip(*(columns[c] for c in names), strict=True)):
+        stored = _received(stored)
+        key = (points, *texts, a, b, None if lam != lam else lam, tolerance, str(stored))
+        if key not in places:
+            places[key] = len(different)
+            if key not in known:
+                kind, pred, truth, kernel, f = texts
+                try:
+                    known[key] = score(kind, pred, truth, _number(a), _number(b), kernel, f, _number(lam), stored, _number(tolerance), points) if pred and truth else {}
+                except RecursionError:
+                    known[key] = {"status": TOO_COMPLEX}
+                except TROUBLE:
+                    known[key] = {"readable": False, "status": UNREADABLE}
+            different.append(known[key])
+        at[row] = places[key]
+    return pa.array(different, form).take(pa.array(at))
 
 
 def of(df: DataFrame, name: str, kind: str) -> Column:
@@ -131,6 +150,21 @@ POINTS = "array<struct<x: double, y: double>>"
 STORED = "struct<x_values: array<double>, u_values: array<double>, u_values_samples: array<array<double>>, constant_samples: array<double>>"
 
 
+def sent_lists(stored: Column) -> Column:
+    """``stored`` for Python with empty lists and flags in place of nulls: null lists make Spark's Arrow writer pass over all rows of a batch for each row."""
+    fields = T.StructType.fromDDL(f"v {STORED}")["v"].dataType.fields
+    lists = [F.coalesce(stored[f.name], F.array().cast(f.dataType)).alias(f.name) for f in fields]
+    return F.struct(stored.isNull().alias("none"), F.array(*(stored[f.name].isNull() for f in fields)).alias("nulls"), *lists)
+
+
+def _received(sent: dict | None) -> dict | None:
+    """What ``sent_lists`` was given; null numbers are NaN."""
+    if sent is None or sent["none"]:
+        return None
+    lists = [(k, v) for k, v in sent.items() if k not in ("none", "nulls")]
+    return {k: None if null else [[_number(y) for y in x] if isinstance(x, list) else _number(x) for x in v] for (k, v), null in zip(lists, sent["nulls"], strict=True)}
+
+
 def scored(results: DataFrame, tolerance: float = 1e-6, type_tolerances: dict[str, float] | None = None, points: int = 100) -> DataFrame:
     """``results`` with ``kind``, ``evaluated``, ``correct``, ``status`` and the scores of its type; a column that is missing counts as null.
 
@@ -152,7 +186,8 @@ def scored(results: DataFrame, tolerance: float = 1e-6, type_tolerances: dict[st
     failed = F.coalesce(of(results, "api_error", "boolean"), F.lit(False))
     texts = kinds.isin("none", "regularized") | failed
     text = lambda c: F.when(~F.coalesce(texts, F.lit(False)), F.nullif(of(results, c, "string"), F.lit("")))
-    stored = of(results, "evaluation_points", STORED) if "evaluation_points" in results.columns and isinstance(results.schema["evaluation_points"].dataType, T.StructType) else F.lit(None).cast(STORED)
+    held = "evaluation_points" in results.columns and isinstance(results.schema["evaluation_points"].dataType, T.StructType)
+    stored = sent_lists(of(results, "evaluation_points", STORED)) if held else F.lit(None).cast("string")
     given = F.struct(
         kinds.alias("kind"), text("solution_str").alias("pred"), text("ground_truth").alias("truth"),
         F.coalesce(F.get(domain, F.lit(0)), F.lit(0.0)).alias("a"), F.coalesce(F.get(domain, F.lit(1)), F.lit(1.0)).alias("b"),
@@ -160,17 +195,19 @@ def scored(results: DataFrame, tolerance: float = 1e-6, type_tolerances: dict[st
         stored.alias("stored"), limit.cast("double").alias("tolerance"),
     )
 
-    @F.pandas_udf(SCORES)
-    def computed(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = _scores(frame, points)
-        names = ("symbolic", "numeric", "op_precision", "op_recall", "op_f1", "bleu", "series_terms", "series", "coef", "family", "residual", "readable", "status")
-        return pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
+    form = to_arrow_type(T.StructType.fromDDL(SCORES))
+
+    @F.arrow_udf(SCORES)
+    def computed(rows: pa.Array) -> pa.Array:
+        return _scores(rows, points, form)
 
     ship(results.sparkSession)
     out = results.withColumn("_scores", computed(given))
     pred, truth = of(results, "pred_points", POINTS), of(results, "gt_points", POINTS)
     listed = F.coalesce((kinds == "discrete_points") & pred.isNotNull() & truth.isNotNull(), F.lit(False))
-    met = F.when(listed & ~failed, point_scores(pred, truth, y_tolerance=tolerance))
+    # a column of its own, so that lists are matched once a row and not for each value that is taken from it
+    out = out.withColumn("_met", F.when(listed & ~failed, point_scores(pred, truth, y_tolerance=tolerance)))
+    met = F.col("_met")
     says, type_said = of(results, "has_solution", "boolean"), of(results, "solution_type", "string")
     s = F.col("_scores")
     read = F.coalesce(s["readable"], F.lit(False))

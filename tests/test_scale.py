@@ -122,3 +122,19 @@ def test_ranges_of_running_sums(spark):
     for k in range(5_000):
         assert out[k * 3] == total
         total += k % 5
+
+
+def test_null_lists_are_not_sent_to_python(spark, sf_dir):
+    plan = catalog.QUERIES["score_report"](spark, sf_dir)._jdf.queryExecution().optimizedPlan()
+    assert "ArrowEvalPython" in plan.toJSON() and "u_values_samples" not in plan.toJSON()
+
+
+def test_stored_points_arrive_as_given(spark):
+    from eqlake.plans import scoring
+
+    rows = [(None,), (([0.0, 1.0], None, [], None),), (([], [None, 2.0], [[1.0], []], [0.5]),)]
+    out = spark.createDataFrame(rows, f"v {scoring.STORED}").select(scoring.sent_lists(F.col("v")).alias("s"))
+    assert out.where("s is null or s.x_values is null or s.u_values is null or s.u_values_samples is null or s.constant_samples is null").count() == 0
+    have = [scoring._received(r) for r in out.toArrow()["s"].to_pylist()]
+    assert have[0] is None and have[1] == {"x_values": [0.0, 1.0], "u_values": None, "u_values_samples": [], "constant_samples": None}
+    assert have[2]["u_values"][0] != have[2]["u_values"][0] and have[2]["u_values_samples"] == [[1.0], []] and have[2]["constant_samples"] == [0.5]
