@@ -175,19 +175,25 @@ def point_scores(pred: Column, truth: Column, x_tolerance: float = 1e-3, y_toler
     """
     none = F.array().cast("array<struct<x: double, y: double>>")
     p, q = F.coalesce(pred, none), F.coalesce(truth, none)
+
+    def met(n: Column) -> Column:
+        offs = n["offs"]
+        matched = F.size(F.filter(offs, lambda d: d < y_tolerance))
+        return F.struct(
+            ((matched > 0) & (matched >= n["n_pred"] * share)).alias("match"),
+            matched.alias("matched_points"),
+            n["n_pred"].alias("total_points_pred"),
+            n["n_truth"].alias("total_points_gt"),
+            F.coalesce(matched / F.nullif(n["n_pred"], F.lit(0)), F.lit(0.0)).alias("accuracy"),
+            F.coalesce(F.array_max(offs), F.lit(float("inf"))).alias("max_error"),
+            mean(offs).alias("mae"),
+            F.sqrt(mean(F.transform(offs, lambda d: d * d))).alias("rmse"),
+        )
+
     near = F.transform(p, lambda s: F.struct(s["y"].alias("y"), F.array_min(F.transform(q, lambda g, i: F.struct(F.abs(g["x"] - s["x"]).alias("d"), i.alias("i"), g["y"].alias("y")))).alias("g")))
     offs = F.array_compact(F.transform(near, lambda n: F.when(n["g"]["d"] < x_tolerance, F.abs(n["g"]["y"] - n["y"]))))
-    matched = F.size(F.filter(offs, lambda d: d < y_tolerance))
-    return F.struct(
-        ((matched > 0) & (matched >= F.size(p) * share)).alias("match"),
-        matched.alias("matched_points"),
-        F.size(p).alias("total_points_pred"),
-        F.size(q).alias("total_points_gt"),
-        F.coalesce(matched / F.nullif(F.size(p), F.lit(0)), F.lit(0.0)).alias("accuracy"),
-        F.coalesce(F.array_max(offs), F.lit(float("inf"))).alias("max_error"),
-        mean(offs).alias("mae"),
-        F.sqrt(mean(F.transform(offs, lambda d: d * d))).alias("rmse"),
-    )
+    # in a list of one, as what a lambda takes is computed once, and not for each value that is taken from it
+    return F.get(F.transform(F.array(F.struct(offs.alias("offs"), F.size(p).alias("n_pred"), F.size(q).alias("n_truth"))), met), F.lit(0))
 
 
 def checked(equations: DataFrame, rules: dict[str, Column] | None = None) -> DataFrame:

@@ -115,30 +115,47 @@ def _number(v) -> float:
     return math.nan if v is None else float(v)
 
 
+def _numbered(column: pa.Array) -> np.ndarray:
+    """A number for each value, the same for equal ones; only rows that have stored lists are looked at in Python."""
+    if not pa.types.is_struct(column.type):
+        return column.dictionary_encode(null_encoding="encode").indices.to_numpy()
+    none = column.flatten()[column.type.get_field_index("none")].fill_null(True)
+    rows, found = np.flatnonzero(~none.to_numpy(zero_copy_only=False)), {}
+    out = np.zeros(len(column), np.int64)
+    out[rows] = [found.setdefault(str(v), len(found) + 1) for v in column.take(pa.array(rows)).to_pylist()]
+    return out
+
+
+def _places(given: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(first, at): the first row of each different one of ``given``, and which of these each row is; no Python a row."""
+    at = np.zeros(len(given), np.int64)
+    for column in given.flatten():
+        own = _numbered(column)
+        if len(own) and (own != own[0]).any():
+            at = np.unique(at * (int(own.max()) + 1) + own, return_inverse=True)[1]
+    _, first, at = np.unique(at, return_index=True, return_inverse=True)
+    return first, at
+
+
 def _scores(given: pa.Array, points: int, form: pa.DataType) -> pa.Array:
     """An Arrow array of ``given`` rows as one of their scores: different rows are scored and converted once, the others refer to them."""
     known = _known
     if len(known) > KNOWN:
         known.clear()
-    columns = {given.type.field(k).name: c.to_pylist() for k, c in enumerate(given.flatten())}
-    places: dict[tuple, int] = {}
-    at, different = np.empty(len(given), np.int64), []
-    names = ("kind", "pred", "truth", "kernel", "f", "a", "b", "lam", "tolerance", "stored")
-    for row, (*texts, a, b, lam, tolerance, stored) in enumerate(zip(*(columns[c] for c in names), strict=True)):
+    first, at = _places(given)
+    different = []
+    for row in given.take(pa.array(first)).to_pylist():
+        kind, pred, truth, kernel, f, a, b, lam, tolerance, stored = (row[c] for c in ("kind", "pred", "truth", "kernel", "f", "a", "b", "lam", "tolerance", "stored"))
         stored = _received(stored)
-        key = (points, *texts, a, b, None if lam != lam else lam, tolerance, str(stored))
-        if key not in places:
-            places[key] = len(different)
-            if key not in known:
-                kind, pred, truth, kernel, f = texts
-                try:
-                    known[key] = score(kind, pred, truth, _number(a), _number(b), kernel, f, _number(lam), stored, _number(tolerance), points) if pred and truth else {}
-                except RecursionError:
-                    known[key] = {"status": TOO_COMPLEX}
-                except TROUBLE:
-                    known[key] = {"readable": False, "status": UNREADABLE}
-            different.append(known[key])
-        at[row] = places[key]
+        key = (points, kind, pred, truth, kernel, f, a, b, None if lam != lam else lam, tolerance, str(stored))
+        if key not in known:
+            try:
+                known[key] = score(kind, pred, truth, _number(a), _number(b), kernel, f, _number(lam), stored, _number(tolerance), points) if pred and truth else {}
+            except RecursionError:
+                known[key] = {"status": TOO_COMPLEX}
+            except TROUBLE:
+                known[key] = {"readable": False, "status": UNREADABLE}
+        different.append(known[key])
     return pa.array(different, form).take(pa.array(at))
 
 

@@ -138,3 +138,32 @@ def test_stored_points_arrive_as_given(spark):
     have = [scoring._received(r) for r in out.toArrow()["s"].to_pylist()]
     assert have[0] is None and have[1] == {"x_values": [0.0, 1.0], "u_values": None, "u_values_samples": [], "constant_samples": None}
     assert have[2]["u_values"][0] != have[2]["u_values"][0] and have[2]["u_values_samples"] == [[1.0], []] and have[2]["constant_samples"] == [0.5]
+
+
+def test_rows_that_repeat_are_not_looked_at_one_by_one(monkeypatch):
+    import pyarrow as pa
+
+    from eqlake.plans import scoring
+
+    seen = []
+    monkeypatch.setattr(scoring, "_received", lambda v, f=scoring._received: seen.append(v) or f(v))
+    monkeypatch.setattr(scoring, "_known", {})
+    lists = {"none": False, "nulls": [False, False, True, True], "x_values": [0.0, 1.0], "u_values": [0.0, 2.0], "u_values_samples": [], "constant_samples": []}
+    base = {"kind": "exact_symbolic", "pred": "2*x", "truth": "x*2", "a": 0.0, "b": 1.0, "kernel": None, "f": None, "lam": None, "stored": None, "tolerance": 1e-6}
+    # rows alike in all but one column, null and NaN among them
+    odd = [{}, {"pred": "3*x"}, {"pred": None}, {"truth": "3*x"}, {"kind": None}, {"b": 2.0}, {"lam": float("nan")}, {"tolerance": 2.0}, {"pred": "x + ("}, {"stored": lists}, {"stored": lists | {"u_values": [0.0, 3.0]}}]
+    rows = [base | {"stored": {"none": True, "nulls": [], "x_values": [], "u_values": [], "u_values_samples": [], "constant_samples": []}} | odd[k * k % 13 % len(odd)] for k in range(5_000)]
+    numbers = pa.list_(pa.float64())
+    stored = pa.struct({"none": pa.bool_(), "nulls": pa.list_(pa.bool_()), "x_values": numbers, "u_values": numbers, "u_values_samples": pa.list_(numbers), "constant_samples": numbers})
+    given = pa.array(rows, pa.struct({c: stored if c == "stored" else pa.float64() if c in ("a", "b", "lam", "tolerance") else pa.string() for c in base}))
+    form = pa.struct({"readable": pa.bool_(), "symbolic": pa.bool_(), "status": pa.string(), "numeric": pa.struct({"max_error": pa.float64(), "match": pa.bool_()})})
+    have = scoring._scores(given, 100, form)
+    assert len(seen) <= len(odd)
+    assert have == pa.concat_arrays([scoring._scores(given[k : k + 1], 100, form) for k in range(len(rows))])
+
+
+def test_points_are_matched_once_for_all_that_is_told_of_them(spark):
+    from eqlake.functions.terms import point_scores
+
+    plan = spark.sql("SELECT array(struct(0D x, 1D y)) p, array(struct(id * 1D x, 1D y)) q FROM range(1)").select(point_scores(F.col("p"), F.col("q")).alias("m"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_min") == 1
