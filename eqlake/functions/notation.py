@@ -61,13 +61,25 @@ def _either(text):
 infix = _column(T.StringType(), lambda text: None if _scrambled(text) else _either(text))
 
 
-def _scrambled(text) -> bool:
-    tree = parse(text, "latex") if "\\" in text else parse(text)
+#: Letters of a product from which on it is a word.
+LETTERS = 4
+
 
-    def letters(t):
-        return letters(t[1]) + letters(t[2]) if t[0] == "*" else int(t[0] == "sym" and len(t[1]) == 1)
+def product_of_letters(tree) -> bool:
+    """Whether a tree is a product of so many single letters that it is a word."""
+    count, todo = 0, [tree]
+    while todo:  # a long product is nested deeper than calls can be
+        part = todo.pop()
+        if part[0] == "*":
+            todo += part[1:]
+        else:
+            count += part[0] == "sym" and len(part[1]) == 1
+    return tree[0] == "*" and count >= LETTERS
 
-    return tree is not None and tree[0] == "*" and letters(tree) >= 4
+
+def _scrambled(text) -> bool:
+    tree = parse(text, "latex") if "\\" in text else parse(text)
+    return tree is not None and product_of_letters(tree)
 
 
 def _rounded(text, digits):

@@ -1,6 +1,7 @@
 """Preparation that goes on where it was stopped, faulty rows, metric files, answers in prose, series, and a caller's strategies and notations."""
 
 import os
+import random
 import tempfile
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from eqlake import plugins
 from eqlake.functions import answers, series
+from eqlake.functions import expressions as X
 from eqlake.operators import generators
 from eqlake.plans import preparation, runs
 
@@ -86,6 +88,42 @@ def test_answers_in_prose():
     assert {k: answers.extracted(k) for k in cases} == cases and answers.extracted(None) is None
 
 
+def test_answers_of_long_runs(spark):
+    whole = " + ".join(f"{k}*x" for k in range(1, 3001))
+    constants = "1 + 2 * 3 " * 60
+    cases = {
+        "so it is " + whole: whole, constants + "* x": answers.extracted("1 + " + constants[4:] + "*x"), "x + 1 , " + constants + ", x * (x - 2) + 3": "x*(x - 2) + 3",
+        "|x| + " * 500 + "1": "Abs(x) + " * 500 + "1", "(" * 300 + "x + 1" + ")" * 300: "x + 1", "a * " * 500 + "b": "a*a*a", constants: None, "1e999 * x + 2 * x": "x + 2*x",
+    }
+    assert {k: answers.extracted(k) for k in cases} == cases and cases[constants + "* x"].endswith("3*x")
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", X.value_at(answers.answer_text("t"), F.lit(1.0)).alias("v")).collect()
+    have = {r.t: r.v for r in rows}
+    assert have["so it is " + whole] == 4501500 and have["|x| + " * 500 + "1"] == 501 and have["x + 1 , " + constants + ", x * (x - 2) + 3"] == 2
+
+
+def test_the_longest_span_is_the_brute_force_one():
+    def brute(line, run):
+        for size in range(len(run), 1, -1):
+            for k in range(len(run) - size + 1):
+                raw = line[run[k][0] : run[k + size - 1][1]]
+                tree = X.parse(raw.replace("^", "**"))
+                if answers._usable(tree):
+                    return tree, raw
+        return None
+
+    pieces = ("x a b 2 + - * / ^ ( ) | , sin", "x | + a * |", "a b * / c - ( ) d x", "sin ^ x 2 ( ) - | cos **", "Integral ( x , ( t , 0 , 1 ) ) + | - e", "1 pi e + 1e999 x * ( )")
+    draw, count = random.Random(7), 0
+    for n in range(3_000):
+        line = " ".join(draw.choices(pieces[n % len(pieces)].split(), k=draw.randint(2, 14)))
+        if n % 3 == 0:
+            line = f"Integral({line}, (x, 0, 1)) + {line}"
+        for _, run in answers._runs(line):
+            want = brute(line, run)
+            count += want is not None
+            assert answers._longest(line, run) == want, line
+    assert count > 1_000
+
+
 def test_series():
     both = lambda rule, p, q: series.show(rule(series.read(p), series.read(q)))
     assert both(series.add, "1 + x + O(x**2)", "x - x**2 + O(x**5)") == "1 + 2*x + O(x**2)"
